@@ -179,9 +179,8 @@ def _positions(values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.n
 
 class _DenseQueries:
     def __init__(self, vectors: pa.Array):
-        width = len(vectors[0]) if len(vectors) else 0
-        self.width = width
-        self.matrix, self.used = _unit_rows(*as_matrix(vectors, width))
+        self.width = int(pc.max(vectors.value_lengths()).as_py() or 0)
+        self.matrix, self.used = _unit_rows(*as_matrix(vectors, self.width))
 
     def scores(self, vectors: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Scores (rows x queries) of the rows that have a direction, and which rows these are."""
@@ -245,6 +244,8 @@ def _matcher(ids: pa.Array, queries: _DenseQueries | _SparseQueries, schema: pa.
     ids = ids.take(pa.array(queries.used))
 
     def match(keys: pa.Array, vectors: pa.Array) -> Iterator[pa.RecordBatch]:
+        if not len(ids):
+            return
         step = max(k, _SCORES // max(1, len(ids)))
         for start in range(0, len(keys), step):
             part_keys, part = keys.slice(start, step), vectors.slice(start, step)
@@ -348,7 +349,7 @@ def _match_in_grid(
         ids, vectors = (_one_array(wanted, i) for i in range(2))
         match = _matcher(ids, _queries_of(vectors), arrow, k)
         held = list(match(_one_array(rows, 0), _one_array(rows, 1)))
-        return _trim(held, k)
+        return _trim(held, k) if held else arrow.empty_table()
 
     left = dealt(index, "_part", parts, "_block", blocks).groupBy("_part", "_block")
     right = dealt(queries, "_block", blocks, "_part", parts).groupBy("_part", "_block")

@@ -9,10 +9,32 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablework.functions.columns import col
-from tablework.operators.tables import append_table, create_empty_like, create_view
-from tablework.plans.models import by_size, country_counts, entity_hierarchies
+from tablework.functions.columns import col, quoted, quoted_table
+from tablework.functions.rows import with_load_time
+from tablework.operators.tables import (
+    DEFAULT_BUCKETS,
+    append_table,
+    create_empty_like,
+    create_entity_table,
+    create_view,
+    keyed_rows,
+    register,
+    replace_table,
+    upsert,
+)
+from tablework.plans.models import (
+    by_size,
+    country_column,
+    country_counts,
+    dataset_stats,
+    entity_hierarchies,
+)
+from tablework.schemas import LOAD_TIME_COLUMN
+from tablework.sources.archives import list_archives, read_archives
+from tablework.sources.bulkcsv import clean_text
 from tablework.sources.files import read_file_or_parquet, read_json
+from tablework.sources.pages import cut_pages
+from tablework.sources.records import entities_of
 
 
 @dataclass(frozen=True)
@@ -66,19 +88,48 @@ def run_load(spark: SparkSession, spec: LoadSpec) -> str:
     return f"Loaded {added} rows to {spec.target_table}"
 
 
+def load_entities(
+    spark: SparkSession,
+    pages: DataFrame,
+    table: str = "entities",
+    buckets: int = DEFAULT_BUCKETS,
+    path: str | None = None,
+) -> int:
+    """Landed pages into the entity table: cut, flatten, upsert, and refresh the views over it.
+
+    Returns the row count of the table. A step that fails raises, and the later ones do not run.
+    """
+    create_entity_table(spark, table, buckets, path)
+    rows = with_load_time(entities_of(cut_pages(pages)), LOAD_TIME_COLUMN)
+    count = upsert(rows, table)
+    refresh_entity_views(spark, table)
+    return count
+
+
 def refresh_entity_views(spark: SparkSession, table: str = "entities") -> None:
     """The two views over the entity table, for this session."""
-    entities = spark.table(table)
-    by_size(country_counts(entities)).createOrReplaceTempView("country_counts")
-    entity_hierarchies(entities).createOrReplaceTempView("entity_hierarchies")
-
-
-def create_bulk_country_view(spark: SparkSession, table: str, column: str, view: str) -> None:
-    """The stored view with rows per country of a bulk table."""
-    c = f"`{column}`"
-    create_view(
-        spark,
-        view,
-        f"SELECT {c} AS country, count(*) AS entity_count FROM {table} "
-        f"WHERE {c} IS NOT NULL AND {c} <> '' GROUP BY {c}",
-    )
+    entities = keyed_rows(spark, table)
+    register(by_size(country_counts(entities)), "country_counts")
+    register(entity_hierarchies(entities), "entity_hierarchies")
+
+
+def load_archives(spark: SparkSession, paths: str | list[str], table: str) -> dict[str, int]:
+    """Archives into a bulk table that is replaced, its country view, and its numbers."""
+    rows = clean_text(read_archives(list_archives(spark, paths)))
+    replace_table(rows, table)
+    return describe_bulk(spark, table)
+
+
+def describe_bulk(spark: SparkSession, table: str) -> dict[str, int]:
+    """Create the view of rows per country, if there is a country column, and count the table."""
+    bulk = spark.table(table)
+    column = country_column(bulk)
+    if column:
+        c = quoted(column)
+        create_view(
+            spark,
+            f"{table}_by_country",
+            f"SELECT {c} AS country, count(*) AS entity_count FROM {quoted_table(table)} "
+            f"WHERE {c} IS NOT NULL AND {c} <> '' GROUP BY {c}",
+        )
+    return dataset_stats(bulk, column).first().asDict()

@@ -144,7 +144,7 @@ def archive_rows(spark, folder):
                 archive.writestr("documents.csv", batch.to_csv(index=False, lineterminator="\n"))
             yield pd.DataFrame({"path": ["documents.zip"], "content": [buffer.getvalue()]})
 
-    made = table(spark, folder, "documents").mapInPandas(zipped, "path string, content binary")
+    made = spread_table(spark, folder, "documents").mapInPandas(zipped, "path string, content binary")
     columns = ["doc_id", "text", "lang", "source", "n_chars"]
     return archives.read_archives(made, columns).select(
         F.col("doc_id").cast("long").alias("doc_id"),
@@ -155,46 +155,40 @@ def archive_rows(spark, folder):
     )
 
 
-PAGE_STATS = """
-SELECT event_id // 100 + 1 AS page_no, count(*) AS n_records, max(value) AS top,
-  count(*) FILTER (WHERE event_type = 'signup') AS signups FROM events GROUP BY ALL
-"""
-
-
 def event_pages(spark: SparkSession, folder: str) -> DataFrame:
-    """The events as landed pages of a hundred. A page with a very large value is refused with status 400, and one
-    with hardly any signup has no next link."""
-    body = F.to_json(
-        F.struct(
-            F.collect_list(F.struct("event_id", "event_type", "value")).alias("data"),
-            F.struct(
-                F.when(F.count_if(F.col("event_type") == "signup") >= 9, "next").alias("next")
-            ).alias("links"),
-        )
-    )
-    return (
-        table(spark, folder, "events")
-        .groupBy(F.expr("event_id div 100 + 1").alias("page_no"))
-        .agg(
-            F.when(F.max("value") > 480, 400).otherwise(200).alias("status"),
-            body.alias("body"),
-        )
+    """Every event as a landed page. Large values are refused with status 400; large errors have no next link."""
+    event = F.struct("event_id", "event_type", "value")
+    ends = (F.col("event_type") == "error") & (F.col("value") > 330)
+    links = F.struct(F.when(~ends, "next").alias("next"))
+    body = F.to_json(F.struct(F.array(event).alias("data"), links.alias("links")))
+    return table(spark, folder, "events").select(
+        (F.col("event_id") + 1).alias("page_no"),
+        F.when(F.col("value") > 420, 400).otherwise(200).alias("status"),
+        body.alias("body"),
     )
 
 
 @query(
-    f"""WITH p AS ({PAGE_STATS}), e AS (SELECT least(100, min(CASE WHEN top > 480 THEN page_no - 1
-    WHEN signups < 9 THEN page_no END)) AS last_page FROM p)
-    SELECT p.page_no, CAST(n_records AS BIGINT) AS n_records FROM p, e WHERE p.page_no <= e.last_page"""
+    """WITH e AS (SELECT min(CASE WHEN value > 420 THEN event_id WHEN event_type = 'error' AND value > 330
+      THEN event_id + 1 END) AS last_page FROM events)
+    SELECT event_id + 1 AS page_no, event_type FROM events, e WHERE event_id < coalesce(e.last_page, 1 << 62)"""
 )
 def page_cut(spark, folder):
-    kept = pages.cut_pages(event_pages(spark, folder))
-    rows = F.json_array_length(F.get_json_object("body", "$.data")).cast("long")
-    return kept.select("page_no", rows.alias("n_records"))
+    kept = pages.cut_pages(event_pages(spark, folder), max_pages=1 << 62)
+    return kept.select("page_no", F.get_json_object("body", "$.data[0].event_type").alias("event_type"))
+
+
+@query(
+    """WITH e AS (SELECT min(CASE WHEN value > 420 THEN event_id WHEN event_type = 'error' AND value > 330
+      THEN event_id + 1 END) AS last_page FROM events)
+    SELECT event_id + 1 AS page_no FROM events, e WHERE event_id < least(100, coalesce(e.last_page, 100))"""
+)
+def page_cut_capped(spark, folder):
+    return pages.cut_pages(event_pages(spark, folder)).select("page_no")
 
 
 def entity_pages(spark: SparkSession, folder: str) -> DataFrame:
-    """The entities as nested records, on landed pages of a hundred."""
+    """The entities as nested records, one per landed page."""
 
     def named(path: str, column: str):
         return F.struct(F.col(column).alias(path)).alias
@@ -214,16 +208,8 @@ def entity_pages(spark: SparkSession, folder: str) -> DataFrame:
         F.struct(F.col("lei"), entity.alias("entity")).alias("attributes"),
         F.struct(parent("direct"), parent("ultimate")).alias("relationships"),
     )
-    number = F.expr("cast(substr(lei, 2) as bigint) div 100 + 1")
-    body = F.to_json(
-        F.struct(F.collect_list("record").alias("data")), {"ignoreNullFields": "false"}
-    )
-    return (
-        entities(spark, folder)
-        .select(number.alias("page_no"), record.alias("record"))
-        .groupBy("page_no")
-        .agg(F.lit(200).alias("status"), body.alias("body"))
-    )
+    body = F.to_json(F.struct(F.array(record).alias("data")), {"ignoreNullFields": "false"})
+    return entities(spark, folder).select(body.alias("body"))
 
 
 FLAT = """SELECT lei, legal_name, legal_form, jurisdiction, '' AS category, status, '' AS creation_date,
@@ -459,7 +445,7 @@ def incremental_upsert(spark, folder):
     landed, checkpoint = fresh_path(spark, "landed"), fresh_path(spark, "checkpoint")
     name = new_keyed_table(spark, ENTITY_SCHEMA, "lei")
     for _ in range(2):  # the same records land twice; the second run replaces every one
-        entity_pages(spark, folder).select("body").write.mode("append").text(landed)
+        entity_pages(spark, folder).write.mode("append").text(landed)
         bodies = incremental.landed_pages(spark, landed, whole_files=False)
         rows = R.with_load_time(records.entities_of(bodies), LOAD_TIME_COLUMN)
         incremental.upsert_stream(rows, name, checkpoint).awaitTermination()
@@ -693,17 +679,20 @@ sql_query(
       JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_name
     UNION ALL SELECT 'left', n_name, count(*), count(s_suppkey) FROM nation
       LEFT JOIN supplier ON s_nationkey = n_nationkey AND s_acctbal > 5000 GROUP BY n_name
-    UNION ALL SELECT 'right', c_mktsegment, count(*), count(o_orderkey) FROM orders
-      RIGHT JOIN customer ON o_custkey = c_custkey AND o_orderstatus = 'P' GROUP BY c_mktsegment
-    UNION ALL SELECT 'full', coalesce(o_orderpriority, 'none'), count(*), count(c_custkey) FROM orders
-      FULL JOIN customer ON o_custkey = c_custkey AND c_acctbal > 9000 GROUP BY coalesce(o_orderpriority, 'none')""",
+    UNION ALL SELECT 'right', c_mktsegment, count(*), CAST(sum(p.n) AS BIGINT) FROM
+      (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderstatus = 'P' GROUP BY o_custkey) AS p
+      RIGHT JOIN customer ON p.o_custkey = c_custkey GROUP BY c_mktsegment
+    UNION ALL SELECT 'full', coalesce(c_mktsegment, 'none'), count(*), CAST(sum(p.n) AS BIGINT) FROM
+      (SELECT o_custkey, count(*) AS n FROM orders WHERE o_totalprice > 100000 GROUP BY o_custkey) AS p
+      FULL JOIN (SELECT * FROM customer WHERE c_acctbal > 5000) AS c ON p.o_custkey = c_custkey
+      GROUP BY coalesce(c_mktsegment, 'none')""",
 )
 sql_query(
     "sql_semi_anti",
-    """SELECT c_custkey, c_name, 'has' AS kind FROM customer WHERE EXISTS (SELECT 1 FROM orders
-      WHERE o_custkey = c_custkey AND o_totalprice > 450000)
-    UNION ALL SELECT c_custkey, c_name, 'has not' FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders
-      WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')""",
+    """SELECT c_custkey, c_name, 'has' AS kind FROM customer WHERE EXISTS (SELECT 1 FROM (SELECT DISTINCT o_custkey
+      FROM orders WHERE o_totalprice > 450000) AS big WHERE big.o_custkey = c_custkey)
+    UNION ALL SELECT c_custkey, c_name, 'has not' FROM customer WHERE NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT
+      o_custkey FROM orders WHERE o_orderpriority = '1-URGENT') AS urgent WHERE urgent.o_custkey = c_custkey)""",
 )
 sql_query(
     "sql_groupby",
@@ -713,7 +702,7 @@ sql_query(
 )
 sql_query(
     "sql_grouping_sets",
-    """SELECT o_orderstatus, o_orderpriority, grouping(o_orderstatus) AS g, count(*) AS n FROM orders
+    """SELECT o_orderstatus, o_orderpriority, CAST(grouping(o_orderstatus) AS BIGINT) AS g, count(*) AS n FROM orders
     GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), ())""",
 )
 sql_query(
@@ -729,16 +718,17 @@ sql_query(
 )
 sql_query(
     "sql_windows",
-    """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_quantity,
-      rank() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC) AS qty_rank,
-      lag(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate,
-        l_quantity) AS previous,
-      ntile(2) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_quantity)
-        AS half,
-      sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate,
-        l_quantity ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS moving
-    FROM lineitem""",
-    None,
+    """WITH monthly AS (SELECT l_returnflag AS flag, year(l_shipdate) * 100 + month(l_shipdate) AS ym,
+        count(*) AS n, sum(l_quantity) AS qty FROM lineitem GROUP BY ALL)
+    SELECT flag, CAST(ym AS BIGINT) AS ym, qty,
+      CAST(rank() OVER (PARTITION BY flag ORDER BY qty DESC) AS BIGINT) AS qty_rank,
+      CAST(dense_rank() OVER (PARTITION BY ym ORDER BY n) AS BIGINT) AS n_rank,
+      lag(qty) OVER (PARTITION BY flag ORDER BY ym) AS previous,
+      lead(n, 2) OVER (PARTITION BY flag ORDER BY ym) AS two_later,
+      CAST(ntile(4) OVER (PARTITION BY flag ORDER BY ym) AS BIGINT) AS quarter,
+      first_value(qty) OVER (PARTITION BY flag ORDER BY ym) AS first_qty,
+      sum(qty) OVER (PARTITION BY flag ORDER BY ym ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS moving,
+      sum(qty) OVER (PARTITION BY flag ORDER BY ym) AS running FROM monthly""",
 )
 sql_query(
     "sql_qualify",
@@ -770,11 +760,10 @@ sql_query(
 )
 sql_query(
     "sql_recursive",
-    """WITH RECURSIVE months(m) AS (SELECT CAST(date_trunc('month', min(o_orderdate)) AS DATE) FROM orders
-      UNION ALL SELECT CAST(m + INTERVAL '1' MONTH AS DATE) FROM months
-      WHERE m < (SELECT CAST(date_trunc('month', max(o_orderdate)) AS DATE) FROM orders)),
-    sold AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS m, count(*) AS n FROM orders GROUP BY 1)
-    SELECT months.m AS order_month, coalesce(sold.n, 0) AS n FROM months LEFT JOIN sold ON sold.m = months.m""",
+    """WITH RECURSIVE years(y) AS (SELECT CAST(year(min(o_orderdate)) AS BIGINT) FROM orders
+      UNION ALL SELECT y + 1 FROM years WHERE y < (SELECT year(max(o_orderdate)) FROM orders)),
+    sold AS (SELECT CAST(year(o_orderdate) AS BIGINT) AS y, count(*) AS n FROM orders GROUP BY 1)
+    SELECT years.y AS order_year, coalesce(sold.n, 0) AS n FROM years LEFT JOIN sold ON sold.y = years.y""",
 )
 sql_query(
     "sql_pivot",
@@ -786,15 +775,16 @@ sql_query(
 )
 sql_query(
     "sql_strings",
-    """SELECT c_custkey, upper(c_mktsegment) AS u, substr(c_name, 1, 8) AS head, length(c_name) AS len,
+    """SELECT c_custkey, upper(c_mktsegment) AS u, substr(c_name, 1, 8) AS head, CAST(length(c_name) AS BIGINT) AS len,
     replace(c_name, '#', '-') AS dashed, lpad(CAST(c_nationkey AS STRING), 3, '0') AS padded,
     trim(concat(' ', c_mktsegment, ' ')) AS trimmed, reverse(c_mktsegment) AS backwards FROM customer""",
 )
 sql_query(
     "sql_dates",
-    """SELECT o_orderkey, year(o_orderdate) AS y, month(o_orderdate) AS m, CAST(date_trunc('month', o_orderdate)
-    AS DATE) AS first_day, CAST(o_orderdate + INTERVAL '7' DAY AS DATE) AS next_week, dayofyear(o_orderdate) AS doy
-    FROM orders""",
+    """SELECT o_orderkey, CAST(year(o_orderdate) AS BIGINT) AS y, CAST(month(o_orderdate) AS BIGINT) AS m,
+    CAST(CAST(date_trunc('month', o_orderdate) AS DATE) AS STRING) AS first_day,
+    CAST(CAST(o_orderdate + INTERVAL '7' DAY AS DATE) AS STRING) AS next_week,
+    CAST(dayofyear(o_orderdate) AS BIGINT) AS doy FROM orders""",
 )
 sql_query(
     "sql_math",
@@ -846,7 +836,7 @@ def sql_range_join(spark, folder):
     day = 86_400
     windows = (
         table(spark, folder, "orders")
-        .groupBy(F.col("o_orderpriority").alias("priority"), F.year("o_orderdate").alias("y"))
+        .groupBy(F.col("o_orderpriority").alias("priority"), F.year("o_orderdate").cast("long").alias("y"))
         .agg(F.unix_seconds(F.min("o_orderdate").cast("timestamp")).alias("lo"))
         .withColumn("hi", F.col("lo") + 30 * day)
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,18 +29,21 @@ def files_with_line_breaks(spark: SparkSession, paths: str | list[str]) -> list[
 
     One pass over the lines, split freely between tasks; only file names reach the driver.
     """
-    return [
-        row[0]
-        for row in spark.read.text(paths)
+    found = (
+        spark.read.text(paths)
         .filter(~F.col("value").rlike(_WHOLE_RECORD))
-        .select(F.input_file_name())
+        .select("_metadata.file_path")
         .distinct()
-        .collect()
-    ]
+    )
+    return [row[0] for row in found.collect()]
 
 
 def _read(
-    spark: SparkSession, paths: str | list[str], columns: list[str], multiline: bool
+    spark: SparkSession,
+    paths: str | list[str],
+    columns: list[str],
+    multiline: bool,
+    files: Column | None = None,
 ) -> DataFrame:
     schema = T.StructType(
         [T.StructField(c, T.StringType()) for c in [*columns, _EXTRA, _CORRUPT]]
@@ -53,6 +56,8 @@ def _read(
         .option("columnNameOfCorruptRecord", _CORRUPT)
         .csv(paths)
     )
+    if files is not None:
+        rows = rows.filter(files)
     # The schema has one column more than the file. A row that fills it exactly is too long by one, and counts as
     # well-formed; a proper or a short row lacks the extra column, and counts as corrupt.
     return rows.filter(F.col(_EXTRA).isNull() & F.col(_CORRUPT).isNotNull()).select(
@@ -78,18 +83,11 @@ def read_text_csv(
     whole = files_with_line_breaks(spark, paths)
     if not whole:
         return _read(spark, paths, columns, False)
-    listing = spark.read.format("binaryFile").load(paths).select("path")
-    every = {row[0] for row in listing.collect()}
-    chosen = {p for p in every if _same_file(p) in {_same_file(w) for w in whole}}
-    split = sorted(every - chosen)
-    rows = _read(spark, sorted(chosen), columns, True)
-    return rows.unionByName(_read(spark, split, columns, False)) if split else rows
-
-
-def _same_file(path: str) -> str:
-    """One spelling of a file URI (``file:/a`` and ``file:///a`` are the same file)."""
-    scheme, _, rest = path.partition(":")
-    return f"{scheme}:/{rest.lstrip('/')}" if scheme == "file" else path
+    # Spark prunes the file list by these two conditions, so every file is read once.
+    needs_whole = F.col("_metadata.file_path").isin(whole)
+    return _read(spark, paths, columns, True, needs_whole).unionByName(
+        _read(spark, paths, columns, False, ~needs_whole)
+    )
 
 
 def clean_text(df: DataFrame, na_tokens: Iterable[str] = NA_TOKENS) -> DataFrame:

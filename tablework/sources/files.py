@@ -5,24 +5,45 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tablework.sources.bulkcsv import files_with_line_breaks
 
-def read_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """CSV with a header line; types are inferred."""
+
+def read_csv(
+    spark: SparkSession, path: str | list[str], multiline: bool | None = None
+) -> DataFrame:
+    """CSV with a header line; types are inferred from all rows.
+
+    Files can be split between tasks unless quoted fields hold line breaks; by default that is found out.
+    """
+    if multiline is None:
+        multiline = bool(files_with_line_breaks(spark, path))
     return (
         spark.read.option("header", True)
         .option("inferSchema", True)
-        .option("multiLine", True)
+        .option("multiLine", multiline)
         .option("escape", '"')
         .csv(path)
     )
 
 
-def read_json(spark: SparkSession, path: str | list[str], multiline: bool = True) -> DataFrame:
-    """JSON with inferred types: one array or object per file, or (``multiline=False``) one per line.
+def has_object_per_line(spark: SparkSession, path: str | list[str]) -> bool:
+    """Whether every line is an object of its own, so that files may be split by line."""
+    line = F.trim(F.col("value"))
+    whole = line.startswith("{") & line.endswith("}")
+    return spark.read.text(path).filter((line != "") & ~whole).isEmpty()
+
+
+def read_json(
+    spark: SparkSession, path: str | list[str], multiline: bool | None = None
+) -> DataFrame:
+    """JSON with inferred types: one object per line, or one array or object per file.
 
-    One object per line can be split between tasks; a whole-file document cannot.
+    Files with an object per line can be split between tasks; by default it is found out which they are.
     """
+    if multiline is None:
+        multiline = not has_object_per_line(spark, path)
     return spark.read.option("multiLine", multiline).json(path)
 
 
@@ -33,26 +54,13 @@ def read_parquet(spark: SparkSession, path: str | list[str]) -> DataFrame:
 Reader = Callable[[SparkSession, str], DataFrame]
 
 
-def _json_either_way(spark: SparkSession, path: str) -> DataFrame:
-    return read_json(spark, path, multiline=not is_json_lines(spark, path))
-
-
 READERS: dict[str, Reader] = {
     ".csv": read_csv,
-    ".json": _json_either_way,
+    ".json": read_json,
     ".parquet": read_parquet,
 }
 
 
-def is_json_lines(spark: SparkSession, path: str) -> bool:
-    """Whether every line is an object of its own, so that files may be split by line."""
-    other = spark.read.text(path).filter(
-        "trim(value) <> '' AND NOT coalesce("
-        "startswith(schema_of_variant(try_parse_json(value)), 'OBJECT'), false)"
-    )
-    return other.isEmpty()
-
-
 def reader_for(name: str) -> Reader:
     """The reader for a file name; the extension is matched case-sensitively."""
     for extension, reader in READERS.items():
