@@ -26,7 +26,7 @@ def create_if_absent(df: DataFrame, table: str, path: str | None = None) -> int:
     """Create ``table`` from ``df`` unless it exists; the table's row count either way."""
     spark = df.sparkSession
     if not spark.catalog.tableExists(table):
-        df.write.mode("ignore").saveAsTable(table, path=path)
+        _save(df, table, "ignore", path)
     return spark.table(table).count()
 
 
@@ -34,7 +34,7 @@ def create_empty_like(df: DataFrame, table: str, path: str | None = None) -> Non
     """Create ``table`` without rows and with the columns of ``df``, unless it exists."""
     spark = df.sparkSession
     if not spark.catalog.tableExists(table):
-        spark.createDataFrame([], df.schema).write.mode("ignore").saveAsTable(table, path=path)
+        _save(spark.createDataFrame([], df.schema), table, "ignore", path)
 
 
 def append_rows(target: DataFrame, rows: DataFrame, by: str = "position") -> DataFrame:
@@ -60,7 +60,7 @@ def replace_table(df: DataFrame, table: str, path: str | None = None) -> int:
     """
     spark = df.sparkSession
     df, counter = _counted(df)
-    df.write.mode("overwrite").saveAsTable(table, path=path)
+    _save(df, table, "overwrite", path)
     written, found = counter.get["rows"], spark.table(table).count()
     if written != found:
         raise RuntimeError(f"{table} has {found} rows, {written} were written")
@@ -85,6 +85,11 @@ def unregister(spark: SparkSession, name: str) -> bool:
     return spark.catalog.dropTempView(name)
 
 
+def _save(df: DataFrame, table: str, mode: str, path: str | None) -> None:
+    writer = df.write.mode(mode)
+    (writer.option("path", path) if path else writer).saveAsTable(table)
+
+
 def _counted(df: DataFrame) -> tuple[DataFrame, Observation]:
     counter = Observation()
     return df.observe(counter, F.count(F.lit(1)).alias("rows")), counter
@@ -182,6 +187,8 @@ def upsert(
     if null_keys not in ("error", "keep"):
         raise ValueError("null_keys must be error or keep")
     spark = batch.sparkSession
+    # Another session, such as that of a stream, may have written since this one listed the files.
+    spark.catalog.refreshTable(table)
     key, buckets = _key_of(spark, table)
     columns = [c for c in spark.table(table).columns if c != BUCKET]
     if dedupe_by:

@@ -53,6 +53,8 @@ def _read(
         .option("header", True)
         .option("multiLine", multiline)
         .option("escape", '"')
+        # Whether a row is too long shows only if all of its fields are parsed.
+        .option("columnPruning", False)
         .option("columnNameOfCorruptRecord", _CORRUPT)
         .csv(paths)
     )

@@ -55,7 +55,7 @@ def upsert_stream(
             batch = batch.filter(col(key).isNotNull())
         upsert(batch, table, staged=True)
 
-    return _run(rows, apply, checkpoint)
+    return _run(rows, apply, table, checkpoint)
 
 
 def upsert_entities(
@@ -93,14 +93,21 @@ def append_stream(rows: DataFrame, table: str, checkpoint: str) -> StreamingQuer
         named = batch.withColumn(BATCH, F.lit(f"{run}-{number}"))
         overwrite_partitions(named, table, BATCH)
 
-    return _run(rows, apply, checkpoint)
+    return _run(rows, apply, table, checkpoint)
 
 
 def _run(
-    rows: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str
+    rows: DataFrame, apply: Callable[[DataFrame, int], None], table: str, checkpoint: str
 ) -> StreamingQuery:
+    spark = rows.sparkSession
+
+    def step(batch: DataFrame, number: int) -> None:
+        apply(batch, number)
+        # The stream writes in a session of its own; let the caller's session list the files anew.
+        spark.catalog.refreshTable(table)
+
     return (
-        rows.writeStream.foreachBatch(apply)
+        rows.writeStream.foreachBatch(step)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

@@ -215,7 +215,7 @@ def test_several_tables_and_answer(spark, texts):
     assert answer["context"].startswith(
         'Based on the following data:\n\nRecord 1: {\n  "id": 2,\n  "text": "red red green",\n  "tag": "b"\n}\n\nRecord 2: {'
     )
-    assert S.ask("red", indexes, model, rerank=True)["source_data"][0]["data"] == '{"k":"x","text":"red green"}'
+    assert S.ask("red green", indexes, model, rerank=True)["source_data"][0]["data"] == '{"k":"x","text":"red green"}'
     spoken = S.ask("red", indexes, model, table="other", answer=lambda c, q: f"{q}: {c.count('Record')}")
     assert spoken["answer"] == "red: 2"
 

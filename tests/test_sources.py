@@ -45,6 +45,17 @@ def test_bulk_edges(spark, edges, multiline):
     assert rows.select("id").distinct().count() == 5
 
 
+@pytest.mark.parametrize("multiline", [None, False, True])
+def test_rows_do_not_depend_on_the_columns_asked_for(spark, tmp_path, multiline):
+    (tmp_path / "a.csv").write_text("id,country,x\n1,US,a\n3,DE\n4,FR,c,EXTRA\n6,,\n7,a,b,\n")
+    rows = bulkcsv.read_text_csv(spark, str(tmp_path), multiline=multiline)
+    assert rows.count() == 3
+    for column in rows.columns:
+        assert len(rows.select(column).collect()) == 3
+    assert tuples(rows.select("id").filter("id > 1")) == {("3",), ("6",)}
+    assert rows.groupBy("country").count().count() == 3
+
+
 def test_no_tokens_keeps_namibia(spark, edges):
     rows = bulkcsv.clean_text(bulkcsv.read_text_csv(spark, edges), na_tokens=())
     assert ("2", "NA", "b") in tuples(rows)
