@@ -18,8 +18,9 @@ from pyspark.sql import types as T
 from tablework.functions.columns import col
 from tablework.functions.rows import pretty_json, row_json
 from tablework.functions.vectors import SCORE_DIGITS, as_matrix, cosine_with
-from tablework.operators.textindex import NORM, VECTOR, Embedder, embed_text
-from tablework.session import ship
+from tablework.operators.skew import salted_join
+from tablework.operators.textindex import GROUP, NORM, VECTOR, Embedder, embed_text
+from tablework.session import ship, stage
 
 # --- fixed values: result sizes and texts of an answer ------------------------------------------
 TOP_K = 5
@@ -156,6 +157,33 @@ def search_approx(
     return near.select(*rest, value.alias("similarity"))
 
 
+def search_postings(
+    postings: DataFrame, query, key: str, k: int = TOP_K, groups: int = 1024
+) -> DataFrame:
+    """``search`` on what ``store_postings`` wrote: the ``k`` best of the rows that share a word with the query.
+
+    Only the entries of the query's own buckets are read. They are summed per row before the shuffle, and a row
+    has at most one of them per bucket.
+    """
+    _check_k(k)
+    length = float(np.linalg.norm(query["weights"])) if query["weights"] else 1.0
+    wanted = [(b, w / length) for b, w in zip(query["buckets"], query["weights"])]
+    spark = postings.sparkSession
+    words = spark.createDataFrame(wanted, "_bucket int, _weight double")
+    buckets = [b for b, _ in wanted]
+    found = postings.filter(
+        F.col(GROUP).isin(sorted({b % groups for b in buckets})) & F.col("bucket").isin(buckets)
+    )
+    value = F.round(F.sum(F.col("weight") * F.col("_weight")), SCORE_DIGITS)
+    return (
+        found.join(words, F.col("bucket") == F.col("_bucket"))
+        .groupBy(col(key))
+        .agg(value.alias("similarity"))
+        .orderBy(F.desc("similarity"), col(key))
+        .limit(k)
+    )
+
+
 # ---- many questions --------------------------------------------------------------------------------
 
 
@@ -294,7 +322,8 @@ def search_many(
     _check_k(k)
     ship(index.sparkSession)
     index = index.select(col(key), col(vector).alias(VECTOR))
-    queries = queries.select(col(query_key), col(vector).alias(VECTOR))
+    # Written out once: their size is taken before it is decided where they go.
+    queries = stage(queries.select(col(query_key), col(vector).alias(VECTOR)), "queries")
     schema = T.StructType(
         [queries.schema[query_key], index.schema[key], T.StructField("similarity", T.DoubleType())]
     )
@@ -419,18 +448,49 @@ def context(hits: DataFrame, n: int = CONTEXT_RECORDS, rerank: bool = False) ->
         "similarity",
     )
     top = first_hits(hits, n, rerank).agg(F.sort_array(F.collect_list(entry)).alias("hits"))
+    return top.select(*_context_of("hits"))
+
+
+def _context_of(hits: str) -> list[Column]:
+    """Columns ``context`` and ``source_data`` of a column of ordered hits."""
     blocks = F.transform(
-        "hits",
+        hits,
         lambda h, i: F.concat(
             F.lit("Record "), (i + 1).cast("string"), F.lit(": "), h["text"], F.lit("\n\n")
         ),
     )
     source = F.transform(
-        "hits", lambda h: F.struct(h["data"].alias("data"), h["similarity"].alias("similarity"))
+        hits, lambda h: F.struct(h["data"].alias("data"), h["similarity"].alias("similarity"))
     )
-    return top.select(
+    return [
         F.concat(F.lit(CONTEXT_HEADER), F.array_join(blocks, "")).alias("context"),
         source.alias("source_data"),
+    ]
+
+
+def ask_many(
+    index: DataFrame, questions: DataFrame, key: str, question_key: str, n: int = CONTEXT_RECORDS
+) -> DataFrame:
+    """For every row of ``questions``: ``(question_key, context, source_data)`` from its ``n`` best rows.
+
+    The hits, at most ``n`` per question, are written out once and then joined to their rows; a row that very
+    many questions hit is spread over the tasks.
+    """
+    hits = stage(search_many(index, questions, key, question_key, n), "hits")
+    source = [c for c in index.columns if c not in (VECTOR, NORM)]
+    rows = index.select(col(key).alias("_key"), row_json(source).alias("data"))
+    found = salted_join(hits, rows, key, "_key", "inner")
+    entry = F.struct(
+        (-F.col("similarity")).alias("order"),
+        col(key).alias("key"),
+        "data",
+        pretty_json("data").alias("text"),
+        "similarity",
+    )
+    return (
+        found.groupBy(col(question_key))
+        .agg(F.sort_array(F.collect_list(entry)).alias("hits"))
+        .select(col(question_key), *_context_of("hits"))
     )
 
 

@@ -171,7 +171,7 @@ def event_pages(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     """WITH e AS (SELECT min(CASE WHEN value > 420 THEN event_id WHEN event_type = 'error' AND value > 330
       THEN event_id + 1 END) AS last_page FROM events)
-    SELECT event_id + 1 AS page_no, event_type FROM events, e WHERE event_id < coalesce(e.last_page, 1 << 62)"""
+    SELECT event_id + 1 AS page_no, event_type FROM events, e WHERE event_id < coalesce(e.last_page, event_id + 1)"""
 )
 def page_cut(spark, folder):
     kept = pages.cut_pages(event_pages(spark, folder), max_pages=1 << 62)
@@ -647,6 +647,38 @@ def ask_context(spark, folder):
     return S.context(hits).select("context")
 
 
+@query(
+    """WITH cells AS (SELECT label, unnest(embedding::DOUBLE[]) AS x, unnest(range(len(embedding))) AS i
+      FROM embeddings), means AS (SELECT label, i, avg(x) AS m FROM cells GROUP BY ALL),
+    centroids AS (SELECT label, list(m ORDER BY i) AS c FROM means GROUP BY label),
+    scored AS (SELECT q.label AS question, e.vec_id, e.label,
+      round(list_cosine_similarity(e.embedding::DOUBLE[], q.c), 9) AS s FROM centroids q, embeddings e),
+    hits AS (SELECT *, row_number() OVER (PARTITION BY question ORDER BY s DESC, vec_id) AS r FROM scored)
+    SELECT question, 'Based on the following data:' || chr(10) || chr(10) || string_agg('Record ' || r || ': {' ||
+      chr(10) || '  "vec_id": ' || vec_id || ',' || chr(10) || '  "label": ' || label || chr(10) || '}' || chr(10)
+      || chr(10), '' ORDER BY r) AS context FROM hits WHERE r <= 5 GROUP BY question"""
+)
+def ask_many(spark, folder):
+    questions = label_centroids(spark, folder).withColumnRenamed("label", "question")
+    found = S.ask_many(vectors(spark, folder), questions, "vec_id", "question")
+    return found.select("question", "context")
+
+
+@query(
+    f"""{SPARSE_BOTH} SELECT d.id AS doc_id, round(sum(one.w * d.w), 6) AS similarity FROM (SELECT bucket, w FROM q
+      WHERE id = (SELECT min(item_id) FROM benchmark)) AS one JOIN d USING (bucket) GROUP BY d.id
+    ORDER BY round(sum(one.w * d.w), 9) DESC, d.id LIMIT 5"""
+)
+def text_search_postings(spark, folder):
+    documents = spread_table(spark, folder, "documents").select("doc_id", "text")
+    model = fitted(documents)
+    path = fresh_path(spark, "postings")
+    X.store_postings(X.build_index(documents, ["text"], model), "doc_id", path, groups=16)
+    words = X.embed_text(spark, question(spark, folder), model)
+    found = S.search_postings(spark.read.parquet(path), words, "doc_id", groups=16)
+    return rounded(found, "similarity")
+
+
 # ---- SQL: the session answers it; these check that it answers as expected --------------------------------
 
 

@@ -18,16 +18,17 @@ def cut_pages(pages: DataFrame, max_pages: int = MAX_PAGES) -> DataFrame:
     job. The end is found by one aggregate, whose single row is a scalar subquery of the filter.
     """
     page_no, status = F.col("page_no"), F.col("status")
-    document = F.try_parse_json("body")
+    document = F.col("document")
     first_row = F.variant_get(document, "$.data[0]", "variant")
     next_link = F.coalesce(F.variant_get(document, "$.links.next", "string"), F.lit(""))
     last = (
         F.when(status == LIMIT_REACHED, page_no - 1)
-        .when(status > LIMIT_REACHED, None)
-        .when(document.isNotNull() & first_row.isNull(), page_no - 1)
-        .when(document.isNotNull() & (next_link == ""), page_no)
+        .when((status > LIMIT_REACHED) | document.isNull(), None)
+        .when(first_row.isNull(), page_no - 1)
+        .when(next_link == "", page_no)
     )
-    end = pages.agg(
+    parsed = pages.select("page_no", "status", F.try_parse_json("body").alias("document"))
+    end = parsed.agg(
         F.least(F.min(last), F.lit(max_pages).cast("long")).alias("last_page")
     ).scalar()
     failed = F.raise_error(

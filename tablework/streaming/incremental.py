@@ -19,20 +19,40 @@ from tablework.sources.records import entities_of
 
 BATCH = "_batch"
 
+# A backlog is worked off in batches of this many files, each committed on its own.
+FILES_PER_BATCH = 10_000
 
-def landed_pages(spark: SparkSession, path: str, whole_files: bool = True) -> DataFrame:
+
+def landed_pages(
+    spark: SparkSession,
+    path: str,
+    whole_files: bool = True,
+    files_per_batch: int = FILES_PER_BATCH,
+) -> DataFrame:
     """Stream of landed pages, one row ``body`` per file, or per line if not ``whole_files``."""
     return (
         spark.readStream.format("text")
         .option("wholetext", whole_files)
+        .option("maxFilesPerTrigger", files_per_batch)
         .load(path)
         .select(F.col("value").alias("body"))
     )
 
 
-def landed_files(spark: SparkSession, path: str, schema: T.StructType, format: str) -> DataFrame:
+def landed_files(
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType,
+    format: str,
+    files_per_batch: int = FILES_PER_BATCH,
+) -> DataFrame:
     """Stream of landed data files of a known schema."""
-    return spark.readStream.format(format).schema(schema).load(path)
+    return (
+        spark.readStream.format(format)
+        .schema(schema)
+        .option("maxFilesPerTrigger", files_per_batch)
+        .load(path)
+    )
 
 
 def upsert_stream(
