@@ -223,30 +223,41 @@ def _unit_rows(matrix: np.ndarray, present: np.ndarray) -> tuple[np.ndarray, np.
 
 
 class _SparseQueries:
+    """The queries by bucket: for each wanted bucket, which queries have it and with which weight."""
+
     def __init__(self, vectors: pa.Array):
         buckets, weights, row = _sparse_cells(vectors)
         norms = np.sqrt(np.bincount(row, weights * weights, minlength=len(vectors)))
         self.used = np.flatnonzero(norms > 0)
-        self.wanted = np.unique(buckets)
-        self.matrix = np.zeros((len(self.wanted), len(self.used)))
-        place, _ = _positions(buckets, self.wanted)
-        column = np.searchsorted(self.used, row)
-        self.matrix[place, column] = weights / norms[row]
+        order = np.argsort(buckets, kind="stable")
+        self.wanted, first = np.unique(buckets[order], return_index=True)
+        self.ends = np.append(first, len(buckets))
+        self.column = np.searchsorted(self.used, row)[order]
+        self.weight = (weights / norms[row])[order]
 
     def scores(self, vectors: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Only cells that share a bucket are computed, a bounded number of products at a time."""
         buckets, weights, row = _sparse_cells(vectors)
         norms = np.sqrt(np.bincount(row, weights * weights, minlength=len(vectors)))
         used = np.flatnonzero(norms > 0)
-        out = np.zeros((len(vectors), self.matrix.shape[1]))
+        width = len(self.used)
         place, hit = _positions(buckets, self.wanted)
-        place, row, values = place[hit], row[hit], (weights / norms[row])[hit]
-        step = max(1, _SCORES // max(1, self.matrix.shape[1]))
-        for start in range(0, len(row), step):
-            part = slice(start, start + step)
-            terms = values[part, None] * self.matrix[place[part]]
-            first = np.flatnonzero(np.diff(row[part], prepend=-1))
-            out[row[part][first]] += np.add.reduceat(terms, first, axis=0)
-        return out[used], used
+        place, row, value = place[hit], row[hit], (weights / norms[row])[hit]
+        count = self.ends[place + 1] - self.ends[place]
+        total = np.cumsum(count)
+        out = np.zeros(len(vectors) * width)
+        start = 0
+        while start < len(place):
+            done = total[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(total, done + _SCORES, side="right")))
+            part = slice(start, stop)
+            entry = np.repeat(np.arange(start, stop), count[part])
+            before = np.repeat(total[part] - count[part] - done, count[part])
+            other = self.ends[place[entry]] + np.arange(len(entry)) - before
+            cell = row[entry] * width + self.column[other]
+            out += np.bincount(cell, value[entry] * self.weight[other], minlength=len(out))
+            start = stop
+        return out.reshape(len(vectors), width)[used], used
 
 
 def _best(scores: np.ndarray, keys: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -351,10 +362,12 @@ def _match_everywhere(
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         match = _matcher(ids, _queries_of(vectors), arrow, k)
         held: list[pa.RecordBatch] = []
+        limit = _SCORES
         for batch in batches:
             held.extend(match(batch.column(0), batch.column(1)))
-            if sum(len(h) for h in held) > _SCORES:
-                held = _trim(held, k).to_batches()
+            if sum(len(h) for h in held) > limit:
+                kept = _trim(held, k)
+                held, limit = kept.to_batches(), max(_SCORES, 2 * len(kept))
         if held:
             yield from _trim(held, k).to_batches()
 

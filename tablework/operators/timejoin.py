@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablework.functions.columns import col
-from tablework.operators.skew import salted_join
+from tablework.operators.skew import salted_join, spread_of
 
 
 def asof_join(
@@ -16,13 +17,13 @@ def asof_join(
     left_time: str,
     right_time: str,
     values: list[str],
-    slot_seconds: int = 86_400,
+    slots: int | None = None,
 ) -> DataFrame:
     """Every left row with ``right_time`` and ``values`` of the latest right row of its key that is not later.
 
-    The time line is cut into slots, and a task sorts one slot of one key at a time, so a key that holds most
-    rows is spread over its slots. What a slot inherits from earlier ones comes from one aggregated row
-    per key and slot.
+    The time line is cut into ``slots`` of about equally many rows (four per shuffle partition by default), and a
+    task sorts one slot of one key at a time: a key that holds most rows is spread over all slots, and so is a
+    busy hour. What a slot inherits from earlier ones comes from one aggregated row per key and slot.
     """
     time, row, hit, slot = (F.col(c) for c in ("_time", "_row", "_hit", "_slot"))
     by_key = [col(k) for k in keys]
@@ -34,9 +35,7 @@ def asof_join(
         usable.select(*by_key, col(right_time).alias("_time"), right_struct.alias("_hit")),
         allowMissingColumns=True,
     )
-    both = both.withColumn(
-        "_slot", F.floor(F.unix_seconds(time.cast("timestamp")) / F.lit(slot_seconds))
-    )
+    both = _with_slots(both, slots or 4 * spread_of(left))
     within = (
         Window.partitionBy(*by_key, slot)
         .orderBy(time, row.isNotNull(), hit)
@@ -57,7 +56,7 @@ def asof_join(
         both.withColumn("_local", F.last(hit, ignorenulls=True).over(within))
         .filter(row.isNotNull())
         .join(inherited, [*keys, "_slot"], "left")
-        .select("_row.*", F.coalesce("_local", "_inherited").alias("_found"))
+        .select("_row.*", F.when(time.isNotNull(), F.coalesce("_local", "_inherited")).alias("_found"))
     )
     return found.select(
         *[col(c) for c in left.columns],
@@ -65,6 +64,18 @@ def asof_join(
     )
 
 
+def _with_slots(rows: DataFrame, slots: int) -> DataFrame:
+    """Number the rows by time, from approximate quantiles. Equal times get equal numbers."""
+    micros = F.unix_micros(F.col("_time").cast("timestamp")).cast("double")
+    rows = rows.withColumn("_at", micros)
+    shares = [i / slots for i in range(1, slots)]
+    bounds = sorted(set(rows.approxQuantile("_at", shares, 0.25 / slots))) or [0.0]
+    splits = [float("-inf"), *bounds, float("inf")]
+    return Bucketizer(
+        splits=splits, inputCol="_at", outputCol="_slot", handleInvalid="keep"
+    ).transform(rows)
+
+
 def range_join(
     points: DataFrame,
     ranges: DataFrame,
@@ -73,7 +84,8 @@ def range_join(
     high: str,
     width: float,
 ) -> DataFrame:
-    """All pairs of a point and a range with ``low <= point < high``; the columns are numbers.
+    """All pairs of a point and a range with ``low <= point < high``; the columns are numbers, and the two
+    sides share no column name.
 
     Both sides are put into bins of ``width`` and joined on the bin, so no pair outside a common bin is looked
     at. A range is repeated for every bin it touches: choose ``width`` near the usual length of a range.

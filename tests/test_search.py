@@ -173,6 +173,42 @@ def test_text_search(spark, texts):
     assert best[1] == (3, 1.0) and best[2][1] == 0.0
 
 
+@pytest.mark.parametrize("products", [1 << 22, 5])
+@pytest.mark.parametrize("limit", [S.QUERY_BYTES, 200])
+def test_sparse_questions_against_brute_force(spark, monkeypatch, products, limit):
+    """Scores of a third of copies, of words that nearly all rows have, and of products cut anywhere."""
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(30)]
+    rows = [
+        (i, "the same copy of w1 w2" if i % 3 == 0 else "the " + " ".join(rng.choice(words, 6)))
+        for i in range(60)
+    ] + [(99, " ")]
+    asked = [(i, "the " + " ".join(rng.choice(words, 3))) for i in range(9)] + [(50, ""), (51, "unknown")]
+    texts = spark.createDataFrame(rows, "id int, text string")
+    model = X.HashedTfIdf.fit(texts, ["text"])
+    index = X.build_index(texts, ["text"], model)
+    questions = X.build_index(spark.createDataFrame(asked, "q int, text string"), ["text"], model)
+    if products == 5:  # in this process, where the setting can be seen
+        monkeypatch.setattr(S, "_SCORES", products)
+        vectors = questions.orderBy("q").select("vector").toArrow().column(0).combine_chunks()
+        queries = S._SparseQueries(vectors)
+        table = index.orderBy("id").select("vector").toArrow().column(0).combine_chunks()
+        scores, used = queries.scores(table)
+        dense = [np.zeros((len(v), model.dim)) for v in (vectors, table)]
+        for matrix, column in zip(dense, (vectors, table)):
+            for i, v in enumerate(column.to_pylist()):
+                matrix[i, v["buckets"]] = v["weights"]
+        assert np.allclose(scores, (dense[1] @ dense[0].T)[np.ix_(used, queries.used)])
+        return
+    found = S.search_many(index, questions, "id", "q", 4, query_bytes=limit)
+    got = {q: [] for q, _ in asked}
+    for r in found.orderBy("q", F.desc("similarity"), "id").collect():
+        got[r.q].append((r.id, r.similarity))
+    for q, text in asked:
+        single = S.search(index, X.embed_text(spark, text, model), "id", 4)
+        assert got[q] == [(r.id, r.similarity) for r in single.collect()]
+
+
 def test_index_as_table(spark, texts, name):
     texts.createOrReplaceTempView("texts_of_test")
     model = X.HashedTfIdf.fit(texts, ["text"])

@@ -102,8 +102,10 @@ def test_duplicate_and_empty_keys_fan_out(spark):
     )
 
 
-def test_asof_against_brute_force(spark):
-    left = [(i, i % 3, i * 7 % 400) for i in range(120)] + [(500, None, 10), (501, 1, 0)]
+@pytest.mark.parametrize("slots", [None, 2, 7])
+def test_asof_against_brute_force(spark, slots):
+    left = [(i, i % 3, i * 7 % 400) for i in range(120)]
+    left += [(500, None, 10), (501, 1, 0), (502, 1, None)]
     right = [(i % 3, i * 11 % 390 + 1, i) for i in range(60)] + [(None, 1, 99)]
 
     def frame(rows, columns, time):
@@ -117,11 +119,13 @@ def test_asof_against_brute_force(spark):
         "t",
         "rt",
         ["value"],
-        slot_seconds=20_000,
+        slots=slots,
     )
 
     def best(key, t):
-        hits = [(rt, v) for k, rt, v in right if k == key and k is not None and rt <= t]
+        if key is None or t is None:
+            return None
+        hits = [(rt, v) for k, rt, v in right if k == key and rt <= t]
         return max(hits)[1] if hits else None
 
     assert {r.id: r.value for r in found.collect()} == {i: best(k, t) for i, k, t in left}
