@@ -21,6 +21,7 @@ from tablework.functions import vectors as V
 from tablework.operators import search as S
 from tablework.operators import tables as TB
 from tablework.operators import textindex as X
+from tablework.operators.skew import salted_join
 from tablework.operators.timejoin import asof_join, range_join
 from tablework.plans import catalog, loads, models
 from tablework.schemas import ENTITY_SCHEMA, LOAD_TIME_COLUMN, NA_TOKENS
@@ -533,6 +534,24 @@ def cosine_topk_batch(spark, folder):
     return rounded(found, "similarity")
 
 
+@query(
+    """WITH cells AS (SELECT label, unnest(embedding::DOUBLE[]) AS x, unnest(range(len(embedding))) AS i
+      FROM embeddings), means AS (SELECT label, i, avg(x) AS m FROM cells GROUP BY ALL),
+    centroids AS (SELECT label, list(m ORDER BY i) AS c FROM means GROUP BY label)
+    SELECT vec_id, e.label, round(list_dot_product(embedding::DOUBLE[], c), 6) AS product,
+      round(list_cosine_similarity(embedding::DOUBLE[], c), 6) AS similarity
+    FROM embeddings e JOIN centroids q ON q.label = e.label"""
+)
+def cosine_to_centroid(spark, folder):
+    """Every vector against the mean of its label; a label may hold any share of the rows."""
+    centroids = label_centroids(spark, folder).toDF("centroid_label", "centroid")
+    rows = vectors(spark, folder)
+    joined = salted_join(rows, centroids, "label", "centroid_label", "inner", spread_by=["vec_id"])
+    a, b = F.col("vector"), F.col("centroid")
+    found = joined.select("vec_id", "label", V.dot(a, b).alias("product"), V.cosine(a, b).alias("similarity"))
+    return rounded(found, "product", "similarity")
+
+
 @query()
 def cosine_topk_approx(spark, folder):
     return S.search_approx(vectors(spark, folder), query_vector(spark, folder), "vec_id")

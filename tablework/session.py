@@ -73,8 +73,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
-    """A path in the shared folder that nothing has written to yet."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A path in the shared folder that nothing has written to yet.
+
+    All paths of one application are under one folder, which can go when the application has ended.
+    """
+    owner = spark.sparkContext.applicationId
+    return f"{shared_dir(spark)}/tablework/{owner}/{label}-{uuid.uuid4().hex}"
 
 
 def stage(df: DataFrame, label: str = "stage") -> DataFrame:
