@@ -66,17 +66,11 @@ def dataset_stats(df: DataFrame, column: str | None = None) -> DataFrame:
 
 
 def _with_parent_names(df: DataFrame, entities: DataFrame) -> DataFrame:
-    for kind in ("direct", "ultimate"):
-        key = f"{kind}_parent_lei"
-        df = lookup(
-            df,
-            entities,
-            key,
-            "lei",
-            "legal_name",
-            f"{kind}_parent_name",
-            hot=hot_keys(entities, key),
-        )
+    keys = [f"{kind}_parent_lei" for kind in ("direct", "ultimate")]
+    hot = hot_keys(entities, *keys)
+    for key in keys:
+        name = key.replace("_lei", "_name")
+        df = lookup(df, entities, key, "lei", "legal_name", name, hot=hot[key])
     return df
 
 

@@ -7,6 +7,7 @@ import pytest
 
 from tablework import queries as Q
 from tablework.operators import search as S
+from tablework.operators.skew import salted_join
 
 
 def plan(df):
@@ -41,6 +42,8 @@ def test_filters_and_columns_reach_the_scan(spark, folder):
     assert "ReadSchema: struct<l_orderkey:bigint,l_extendedprice:double,l_returnflag:string>" in text
 
 
-def test_summary_aggregates_hot_keys_once(spark, folder):
-    text = plan(Q.QUERIES["entity_summary"](spark, folder))
-    assert "approx_top_k" in text and "Subquery" in text
+def test_frequent_keys_are_salted(spark):
+    rows = spark.range(50_000).selectExpr("id", "if(id % 2 = 0, 7, id) AS key")
+    side = spark.range(10).selectExpr("id AS k", "id AS v")
+    assert "_salt" in plan(salted_join(rows, side, "key", "k", "left"))
+    assert "_salt" not in plan(salted_join(rows, side, "id", "k", "left"))

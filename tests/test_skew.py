@@ -5,7 +5,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from tablework.operators.skew import hot_keys, salted_join
+from tablework.operators.skew import Hot, hot_keys, salted_join
 from tablework.operators.timejoin import asof_join, range_join
 from tablework.plans.models import entity_hierarchies, entity_summary
 
@@ -37,10 +37,12 @@ def test_same_as_plain_join(spark, skewed, side, how, broadcast):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
     try:
         plain = skewed.join(side, F.col("key") == F.col("k"), how)
-        salted = salted_join(skewed, side, "key", "k", how)
         if how in ("inner", "left"):
-            plain, salted = plain.select("id", "key", "value"), salted.select("id", "key", "value")
-        assert bag(plain) == bag(salted)
+            plain = plain.select("id", "key", "value")
+        for hot in (Hot(), Hot(("hot",), True), Hot(("hot", "2", "absent")), Hot(nulls=True), None):
+            salted = salted_join(skewed, side, "key", "k", how, hot=hot)
+            assert salted.columns == plain.columns
+            assert bag(plain) == bag(salted)
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
@@ -50,9 +52,14 @@ def test_unsupported_type(skewed, side):
         salted_join(skewed, side, "key", "k", "full")
 
 
-def test_hot_key_found(spark, skewed):
-    found = spark.range(1).select(hot_keys(skewed, "key").alias("keys")).first()["keys"]
-    assert "hot" in found and len(found) <= 64
+def test_hot_keys(spark, skewed):
+    found = hot_keys(skewed, "key", "id")
+    assert found == {"key": Hot(("hot",), True), "id": Hot()}
+    assert not found["id"]
+    # Every key counts as frequent if one row is enough and the share is small, up to the number asked for.
+    small = hot_keys(skewed.limit(9), "key", k=3, min_rows=1)["key"]
+    assert "hot" in small.keys and None not in small.keys and small.nulls
+    assert hot_keys(skewed.limit(0), "key", min_rows=0)["key"].keys == ()
 
 
 def test_work_is_spread(spark, skewed, side):

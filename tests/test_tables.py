@@ -152,3 +152,14 @@ def test_stage_reads_back_and_uses_the_shared_folder(spark):
     staged = stage(spark.range(7).withColumn("x", F.lit(None).cast("string")))
     assert staged.count() == 7 and staged.columns == ["id", "x"]
     assert fresh_path(spark, "a") != fresh_path(spark, "a")
+
+
+def test_empty_inputs(spark, name):
+    none = frame(spark, [])
+    assert TB.replace_table(none, name) == 0
+    assert TB.append_table(none, name) == 0
+    assert TB.append_table(spark.range(5).filter("id > 9").selectExpr("'a' AS k", "'b' AS v"), name) == 0
+    assert TB.create_if_absent(none, name + "b") == 0
+    assert TB.latest_per_key(none, "k", "v").count() == 0
+    assert TB.upsert_rows(none, frame(spark, BATCH), "k").count() == 3
+    assert TB.upsert_rows(frame(spark, BATCH), none, "k").count() == 3
