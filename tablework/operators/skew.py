@@ -79,7 +79,7 @@ def salted_join(
 
     ``how`` is inner, left, left_semi or left_anti. The two sides must not share column names, and ``right_key`` is
     dropped. ``hot`` can be passed when ``left`` is expensive and its frequent keys are known from an earlier
-    step. ``spread_by`` names the columns that deal out the rows of one key; all columns of ``left`` by default.
+    step. ``spread_by`` names the columns that deal out the rows of one key; all that can be hashed by default.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type {how}")
@@ -91,7 +91,7 @@ def salted_join(
         split = col(left_key).isin(*hot.keys)
         if hot.nulls:
             split = col(left_key).isNull() | split
-        mixed = F.pmod(F.xxhash64(*[col(c) for c in spread_by or left.columns]), F.lit(spread))
+        mixed = F.pmod(F.xxhash64(*[col(c) for c in spread_by or _hashable(left)]), F.lit(spread))
         left = left.withColumn("_salt", F.when(split, mixed).otherwise(0).cast("int"))
         salts = F.when(
             col(right_key).isin(*hot.keys), F.sequence(F.lit(0), F.lit(spread - 1))
@@ -103,6 +103,11 @@ def salted_join(
     return left.join(right, on, how).drop("_salt", "_right_salt", right_key)
 
 
+def _hashable(df: DataFrame) -> list[str]:
+    """The columns that Spark can hash: no maps and variants."""
+    return [c for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
+
+
 def lookup(
     df: DataFrame,
     table: DataFrame,

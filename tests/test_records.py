@@ -1,10 +1,13 @@
+import io
 import json
+import urllib.error
+import urllib.request
 
 import pytest
 
 from tablework.schemas import PAGE_SCHEMA
 from tablework.sources.pages import cut_pages
-from tablework.sources.paged import get_patiently, paged_source
+from tablework.sources.paged import HttpPages, get_patiently, paged_source
 from tablework.sources.records import entities_of
 
 ENTITIES = [
@@ -110,3 +113,23 @@ def test_failures_are_tried_again():
 
     with pytest.raises(ConnectionError):
         get_patiently(dead, 1, wait=0)
+
+
+def test_http_pages_without_a_network(monkeypatch):
+    asked = []
+
+    class Answer(io.BytesIO):
+        status = 200
+
+    def urlopen(request, timeout):
+        asked.append((request.full_url, request.get_header("Accept"), timeout))
+        if "5D=2" in request.full_url:
+            raise urllib.error.HTTPError(request.full_url, 400, "limit", {}, None)
+        return Answer(NEXT.encode())
+
+    monkeypatch.setattr(urllib.request, "urlopen", urlopen)
+    get = HttpPages("http://example.invalid/records", page_size=50)
+    assert get(1) == (200, NEXT)
+    assert get(2) == (400, "")
+    url = "http://example.invalid/records?page%5Bsize%5D=50&page%5Bnumber%5D=1"
+    assert asked[0] == (url, "application/json", 30)

@@ -47,6 +47,12 @@ def test_same_as_plain_join(spark, skewed, side, how, broadcast):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_columns_that_cannot_be_hashed(spark, skewed, side):
+    odd = skewed.select("id", "key", F.create_map(F.lit("a"), F.col("id")).alias("m"))
+    found = salted_join(odd, side, "key", "k", "left", hot=Hot(("hot",), True))
+    assert found.count() == salted_join(skewed, side, "key", "k", "left", hot=Hot()).count()
+
+
 def test_unsupported_type(skewed, side):
     with pytest.raises(ValueError):
         salted_join(skewed, side, "key", "k", "full")
