@@ -539,7 +539,7 @@ def cosine_topk_batch(spark, folder):
       FROM embeddings), means AS (SELECT label, i, avg(x) AS m FROM cells GROUP BY ALL),
     centroids AS (SELECT label, list(m ORDER BY i) AS c FROM means GROUP BY label)
     SELECT vec_id, e.label, round(list_dot_product(embedding::DOUBLE[], c), 6) AS product,
-      round(list_cosine_similarity(embedding::DOUBLE[], c), 6) AS similarity
+      round(round(list_cosine_similarity(embedding::DOUBLE[], c), 9), 6) AS similarity
     FROM embeddings e JOIN centroids q ON q.label = e.label"""
 )
 def cosine_to_centroid(spark, folder):
@@ -684,7 +684,7 @@ def ask_many(spark, folder):
 
 
 @query(
-    f"""{SPARSE_BOTH} SELECT d.id AS doc_id, round(sum(one.w * d.w), 6) AS similarity FROM (SELECT bucket, w FROM q
+    f"""{SPARSE_BOTH} SELECT d.id AS doc_id, round(round(sum(one.w * d.w), 9), 6) AS similarity FROM (SELECT bucket, w FROM q
       WHERE id = (SELECT min(item_id) FROM benchmark)) AS one JOIN d USING (bucket) GROUP BY d.id
     ORDER BY round(sum(one.w * d.w), 9) DESC, d.id LIMIT 5"""
 )
