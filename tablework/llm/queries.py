@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablework.llm import common as C
-from tablework.llm import decontamination, exact, language, minhash, packing
+from tablework.llm import decontamination, exact, language, licenses, lines, minhash, packing, scoring, suffixes, urls
 from tablework.sources.files import read_parquet
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,6 +67,50 @@ def op1_decontamination(spark, folder):
     )
 
 
+@query()
+def op2_licenses(spark, folder):
+    found = licenses.scanned(table(spark, folder, "documents"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_base",
+        "first_word",
+        "last_word",
+        F.array_join("base_labels", ",").alias("base_labels"),
+        F.array_join("labels", ",").alias("labels"),
+        "score",
+    )
+
+
+@query(
+    r"""WITH p AS (SELECT page_id, lower(regexp_extract(split_part(url, '://', 2), '^[^/?#]*')) AS host,
+        list_filter(list_transform(string_split(regexp_replace(regexp_replace(coalesce(html, ''),
+            '(?is)<script\b.*?</script>|<style\b.*?</style>', chr(10), 'g'), '(?s)<!--.*?-->|<[^>]*>', chr(10), 'g'), chr(10)),
+            lambda x: regexp_replace(x, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g')), lambda x: x != '') AS lines FROM pages),
+    sites AS (SELECT host, count(*) AS host_pages FROM p GROUP BY host),
+    lines AS (SELECT host, line, count(*) AS n FROM (SELECT host, unnest(list_distinct(lines)) AS line FROM p) GROUP BY ALL),
+    gone AS (SELECT host, list(line) AS common FROM lines JOIN sites USING (host)
+        WHERE host_pages >= 3 AND n > 0.5 * host_pages GROUP BY host),
+    k AS (SELECT page_id, host, host_pages, lines, list_filter(lines, lambda x: common IS NULL OR NOT list_contains(common, x))
+        AS kept FROM p JOIN sites USING (host) LEFT JOIN gone USING (host))
+    SELECT page_id, host, host_pages, len(lines) AS n_lines, len(kept) AS n_kept, array_to_string(kept, chr(10)) AS text FROM k"""
+)
+def op3_site_lines(spark, folder):
+    pages = urls.with_parts(table(spark, folder, "pages").select("page_id", "url", "html"), F.col("url"))
+    found = lines.without_boilerplate(pages, lines.page_lines(F.col("html")), F.col("host"))
+    return found.withColumn("text", F.array_join("kept", "\n")).drop("kept")
+
+
+@query()
+def op4_mixing_scores(spark, folder):
+    return scoring.scores(table(spark, folder, "documents"))
+
+
+@query()
+def op5_repeats(spark, folder):
+    return suffixes.without_repeats(table(spark, folder, "documents"))
+
+
 @query()
 def op6_packing(spark, folder):
     import public_tokenizers
@@ -84,6 +128,21 @@ def op7_exact_dedup(spark, folder):
     return exact.copies(table(spark, folder, "documents")).drop("row")
 
 
+# The rules of the registered query.
+URL_RULES = [
+    (urls.ALLOW, "com/"),
+    (urls.BLOCK, "example.com/en/"),
+    (urls.ALLOW, "www.example.com/en/"),
+    (urls.BLOCK, "net/es/"),
+    (urls.BLOCK, "net/fr/"),
+]
+
+
+@query()
+def op8_urls(spark, folder):
+    return urls.filtered(table(spark, folder, "pages"), urls.rule_table(spark, URL_RULES))
+
+
 @query()
 def op9_minhash(spark, folder):
     return minhash.near_copies(table(spark, folder, "documents"), width=4).drop("row")
