@@ -8,7 +8,9 @@ length go into which bins. Tasks then place every piece by its rank among the pi
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +21,8 @@ from tablework.llm import common as C
 from tablework.session import stage
 
 CAPACITY = 2048
-# Words a worker remembers the ids of; beyond that it starts anew.
-KNOWN_WORDS = 200_000
+# Parts of words a worker remembers the ids of; beyond that it starts anew.
+KNOWN_PARTS = 300_000
 
 
 class Tightest:
@@ -87,39 +89,89 @@ def packing_rules(counts: dict[int, int], capacity: int) -> np.ndarray:
     return np.array(sorted(rules), np.int64).reshape(-1, 5)
 
 
-def _encoder(tokenizer: str):
-    """A function from texts in bytes to little-endian ids in bytes.
+# The bytes of printable ASCII, white space and accented Latin letters in UTF-8.
+_PLAIN = bytes([*range(9, 14), *range(32, 127), 0xC3, *range(0x80, 0xC0)])
+# How the tokenizer's own rule splits lower-case text of these characters.
+_PARTS = re.compile("[a-zß-öø-ÿ]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^a-zß-öø-ÿ0-9 \t-\r]+")
 
-    No token reaches across white space and the tokenizer drops it, so words are encoded once and remembered.
-    """
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
 
-    model, known = Tokenizer.from_str(tokenizer), {}
+class Encoder:
+    """From texts in bytes to little-endian ids in bytes.
 
-    def encode(texts: list[bytes]) -> list[bytes]:
-        if len(known) > KNOWN_WORDS:
-            known.clear()
-        words = [t.split() for t in texts]
-        new = list({w for ws in words for w in ws if w not in known})
-        found = model.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-        for word, one in zip(new, found):
-            known[word] = np.array(one.ids, "<u4").tobytes()
-        return [b"".join([known[w] for w in ws]) for ws in words]
+    A text of printable ASCII and accented Latin letters needs no normalisation but lower case. It is split here by the
+    tokenizer's rule and each part merged by the tokenizer's model, once, as a worker remembers parts from task to task.
+    Of any other text the words that are not of this kind go through the tokenizer as they are: no token reaches across
+    white space.
+    """
 
-    return encode
+    def __init__(self, tokenizer: str):
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.whole = Tokenizer.from_str(tokenizer)
+        self.model = self.whole.model
+        self.special = sorted(t.content.encode() for t in self.whole.get_added_tokens_decoder().values())
+        self.parts: dict[str, bytes] = {}
+        # The printable sign of each byte in the model's vocabulary.
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [b for b in range(256) if b not in set(shown)]
+        self.signs = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+    def _part(self, part: str) -> bytes:
+        signs = part if part.isascii() else part.encode().decode("latin-1").translate(self.signs)
+        return array("I", [t.id for t in self.model.tokenize(signs)]).tobytes()
+
+    def _plain(self, text: bytes) -> bytes:
+        parts = _PARTS.findall(text.decode().lower())
+        ids = list(map(self.parts.get, parts))
+        if None in ids:
+            if len(self.parts) > KNOWN_PARTS:
+                self.parts.clear()
+            for i, found in enumerate(ids):
+                if found is None:
+                    part = parts[i]
+                    found = self.parts.get(part)
+                    if found is None:
+                        found = self.parts[part] = self._part(part)
+                    ids[i] = found
+        return b"".join(ids)
+
+    def _word(self, word: bytes) -> bytes:
+        if self._is_plain(word):
+            return self._plain(word)
+        ids = self.whole.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
+        return array("I", ids).tobytes()
+
+    def _is_plain(self, text: bytes) -> bool:
+        return not text.translate(None, _PLAIN) and not (b"<" in text and any(s in text for s in self.special))
+
+    def __call__(self, text: bytes) -> bytes:
+        if self._is_plain(text):
+            return self._plain(text)
+        return b"".join(map(self._word, text.split()))
+
+
+_encoders: dict[int, Encoder] = {}
+
+
+def _encoder(tokenizer: str) -> Encoder:
+    """The worker's encoder for a tokenizer, which keeps what it knows from task to task."""
+    key = zlib.crc32(tokenizer.encode())
+    if key not in _encoders:
+        _encoders.clear()
+        _encoders[key] = Encoder(tokenizer)
+    return _encoders[key]
 
 
 def _pieces(tokenizer, capacity: int, end: bytes, keep_ids: bool):
     def run(batches):
         encode = _encoder(tokenizer.value)
         for batch, data, offsets in C.slices(batches):
-            texts = [data[a:b].tobytes() for a, b in zip(offsets, offsets[1:])]
             out = ([], [], [], [], [], [])
-            for row, ids in enumerate(encode(texts)):
-                ids += end
+            for row, (a, b) in enumerate(zip(offsets, offsets[1:])):
+                ids = encode(data[a:b].tobytes()) + end
                 for piece, start in enumerate(range(0, len(ids) // 4, capacity)):
                     part = ids[4 * start : 4 * (start + capacity)]
                     values = (row, piece, start, len(part) // 4, zlib.crc32(part), part if keep_ids else None)
