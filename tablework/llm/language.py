@@ -1,11 +1,11 @@
 """Language identification by a bidirectional gated recurrent network over bytes, trained in numpy.
 
-The network reads words, each with the space before it, in both directions and gives every byte a probability for each
-language; a document's probabilities are the mean over the bytes of its letters. It is trained by backpropagation
+The network reads words, runs of letters, each with a space before it, in both directions and gives every byte a
+probability for each language; a document's probabilities are the mean over the bytes of its letters. It is trained by backpropagation
 through time on a bounded sample of labelled rows: the ``TRAIN_ROWS`` rows of each language that come first by a hash of
 their id, and of each of these the ``TRAIN_WORDS`` different words that come first by a hash. Prediction reads all words
-of all texts. Words come back often, so a worker labels a word once and remembers the sum over its bytes; that changes
-no result, as the network starts anew at every word.
+of all texts. Words come back often, so a worker labels a word once and remembers the sum over its bytes, from task
+to task; that changes no result, as the network starts anew at every word.
 """
 
 from __future__ import annotations
@@ -29,16 +29,18 @@ BATCH = 256
 RATE = 0.01
 # Longer words are read in runs of so many bytes.
 LONGEST = 30
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 200_000
 UNKNOWN = "und"
 
-_LETTERS = np.zeros(256, np.float32)
-_LETTERS[65:91] = _LETTERS[97:123] = _LETTERS[128:] = 1
+# A word is a run of letters: a-z, A-Z in lower case, and all bytes of characters beyond ASCII.
+_WORDS = bytes(
+    b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
+)
 _LETTER = re.compile(r"[^\W\d_]")
 
 
 def _sigmoid(x):
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30, out=x)))
 
 
 class Network:
@@ -59,8 +61,8 @@ class Network:
     def _read(self, words: np.ndarray, way: str, trace: list | None = None) -> np.ndarray:
         """States after each byte; ``words`` has one row per word."""
         w, n = self.weights, self.units
-        state = np.zeros((len(words), n), np.float32)
-        states = np.empty((words.shape[1], len(words), n), np.float32)
+        state = np.zeros((len(words), n), w["bias"].dtype)
+        states = np.empty((words.shape[1], len(words), n), state.dtype)
         order = range(words.shape[1])
         for t in order if way == "f" else reversed(order):
             inputs = w["in" + way][words[:, t]]
@@ -127,24 +129,25 @@ class Network:
         return loss
 
     def label_words(self, words: list[bytes]) -> np.ndarray:
-        """For each word the sums of its letters' probabilities, and the number of these letters."""
-        runs, owner = [], []
-        for i, word in enumerate(words):
-            for start in range(0, len(word), LONGEST):
-                runs.append(word[start : start + LONGEST])
-                owner.append(i)
-        out = np.zeros((len(words), len(self.languages) + 1), np.float32)
-        owner = np.array(owner, np.int64)
-        sizes = np.array([len(r) for r in runs], np.int64)
-        for size in np.unique(sizes):
-            group = np.flatnonzero(sizes == size)
-            for begin in range(0, len(group), 4096):
-                some = group[begin : begin + 4096]
-                table = _table([runs[i] for i in some], int(size))
-                weight = _LETTERS[table][:, :, None]
-                sums = (self.probabilities(table) * weight).sum(1)
-                np.add.at(out, owner[some], np.concatenate([sums, weight.sum(1)], 1))
-        return out
+        """For each word the sums of its bytes' probabilities, and the number of these bytes."""
+        sizes = np.array([len(w) for w in words], np.int64)
+        data = np.frombuffer(b"".join(words), np.uint8)
+        starts = np.cumsum(sizes) - sizes
+        pieces = -(-sizes // LONGEST)
+        owner = np.repeat(np.arange(len(words)), pieces)
+        inside = (np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * LONGEST
+        first, sizes = starts[owner] + inside, np.minimum(sizes[owner] - inside, LONGEST)
+        sums = np.empty((len(owner), len(self.languages) + 1), np.float32)
+        order = np.argsort(sizes, kind="stable")
+        for group in np.split(order, np.flatnonzero(np.diff(sizes[order])) + 1):
+            for begin in range(0, len(group), 2048):
+                some = group[begin : begin + 2048]
+                size = int(sizes[some[0]])
+                table = np.full((len(some), size + 1), 32, np.uint8)
+                table[:, 1:] = data[first[some][:, None] + np.arange(size)]
+                sums[some, :-1] = self.probabilities(table)[:, 1:].sum(1)
+                sums[some, -1] = size
+        return np.add.reduceat(sums, np.cumsum(pieces) - pieces)
 
 
 def _table(words: list[bytes], size: int) -> np.ndarray:
@@ -154,16 +157,14 @@ def _table(words: list[bytes], size: int) -> np.ndarray:
 
 
 def byte_labels(model: Network, text: str) -> list[str | None]:
-    """The language of every byte of a text; white space has none."""
-    labels: list[str | None] = []
-    for part in re.split(rb"([\x20\x09-\x0D]+)", text.encode()):
-        if not part or part.isspace():
-            labels += [None] * len(part)
-            continue
-        for start in range(0, len(part), LONGEST):
-            run = part[start : start + LONGEST].lower()
+    """The language of every byte of a text; what is no letter has none."""
+    data = text.encode()
+    labels: list[str | None] = [None] * len(data)
+    for word in re.finditer(rb"[^ ]+", data.translate(_WORDS)):
+        for start in range(word.start(), word.end(), LONGEST):
+            run = data.translate(_WORDS)[start : min(start + LONGEST, word.end())]
             best = model.probabilities(_table([run], len(run)))[0, 1:].argmax(1)
-            labels += [model.languages[i] for i in best]
+            labels[start : start + len(run)] = [model.languages[i] for i in best]
     return labels
 
 
@@ -194,11 +195,11 @@ def _training_words(batches):
     for batch, data, offsets in C.slices(batches):
         words = []
         for a, b in zip(offsets, offsets[1:]):
-            different = sorted(set(data[a:b].tobytes().lower().split()))
+            different = sorted(set(data[a:b].tobytes().translate(_WORDS).split()))
             if len(different) > TRAIN_WORDS:
                 spread = C.mixed(np.arange(len(different), dtype=np.uint64))
                 different = [different[i] for i in np.sort(np.argsort(spread, kind="stable")[:TRAIN_WORDS])]
-            words.append([w for w in different if any(_LETTERS[c] for c in w)])
+            words.append(different)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.list_(pa.binary()))], ["lang", "words"])
 
 
@@ -230,36 +231,57 @@ def fit(labelled: DataFrame, id_column: str = "doc_id", text_column: str = "text
     return trained([(r["lang"], [bytes(w) for w in r["words"]]) for r in sample.collect()])
 
 
+class Reader:
+    """A network in a worker, with the words it has labelled."""
+
+    def __init__(self, network: Network):
+        self.network, self.known = network, {}
+        self.sums = np.zeros((1024, len(network.languages) + 1), np.float32)
+
+    def totals(self, texts: list[bytes]) -> np.ndarray:
+        """For each text the sums over its words, as of ``label_words``."""
+        if len(self.known) > KNOWN_WORDS:
+            self.known.clear()
+        known = self.known
+        words = [t.translate(_WORDS).split() for t in texts]
+        found = [list(map(known.get, ws)) for ws in words]
+        new = list({w for ws, ids in zip(words, found) if None in ids for w, i in zip(ws, ids) if i is None})
+        if new:
+            begin, end = len(known), len(known) + len(new)
+            if end > len(self.sums):
+                self.sums = np.concatenate([self.sums, np.zeros((end, self.sums.shape[1]), np.float32)])
+            self.sums[begin:end] = self.network.label_words(new)
+            known.update(zip(new, range(begin, end)))
+            found = [list(map(known.get, ws)) if None in ids else ids for ws, ids in zip(words, found)]
+        return np.array([self.sums[ids].sum(0, dtype=np.float64) for ids in found])
+
+
+_readers: dict[bytes, Reader] = {}
+
+
+def _reader(network: Network) -> Reader:
+    """The worker's reader for a network, which keeps what it knows from task to task."""
+    key = b"".join(network.weights[name].tobytes() for name in sorted(network.weights))
+    if key not in _readers:
+        _readers.clear()
+        _readers[key] = Reader(network)
+    return _readers[key]
+
+
 def _predictor(model):
     def run(batches):
         network: Network | None = model.value
-        known: dict[bytes, int] = {}
-        sums = np.zeros((0, 0), np.float32)
+        reader = _reader(network) if network else None
         for batch, data, offsets in C.slices(batches):
-            names, scores = [], []
+            names, scores = [UNKNOWN] * len(batch), [0.0] * len(batch)
             texts = [data[a:b].tobytes() for a, b in zip(offsets, offsets[1:])]
-            words = [t.lower().split() for t in texts] if network else [[] for _ in texts]
-            if network:
-                if len(known) > KNOWN_WORDS:
-                    known, sums = {}, sums[:0]
-                new = list({w for ws in words for w in ws if w not in known})
-                if new:
-                    known.update(zip(new, range(len(known), len(known) + len(new))))
-                    found = network.label_words(new)
-                    sums = np.concatenate([sums, found]) if len(sums) else found
-            for text, ws in zip(texts, words):
-                total = sums[[known[w] for w in ws]].sum(0, dtype=np.float64) if ws else None
-                if total is None or not total[-1] or not _LETTER.search(text.decode("utf-8", "replace")):
-                    names.append(UNKNOWN)
-                    scores.append(0.0)
-                else:
+            for i, total in enumerate(reader.totals(texts) if reader else ()):
+                if total[-1] and _LETTER.search(texts[i].decode("utf-8", "replace")):
                     best = int(total[:-1].argmax())
-                    names.append(network.languages[best])
-                    scores.append(min(1.0, float(total[best] / total[-1])))
-            columns = [batch.column(i) for i in range(batch.num_columns)]
+                    names[i], scores[i] = network.languages[best], min(1.0, float(total[best] / total[-1]))
             kept = [n for n in range(batch.num_columns) if batch.schema.names[n] != "text"]
             yield pa.RecordBatch.from_arrays(
-                [*(columns[n] for n in kept), pa.array(names, pa.string()), pa.array(scores, pa.float64())],
+                [*(batch.column(n) for n in kept), pa.array(names, pa.string()), pa.array(scores, pa.float64())],
                 [*(batch.schema.names[n] for n in kept), "lang_pred", "score"],
             )
 

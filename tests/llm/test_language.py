@@ -39,9 +39,12 @@ def test_words_remembered_give_what_the_bytes_give():
     sums = model.label_words([b"the", b"x" * 70, b"12"])
     one = model.probabilities(np.frombuffer(b" the", np.uint8)[None])[0]
     assert np.allclose(sums[0, :-1], one[1:].sum(0), atol=1e-5) and sums[0, -1] == 3
-    assert sums[1, -1] == 70 and sums[2, -1] == 0
+    assert sums[1, -1] == 70 and sums[2, -1] == 2
+    reader = language.Reader(model)
+    assert np.allclose(reader.totals([b"The 12 x-the", b""])[0], sums[0] * 2 + model.label_words([b"x"])[0], atol=1e-4)
     labels = language.byte_labels(model, "the  und")
     assert labels[3] is None and labels[:3] == ["en"] * 3 and labels[5:] == ["de"] * 3
+    assert language.byte_labels(model, "\u00e92 ,")[2:] == [None] * 3
 
 
 def test_odd_rows(spark, frame):
