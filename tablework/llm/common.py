@@ -16,9 +16,9 @@ from tablework.session import ship, stage
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 8 << 20
 # Text that one numpy pass works on at a time. A longer document makes a pass of its own.
-SLICE_BYTES = 2 << 20
-# Rows of an Arrow batch, so that the text of one batch stays small in a worker.
-BATCH_ROWS = 1000
+SLICE_BYTES = 1 << 20
+# Rows and bytes of an Arrow batch, so that the text of one batch stays small in a worker.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 SPACE = r"[\x20\x09-\x0D]"
 
@@ -27,6 +27,7 @@ def ready(spark: SparkSession) -> None:
     """Settings that the operators rely on; the package goes to the workers."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     ship(spark)
 
 
