@@ -8,9 +8,6 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,7 +16,7 @@ from tablework.functions.columns import col
 from tablework.functions.rows import pretty_json, row_json
 from tablework.functions.vectors import SCORE_DIGITS, as_matrix, cosine_with
 from tablework.operators.skew import salted_join
-from tablework.operators.textindex import GROUP, NORM, VECTOR, Embedder, embed_text
+from tablework.operators.textindex import EVERY, GROUP, NORM, VECTOR, Embedder, embed_text
 from tablework.session import ship, stage
 
 # --- fixed values: result sizes and texts of an answer ------------------------------------------
@@ -31,6 +28,9 @@ NO_DATA = "No relevant data found. Please vectorize your tables first."
 FOUND = "Here are the most relevant records for your question:"
 # --- end of fixed values ------------------------------------------------------------------------
 
+# The column of similarities to a pivot.
+PIVOT = "pivot_similarity"
+
 # The queries of a batch are sent to every task if they take no more memory than this.
 QUERY_BYTES = 64 << 20
 # Scores held at a time by one task, and rows of the index per cell of the grid.
@@ -123,50 +123,54 @@ def search_by_group(
     return _scored(ranked.filter(F.col("rank") <= k))
 
 
-def search_approx(
+def search_pruned(
     index: DataFrame,
     query: list[float],
     key: str,
+    pivot: list[float],
     k: int = TOP_K,
     vector: str = VECTOR,
-    bucket_length: float = 1.0,
-    hash_tables: int = 6,
-    seed: int = 42,
 ) -> DataFrame:
-    """Approximate form of ``search`` for dense vectors, by random projections.
+    """``search`` for dense vectors whose similarity to ``pivot`` is stored with the index (see ``with_pivot``).
 
-    It may miss some of the best rows; measure its recall against ``search`` before using it.
+    Two angles bound the third: the similarity to the query lies between the cosines of the sum and of the difference
+    of the angles that the pivot makes with either. The ``k``-th best lower bound, from the stored numbers alone, rules
+    out all rows whose upper bound is below it; the others are scored. The result is that of ``search``.
     """
     _check_k(k)
-    unit = Normalizer(inputCol="_raw", outputCol="_unit", p=2.0)
-    rows = index.filter(F.exists(col(vector), lambda x: x != 0))
-    rows = unit.transform(rows.withColumn("_raw", array_to_vector(col(vector))))
-    hashing = BucketedRandomProjectionLSH(
-        inputCol="_unit",
-        outputCol="_hashes",
-        bucketLength=bucket_length,
-        numHashTables=hash_tables,
-        seed=seed,
-    ).fit(rows)
-    direction = np.asarray(query, dtype=np.float64)
-    direction = Vectors.dense(direction / np.linalg.norm(direction))
-    near = hashing.approxNearestNeighbors(rows, direction, k, distCol="_distance")
-    # For vectors of length one, distance**2 = 2 - 2 * cosine.
-    value = F.round(1 - F.col("_distance") ** 2 / 2, SCORE_DIGITS)
-    rest = [col(c) for c in index.columns if c not in (vector, NORM)]
-    return near.select(*rest, value.alias("similarity"))
-
-
-def search_postings(
-    postings: DataFrame, query, key: str, k: int = TOP_K, groups: int = 1024
-) -> DataFrame:
-    """``search`` on what ``store_postings`` wrote: the ``k`` best of the rows that share a word with the query.
+    near = float(np.dot(query, pivot) / (np.linalg.norm(query) * np.linalg.norm(pivot)))
+    angle, own = F.lit(float(np.arccos(np.clip(near, -1, 1)))), F.acos(F.col(PIVOT))
+    # Stored similarities are rounded; the slack is far above what that can change.
+    slack = 1e-4
+    lowest = F.cos(F.least(angle + own, F.lit(np.pi))) - slack
+    highest = F.cos(F.abs(angle - own)) + slack
+    bounds = index.filter(F.col(PIVOT).isNotNull()).select(lowest.alias("lowest")).orderBy(F.desc("lowest")).limit(k)
+    bar = bounds.agg(F.min("lowest")).first()[0]
+    rows = index.filter(F.col(PIVOT).isNotNull())
+    rows = rows.filter(highest >= bar) if bar is not None else rows
+    return search(rows.drop(PIVOT), query, key, k, vector)
+
+
+def with_pivot(index: DataFrame, pivot: list[float], vector: str = VECTOR) -> DataFrame:
+    """``index`` with each row's similarity to ``pivot``, null for a zero vector."""
+    ship(index.sparkSession)
+    value = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine_with(col(vector), pivot, None)))
+    return index.withColumn(PIVOT, F.when(cosine_with(col(vector), pivot, None).isNotNull(), value))
 
-    Only the entries of the query's own buckets are read. They are summed per row before the shuffle, and a row
-    has at most one of them per bucket.
+
+def search_postings(postings: DataFrame, query, key: str, k: int = TOP_K) -> DataFrame:
+    """``search`` on what ``store_postings`` wrote.
+
+    Only the entries of the query's own buckets are read, and summed per row. If fewer than ``k`` rows share a word
+    with the query, the first other rows by key follow with similarity 0, as they do in ``search``.
     """
     _check_k(k)
-    length = float(np.linalg.norm(query["weights"])) if query["weights"] else 1.0
+    columns = [col(key), F.lit(0.0).alias("similarity")]
+    stored = postings.select("groups").first()
+    if stored is None or not query["buckets"]:
+        return postings.select(*columns).limit(0)
+    groups = stored["groups"]
+    length = float(np.linalg.norm(query["weights"]))
     wanted = [(b, w / length) for b, w in zip(query["buckets"], query["weights"])]
     spark = postings.sparkSession
     words = spark.createDataFrame(wanted, "_bucket int, _weight double")
@@ -175,13 +179,20 @@ def search_postings(
         F.col(GROUP).isin(sorted({b % groups for b in buckets})) & F.col("bucket").isin(buckets)
     )
     value = F.round(F.sum(F.col("weight") * F.col("_weight")), SCORE_DIGITS)
-    return (
+    order = [F.desc("similarity"), col(key)]
+    best = (
         found.join(words, F.col("bucket") == F.col("_bucket"))
         .groupBy(col(key))
         .agg(value.alias("similarity"))
-        .orderBy(F.desc("similarity"), col(key))
+        .orderBy(*order)
         .limit(k)
     )
+    missing = k - best.count()
+    if not missing:
+        return best
+    others = postings.filter((F.col(GROUP) == EVERY % groups) & (F.col("bucket") == EVERY)).select(*columns)
+    others = others.join(best.select(col(key)), key, "left_anti").orderBy(col(key)).limit(missing)
+    return best.unionByName(others).orderBy(*order)
 
 
 # ---- many questions --------------------------------------------------------------------------------
@@ -339,7 +350,8 @@ def search_many(
         [queries.schema[query_key], index.schema[key], T.StructField("similarity", T.DoubleType())]
     )
     size = F.size(VECTOR) if _is_dense(queries) else 2 * F.size(f"{VECTOR}.buckets")
-    needed = queries.agg((8 * F.sum(size + 2)).alias("bytes")).first()["bytes"] or 0
+    named = F.coalesce(F.octet_length(col(query_key).cast("string")), F.lit(0))
+    needed = queries.agg(F.sum(8 * size + 16 + named).alias("bytes")).first()["bytes"] or 0
     if needed <= query_bytes:
         hits = _match_everywhere(index, queries, schema, k)
     else:
@@ -381,7 +393,8 @@ def _match_in_grid(
     arrow = _arrow_schema(schema)
 
     def dealt(df: DataFrame, own: str, n: int, other: str, m: int) -> DataFrame:
-        mine = F.pmod(F.xxhash64(*[col(c) for c in df.columns[:1]]), F.lit(n)).cast("int")
+        # By the whole row, so that rows of one key, or of none, spread too.
+        mine = F.pmod(F.xxhash64(*[col(c) for c in df.columns]), F.lit(n)).cast("int")
         every = F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
         return df.withColumn(own, mine).withColumn(other, every)
 

@@ -1,7 +1,7 @@
 """Equi-joins that stay balanced when a few keys hold most of the rows.
 
-``hot_keys`` finds the frequent keys of the large side by one map-side-combined sketch, of which at most ``k`` keys
-reach the driver. Rows with such a key, or with a null key if these are many, are dealt out over ``spread`` salts;
+``hot_keys`` finds the frequent keys of the large side by one map-side-combined sketch, of which at most two keys per
+shuffle partition reach the driver: no more can hold over half an average partition. Rows with such a key, or with a null key if these are many, are dealt out over ``spread`` salts;
 the rows of the other side that carry a frequent key are repeated once per salt. All other keys get salt 0 on both
 sides, so the other side hardly grows. The sketch only decides what is salted, never what is joined: the result is
 exact whatever it returns, because both sides are salted by the same literal list. Without frequent keys this is a
@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 
 from tablework.functions.columns import col, quoted
 
-HOT_KEYS = 64
 # Fewer rows of one key are no load for a task, whatever their share.
 MIN_ROWS = 10_000
 
@@ -38,16 +37,19 @@ def spread_of(df: DataFrame) -> int:
 
 
 def hot_keys(
-    df: DataFrame, *columns: str, k: int = HOT_KEYS, min_rows: int = MIN_ROWS
+    df: DataFrame, *columns: str, k: int | None = None, min_rows: int = MIN_ROWS
 ) -> dict[str, Hot]:
     """The frequent keys of each column, in one pass over these columns.
 
     Frequent means more than half of what a shuffle partition gets on average, and at least ``min_rows``.
     """
+    k = k or 2 * spread_of(df)
+    # The sketch must track several times as many keys as it reports for their counts to be close.
+    tracked = min(1_000_000, max(10_000, 8 * k))
     sketches = []
     for i, name in enumerate(columns):
         sketches += [
-            F.expr(f"approx_top_k({quoted(name)}, {k})").alias(f"top{i}"),
+            F.expr(f"approx_top_k({quoted(name)}, {k}, {tracked})").alias(f"top{i}"),
             F.count_if(col(name).isNull()).alias(f"nulls{i}"),
         ]
     found = df.agg(F.count("*").alias("rows"), *sketches).first()

@@ -4,19 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from contextlib import contextmanager
+from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablework.functions.columns import col, quoted, quoted_table
 from tablework.operators.skew import salted_join
 from tablework.schemas import ENTITY_SCHEMA
-from tablework.session import stage
+from tablework.session import discard, stage
 
-BUCKET = "_bucket"
-_KEY_PROPERTY, _BUCKETS_PROPERTY = "tablework.key", "tablework.buckets"
-DEFAULT_BUCKETS = 256
+VERSION = "_version"
+_KEY_PROPERTY = "tablework.key"
+_LOSSY = "_lossy"
+# Later versions are merged into the base when they have more than this share of its rows.
+COMPACT_SHARE = 0.25
 
 
 # ---- plain tables ---------------------------------------------------------------------------
@@ -68,6 +71,11 @@ def replace_table(df: DataFrame, table: str, path: str | None = None) -> int:
 
 
 def drop_table(spark: SparkSession, table: str) -> None:
+    """Drop a table, and the view over it if it is a keyed one."""
+    if spark.catalog.tableExists(table):
+        properties = {r["key"] for r in spark.sql(f"SHOW TBLPROPERTIES {quoted_table(table)}").collect()}
+        if _KEY_PROPERTY in properties:
+            spark.sql(f"DROP VIEW IF EXISTS {quoted_table(rows_view(table))}")
     spark.sql(f"DROP TABLE IF EXISTS {quoted_table(table)}")
 
 
@@ -96,46 +104,121 @@ def _counted(df: DataFrame) -> tuple[DataFrame, Observation]:
 
 
 # ---- keyed tables ---------------------------------------------------------------------------
-
-
-def bucket_of(key: str, buckets: int):
-    return F.pmod(F.xxhash64(col(key)), F.lit(buckets)).cast("int")
+#
+# A keyed table is a Parquet table of versions and a view over it that shows its rows. An upsert adds the batch as a
+# version and then changes the view; nothing that is there is rewritten, and a batch that fails on the way was never
+# visible. The view takes the base version, without the keys of later ones, and the newest version of each later key.
+# When the later versions have grown to ``COMPACT_SHARE`` of the base, they become one new base.
 
 
 def create_keyed_table(
-    spark: SparkSession,
-    table: str,
-    schema: T.StructType,
-    key: str,
-    buckets: int = DEFAULT_BUCKETS,
-    path: str | None = None,
+    spark: SparkSession, table: str, schema: T.StructType, key: str, path: str | None = None
 ) -> None:
-    """An empty parquet table for ``upsert``, partitioned by a hash of its key.
-
-    Choose ``buckets`` so that one bucket is what an upsert may rewrite at a time; a bucket is
-    written by several tasks when it is large, so it need not fit one of them.
-    """
+    """An empty table for ``upsert``, unless it exists. ``keyed_rows`` and the view ``<table>_rows`` show its rows."""
+    if spark.catalog.tableExists(table):
+        return
     columns = ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in schema.fields)
     location = f"LOCATION '{path}'" if path else ""
     spark.sql(
-        f"CREATE TABLE IF NOT EXISTS {quoted_table(table)} ({columns}, {BUCKET} int) "
-        f"USING parquet PARTITIONED BY ({BUCKET}) {location} "
-        f"TBLPROPERTIES ('{_KEY_PROPERTY}'='{key}', '{_BUCKETS_PROPERTY}'='{buckets}')"
+        f"CREATE TABLE {quoted_table(table)} ({columns}, {VERSION} bigint) "
+        f"USING parquet PARTITIONED BY ({VERSION}) {location} TBLPROPERTIES ('{_KEY_PROPERTY}'='{key}')"
     )
+    _commit(spark, table, _State(key))
 
 
-def create_entity_table(
-    spark: SparkSession,
-    table: str = "entities",
-    buckets: int = DEFAULT_BUCKETS,
-    path: str | None = None,
-) -> None:
-    create_keyed_table(spark, table, ENTITY_SCHEMA, "lei", buckets, path)
+def create_entity_table(spark: SparkSession, table: str = "entities", path: str | None = None) -> None:
+    create_keyed_table(spark, table, ENTITY_SCHEMA, "lei", path)
+
+
+def rows_view(table: str) -> str:
+    """The name of the view that shows the rows of a keyed table."""
+    return f"{table}_rows"
 
 
 def keyed_rows(spark: SparkSession, table: str) -> DataFrame:
-    """The rows of a keyed table, without its bucket column."""
-    return spark.table(table).drop(BUCKET)
+    """The rows of a keyed table, as of the last upsert that ended."""
+    # Another session, such as that of a stream, may have written since this one listed the files.
+    spark.catalog.refreshTable(table)
+    return spark.table(rows_view(table))
+
+
+@dataclass(frozen=True)
+class _State:
+    """What the view shows: the base version, the last version, and how many rows each side has."""
+
+    key: str
+    base: int = 0
+    last: int = 0
+    base_rows: int = 0
+    later_rows: int = 0
+
+
+def _state(spark: SparkSession, table: str) -> _State:
+    rows = spark.sql(f"SHOW TBLPROPERTIES {quoted_table(table)}").collect()
+    properties = {r["key"]: r["value"] for r in rows}
+    if _KEY_PROPERTY not in properties:
+        raise LookupError(f"{table} is not a keyed table")
+    numbers = spark.sql(f"SHOW TBLPROPERTIES {quoted_table(rows_view(table))}").collect()
+    found = {r["key"]: r["value"] for r in numbers}
+    return _State(
+        properties[_KEY_PROPERTY],
+        *(int(found[f"tablework.{f}"]) for f in ("base", "last", "base_rows", "later_rows")),
+    )
+
+
+def _commit(spark: SparkSession, table: str, state: _State) -> None:
+    """One statement: the view shows the new state, and carries its numbers."""
+    columns = [c for c in spark.table(table).columns if c != VERSION]
+    names, key, source = ", ".join(map(quoted, columns)), quoted(state.key), quoted_table(table)
+    query = f"SELECT {names} FROM {source} WHERE {VERSION} = {state.base}"
+    if state.last > state.base:
+        later = f"FROM {source} WHERE {VERSION} > {state.base} AND {VERSION} <= {state.last}"
+        query = (
+            f"SELECT {names} FROM {source} b WHERE {VERSION} = {state.base} AND NOT EXISTS (SELECT 1 FROM "
+            f"(SELECT DISTINCT {key} AS changed {later}) WHERE changed = b.{key}) "
+            f"UNION ALL SELECT {names} FROM (SELECT *, max({VERSION}) OVER (PARTITION BY {key}) AS newest {later} "
+            f"AND {key} IS NOT NULL) WHERE {VERSION} = newest "
+            f"UNION ALL SELECT {names} {later} AND {key} IS NULL"
+        )
+    numbers = ", ".join(
+        f"'tablework.{f}'='{getattr(state, f)}'" for f in ("base", "last", "base_rows", "later_rows")
+    )
+    spark.sql(f"CREATE OR REPLACE VIEW {quoted_table(rows_view(table))} TBLPROPERTIES ({numbers}) AS {query}")
+
+
+def _write_version(rows: DataFrame, table: str, version: int) -> int:
+    """Write a version and return how many rows it has, which their files tell."""
+    names = [col(c) for c in rows.sparkSession.table(table).columns if c != VERSION]
+    overwrite_partitions(rows.select(*names, F.lit(version).cast("bigint").alias(VERSION)), table)
+    rows.sparkSession.catalog.refreshTable(table)
+    return rows.sparkSession.table(table).filter(F.col(VERSION) == version).count()
+
+
+def compact(spark: SparkSession, table: str) -> None:
+    """Make what the view shows the new base, and remove the versions before it once the view has changed."""
+    state = _state(spark, table)
+    version = state.last + 1
+    written = _write_version(keyed_rows(spark, table), table, version)
+    _commit(spark, table, _State(state.key, version, version, written, 0))
+    for row in spark.sql(f"SHOW PARTITIONS {quoted_table(table)}").collect():
+        if int(row[0].split("=")[1]) < version:
+            spark.sql(f"ALTER TABLE {quoted_table(table)} DROP PARTITION ({row[0]}) PURGE")
+
+
+def _as_in_table(batch: DataFrame, table: str) -> tuple[DataFrame, Column]:
+    """The batch in the table's columns and types, and a condition that finds rows that lose something by it."""
+    fields = [f for f in batch.sparkSession.table(table).schema.fields if f.name != VERSION]
+    kinds = {f.name: f.dataType for f in batch.schema.fields}
+    lossy, columns = F.lit(False), []
+    for f in fields:
+        if kinds[f.name] == f.dataType:
+            columns.append(col(f.name))
+            continue
+        cast = col(f.name).try_cast(f.dataType)
+        same = cast.try_cast(kinds[f.name]).eqNullSafe(col(f.name))
+        lossy = lossy | ~same
+        columns.append(cast.alias(f.name))
+    return batch.select(*columns, lossy.alias(_LOSSY)), F.col(_LOSSY)
 
 
 def upsert_rows(target: DataFrame, batch: DataFrame, key: str) -> DataFrame:
@@ -179,43 +262,65 @@ def upsert(
 ) -> int:
     """Apply ``batch`` to a keyed table and return the table's row count.
 
-    Only the buckets that the batch touches are read and rewritten, by Spark's dynamic partition
-    overwrite. Applying the same batch again gives the same rows, as long as no key is null: such rows match
-    nothing and would be added again. They are an error unless ``null_keys`` is ``keep``. One writer at a
-    time. ``staged`` says that the batch is cheap to read again, so that it is not written out first.
+    The batch is cast to the table's types; values that do not survive that are an error. It becomes a version of the
+    table of its own, so the work is in proportion to the batch. Applying the same batch again gives the same rows,
+    as long as no key is null: such rows match nothing and would be added again. They are an error unless ``null_keys``
+    is ``keep``. With ``dedupe_by`` a key's greatest row by that column wins, over rows of the batch and over the row
+    that the table has. One writer at a time. ``staged`` says that the batch is cheap to read again, so that it is not
+    written out first.
     """
     if null_keys not in ("error", "keep"):
         raise ValueError("null_keys must be error or keep")
     spark = batch.sparkSession
-    # Another session, such as that of a stream, may have written since this one listed the files.
     spark.catalog.refreshTable(table)
-    key, buckets = _key_of(spark, table)
-    columns = [c for c in spark.table(table).columns if c != BUCKET]
-    if dedupe_by:
-        batch = latest_per_key(batch, key, dedupe_by)
-    batch = batch.select(*[col(c) for c in columns])
-    if dedupe_by or not staged:
-        batch = stage(batch, "upsert")
-    batch = batch.withColumn(BUCKET, bucket_of(key, buckets))
-    # At most ``buckets`` numbers reach the driver.
+    state = _state(spark, table)
+    batch, lossy = _as_in_table(batch, table)
+    own = None
+    if not staged:
+        batch = own = stage(batch, "upsert")
     found = batch.agg(
         F.count("*").alias("rows"),
-        F.count_if(col(key).isNull()).alias("nulls"),
-        F.collect_set(BUCKET).alias("touched"),
+        F.count_if(col(state.key).isNull()).alias("nulls"),
+        F.count_if(lossy).alias("lossy"),
     ).first()
+    if found["lossy"]:
+        raise ValueError(f"{found['lossy']} rows of the batch do not fit the types of {table}")
     if found["nulls"] and null_keys == "error":
-        raise ValueError(f"{found['nulls']} rows of the batch have no {key}")
+        raise ValueError(f"{found['nulls']} rows of the batch have no {state.key}")
     if found["rows"]:
-        target = spark.table(table).filter(F.col(BUCKET).isin(found["touched"]))
-        merged = upsert_rows(target, batch, key).select(*[col(c) for c in columns], F.col(BUCKET))
-        overwrite_partitions(merged, table, BUCKET)
-    return spark.table(table).count()
+        batch = batch.drop(_LOSSY)
+        if dedupe_by:
+            batch = _newer(latest_per_key(batch, state.key, dedupe_by), table, state.key, dedupe_by)
+        written = _write_version(batch, table, state.last + 1)
+        if state.last == 0:
+            state = replace(state, base=1, last=1, base_rows=written)
+        else:
+            state = replace(state, last=state.last + 1, later_rows=state.later_rows + written)
+        _commit(spark, table, state)
+        if state.later_rows > COMPACT_SHARE * state.base_rows:
+            compact(spark, table)
+    if own is not None:
+        discard(own)
+    return keyed_rows(spark, table).count()
+
+
+def _newer(batch: DataFrame, table: str, key: str, order_by: str) -> DataFrame:
+    """The rows of a batch that the table has no greater row for."""
+    have = (
+        keyed_rows(batch.sparkSession, table)
+        .filter(col(key).isNotNull())
+        .groupBy(col(key).alias("_have"))
+        .agg(F.max(col(order_by)).alias("_order"))
+    )
+    older = F.col("_order") > F.coalesce(col(order_by), F.col("_order"))
+    missing = F.col("_order").isNotNull() & col(order_by).isNull()
+    return batch.join(have, (col(key) == F.col("_have")) & (older | missing), "left_anti")
 
 
-def overwrite_partitions(df: DataFrame, table: str, partition: str) -> None:
-    """Replace the partitions that ``df`` has rows for. A large partition is written by several tasks."""
+def overwrite_partitions(df: DataFrame, table: str) -> None:
+    """Replace the partitions that ``df`` has rows for, in files of a good size."""
     with _dynamic_overwrite(df.sparkSession):
-        df.hint("rebalance", partition).write.insertInto(table, overwrite=True)
+        df.hint("rebalance").write.insertInto(table, overwrite=True)
 
 
 @contextmanager
@@ -232,12 +337,4 @@ def _dynamic_overwrite(spark: SparkSession) -> Iterator[None]:
 
 def key_of(spark: SparkSession, table: str) -> str:
     """The key column of a keyed table."""
-    return _key_of(spark, table)[0]
-
-
-def _key_of(spark: SparkSession, table: str) -> tuple[str, int]:
-    rows = spark.sql(f"SHOW TBLPROPERTIES {quoted_table(table)}").collect()
-    properties = {r["key"]: r["value"] for r in rows}
-    if _KEY_PROPERTY not in properties:
-        raise LookupError(f"{table} is not a keyed table")
-    return properties[_KEY_PROPERTY], int(properties[_BUCKETS_PROPERTY])
+    return _state(spark, table).key

@@ -191,6 +191,10 @@ class HashedTfIdf:
         return F.when(F.size(vector["buckets"]) > 0, 1.0).otherwise(0.0)
 
 
+# The bucket of all rows in stored postings.
+EVERY = -1
+
+
 def postings(index: DataFrame, key: str) -> DataFrame:
     """A sparse index as rows ``(key, bucket, weight)``."""
     entry = F.arrays_zip(F.col(VECTOR)["buckets"], F.col(VECTOR)["weights"])
@@ -205,9 +209,14 @@ def store_postings(index: DataFrame, key: str, path: str, groups: int = 1024) ->
     """Write a sparse index turned round: folders by bucket, and rows in the order of buckets within a file.
 
     A search then reads the few folders and row groups of its own words. A bucket that very many rows have is
-    written by several tasks.
+    written by several tasks. Into how many groups it is divided is written with the rows. Every row that has words
+    also stands under the bucket ``EVERY``, without weight, for searches that find fewer rows than they want.
     """
-    rows = postings(index, key).withColumn(GROUP, F.pmod("bucket", F.lit(groups)))
+    every = index.filter(F.size(F.col(VECTOR)["buckets"]) > 0).select(
+        col(key), F.lit(EVERY).alias("bucket"), F.lit(0.0).alias("weight")
+    )
+    rows = postings(index, key).unionByName(every)
+    rows = rows.withColumn(GROUP, F.pmod("bucket", F.lit(groups))).withColumn("groups", F.lit(groups))
     (
         rows.hint("rebalance", GROUP)
         .sortWithinPartitions(GROUP, "bucket")

@@ -12,27 +12,21 @@ from pyspark.sql import functions as F
 from tablework.functions.columns import col, quoted, quoted_table
 from tablework.functions.rows import with_load_time
 from tablework.operators.tables import (
-    DEFAULT_BUCKETS,
     append_table,
     create_empty_like,
     create_entity_table,
     create_view,
-    keyed_rows,
-    register,
+    create_if_absent,
     replace_table,
+    rows_view,
     upsert,
 )
-from tablework.plans.models import (
-    by_size,
-    country_column,
-    country_counts,
-    dataset_stats,
-    entity_hierarchies,
-)
-from tablework.schemas import LOAD_TIME_COLUMN
+from tablework.plans.models import country_column, dataset_stats
+from tablework.schemas import LOAD_TIME_COLUMN, UPDATE_COLUMN
+from tablework.session import discard, stage
 from tablework.sources.archives import list_archives, read_archives
 from tablework.sources.bulkcsv import clean_text
-from tablework.sources.files import read_file_or_parquet, read_json
+from tablework.sources.files import read_file, read_file_or_parquet, read_json
 from tablework.sources.pages import cut_pages
 from tablework.sources.records import entities_of
 
@@ -92,25 +86,44 @@ def load_entities(
     spark: SparkSession,
     pages: DataFrame,
     table: str = "entities",
-    buckets: int = DEFAULT_BUCKETS,
     path: str | None = None,
 ) -> int:
-    """Landed pages into the entity table: cut, flatten, upsert, and refresh the views over it.
+    """Landed pages into the entity table: cut, flatten, upsert, and create the views over it.
 
-    Returns the row count of the table. A step that fails raises, and the later ones do not run.
+    The pages are written out once, so that where paging ends and what the pages hold come from one answer of the
+    API. Returns the row count of the table. A step that fails raises, and the later ones do not run.
     """
-    create_entity_table(spark, table, buckets, path)
-    rows = with_load_time(entities_of(cut_pages(pages)), LOAD_TIME_COLUMN)
-    count = upsert(rows, table)
-    refresh_entity_views(spark, table)
+    create_entity_table(spark, table, path)
+    landed = stage(pages, "pages")
+    rows = with_load_time(entities_of(cut_pages(landed)), LOAD_TIME_COLUMN)
+    count = upsert(rows, table, dedupe_by=UPDATE_COLUMN)
+    discard(landed)
+    create_entity_views(spark, table)
     return count
 
 
-def refresh_entity_views(spark: SparkSession, table: str = "entities") -> None:
-    """The two views over the entity table, for this session."""
-    entities = keyed_rows(spark, table)
-    register(by_size(country_counts(entities)), "country_counts")
-    register(entity_hierarchies(entities), "entity_hierarchies")
+def create_entity_views(spark: SparkSession, table: str = "entities") -> None:
+    """The two views over an entity table, in the catalog, so that every session finds them."""
+    rows = quoted_table(rows_view(table))
+    create_view(
+        spark,
+        f"{table}_country_counts",
+        "SELECT country, count(*) AS entity_count, count(DISTINCT jurisdiction) AS jurisdictions "
+        f"FROM {rows} GROUP BY country",
+    )
+    create_view(
+        spark,
+        f"{table}_hierarchies",
+        "SELECT e.lei, e.legal_name, d.legal_name AS direct_parent_name, u.legal_name AS ultimate_parent_name "
+        f"FROM {rows} e LEFT JOIN {rows} d ON d.lei = nullif(e.direct_parent_lei, '') "
+        f"LEFT JOIN {rows} u ON u.lei = nullif(e.ultimate_parent_lei, '') "
+        "WHERE e.direct_parent_lei <> '' OR e.ultimate_parent_lei <> ''",
+    )
+
+
+def upload(spark: SparkSession, path: str, table: str) -> int:
+    """A file, in the format its name says, as a new table; its row count."""
+    return create_if_absent(read_file(spark, path), table)
 
 
 def load_archives(spark: SparkSession, paths: str | list[str], table: str) -> dict[str, int]:

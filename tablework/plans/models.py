@@ -103,7 +103,8 @@ def entity_summary(entities: DataFrame) -> DataFrame:
 class Model:
     name: str
     build: Callable[[DataFrame], DataFrame]
-    source: str = "entities"
+    source: str = "entities_rows"
+    needs_country: bool = False
 
     @property
     def text(self) -> str:
@@ -111,14 +112,10 @@ class Model:
 
 
 MODELS: dict[str, Model] = {
-    f.__name__: Model(f.__name__, f)
-    for f in (
-        active_entities,
-        country_counts,
-        country_counts_clean,
-        dataset_stats,
-        entity_hierarchies,
-        entity_summary,
+    m.name: m
+    for m in (
+        *(Model(f.__name__, f) for f in (active_entities, country_counts, entity_hierarchies, entity_summary)),
+        *(Model(f.__name__, f, "bulk", True) for f in (country_counts_clean, dataset_stats)),
     )
 }
 
@@ -134,9 +131,16 @@ def model_text(name: str) -> str:
 def run_model(
     spark: SparkSession, name: str, source: str | None = None, target: str | None = None
 ) -> int:
-    """Rebuild a model as a table and return its row count."""
+    """Rebuild a model as a table and return its row count.
+
+    Models of entities read the rows of the entity table, those of the bulk file the table it was loaded into, which
+    must have a country column under one of its known names.
+    """
     model = _model(name)
-    return replace_table(model.build(spark.table(source or model.source)), target or name)
+    rows = spark.table(source or model.source)
+    if model.needs_country and country_column(rows) is None:
+        raise LookupError(f"{source or model.source} has no country column")
+    return replace_table(model.build(rows), target or name)
 
 
 def _model(name: str) -> Model:

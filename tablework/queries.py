@@ -136,24 +136,59 @@ def bulk_load(spark, folder):
     )
 
 
-@query("SELECT doc_id, lang, source, n_chars, md5(text) AS text_md5 FROM documents")
+MESSY = """SELECT CAST(doc_id AS VARCHAR) AS doc_id, CASE WHEN doc_id % 7 = 2 THEN '' ELSE md5(replace(text, chr(13), '')) END
+    AS text_md5, CASE WHEN doc_id % 7 IN (2, 3) THEN '' ELSE lang END AS lang FROM documents
+    WHERE doc_id % 7 NOT IN (4, 5)"""
+
+
+def messy_records(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents as CSV records with quotes and line breaks; some too short, some too long, some with their long rest
+    beginning empty."""
+    text = F.replace(F.replace("text", F.lit("\r"), F.lit("")), F.lit('"'), F.lit('""'))
+    field = F.concat(F.lit('"'), text, F.lit('"'))
+    number, kind = F.col("doc_id").cast("string"), F.col("doc_id") % 7
+    whole = F.concat_ws(",", number, field, "lang")
+    return table(spark, folder, "documents").select(
+        F.when(kind == 2, number)
+        .when(kind == 3, F.concat_ws(",", number, field))
+        .when(kind == 4, F.concat(whole, F.lit(",extra")))
+        .when(kind == 5, F.concat(whole, F.lit(",,z")))
+        .otherwise(whole)
+        .alias("value")
+    )
+
+
+def digested(rows: DataFrame) -> DataFrame:
+    cleaned = bulkcsv.clean_text(rows, na_tokens=())
+    digest = F.when(F.col("text") == "", "").otherwise(F.md5("text"))
+    return cleaned.select("doc_id", digest.alias("text_md5"), "lang")
+
+
+@query(MESSY)
+def bulk_messy(spark, folder):
+    path = fresh_path(spark, "messy")
+
+    def headed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield pd.DataFrame({"value": ["doc_id,text,lang"]})
+        yield from batches
+
+    messy_records(spark, folder).mapInPandas(headed, "value string").write.text(path)
+    return digested(bulkcsv.read_text_csv(spark, path))
+
+
+@query(MESSY)
 def archive_rows(spark, folder):
+    """The same records through landed archives, written by the tasks to the shared folder."""
+
     def zipped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             buffer = io.BytesIO()
             with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as archive:
-                archive.writestr("documents.csv", batch.to_csv(index=False, lineterminator="\n"))
-            yield pd.DataFrame({"path": ["documents.zip"], "content": [buffer.getvalue()]})
-
-    made = spread_table(spark, folder, "documents").mapInPandas(zipped, "path string, content binary")
-    columns = ["doc_id", "text", "lang", "source", "n_chars"]
-    return archives.read_archives(made, columns).select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        "lang",
-        "source",
-        F.col("n_chars").cast("long").alias("n_chars"),
-        F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"),
-    )
+                archive.writestr("documents.csv", "\n".join(["doc_id,text,lang", *batch["value"]]) + "\n")
+            yield pd.DataFrame({"path": [f"{hash(batch['value'].iloc[0])}.zip"], "content": [buffer.getvalue()]})
+
+    made = messy_records(spark, folder).mapInPandas(zipped, "path string, content binary")
+    return digested(archives.read_archives(made, ["doc_id", "text", "lang"]))
 
 
 def event_pages(spark: SparkSession, folder: str) -> DataFrame:
@@ -175,42 +210,48 @@ def event_pages(spark: SparkSession, folder: str) -> DataFrame:
     SELECT event_id + 1 AS page_no, event_type FROM events, e WHERE event_id < coalesce(e.last_page, event_id + 1)"""
 )
 def page_cut(spark, folder):
-    kept = pages.cut_pages(event_pages(spark, folder), max_pages=1 << 62)
+    kept = pages.cut_pages(event_pages(spark, folder))
     return kept.select("page_no", F.get_json_object("body", "$.data[0].event_type").alias("event_type"))
 
 
-@query(
-    """WITH e AS (SELECT min(CASE WHEN value > 420 THEN event_id WHEN event_type = 'error' AND value > 330
-      THEN event_id + 1 END) AS last_page FROM events)
-    SELECT event_id + 1 AS page_no FROM events, e WHERE event_id < least(100, coalesce(e.last_page, 100))"""
-)
-def page_cut_capped(spark, folder):
-    return pages.cut_pages(event_pages(spark, folder)).select("page_no")
-
-
-def entity_pages(spark: SparkSession, folder: str) -> DataFrame:
-    """The entities as nested records, one per landed page."""
+def pages_of(rows: DataFrame, per_page: int = 1) -> DataFrame:
+    """Entities as nested records, ``per_page`` to a landed page; columns that are not there are left out."""
 
     def named(path: str, column: str):
         return F.struct(F.col(column).alias(path)).alias
 
+    def there(*columns: str) -> list:
+        return [F.col(c).alias(JSON_NAMES.get(c, c)) for c in columns if c in rows.columns]
+
+    address = there("address_line1", "city", "region", "country", "postal_code")
+    address = [F.array(c).alias("addressLines") if i == 0 and "address_line1" in rows.columns else c for i, c in enumerate(address)]
     entity = F.struct(
         named("name", "legal_name")("legalName"),
         named("id", "legal_form")("legalForm"),
-        "jurisdiction",
-        "status",
-        named("country", "country")("legalAddress"),
+        *there("jurisdiction", "category", "status", "creation_date"),
+        F.struct(*address).alias("legalAddress"),
     )
 
     def parent(kind: str):
         return F.struct(named("id", f"{kind}_parent_lei")("data")).alias(f"{kind}-parent")
 
     record = F.struct(
-        F.struct(F.col("lei"), entity.alias("entity")).alias("attributes"),
+        F.struct(F.col("lei"), entity.alias("entity"), *there("last_update")).alias("attributes"),
         F.struct(parent("direct"), parent("ultimate")).alias("relationships"),
     )
-    body = F.to_json(F.struct(F.array(record).alias("data")), {"ignoreNullFields": "false"})
-    return entities(spark, folder).select(body.alias("body"))
+    keep = {"ignoreNullFields": "false"}
+    if per_page == 1:
+        return rows.select(F.to_json(F.struct(F.array(record).alias("data")), keep).alias("body"))
+    page = F.pmod(F.xxhash64("lei"), F.lit(max(1, rows.count() // per_page)))
+    grouped = rows.select(page.alias("page"), record.alias("record")).groupBy("page")
+    return grouped.agg(F.to_json(F.struct(F.collect_list("record").alias("data")), keep).alias("body")).select("body")
+
+
+JSON_NAMES = {"creation_date": "creationDate", "postal_code": "postalCode", "last_update": "lastUpdateDate"}
+
+
+def entity_pages(spark: SparkSession, folder: str) -> DataFrame:
+    return pages_of(entities(spark, folder))
 
 
 FLAT = """SELECT lei, legal_name, legal_form, jurisdiction, '' AS category, status, '' AS creation_date,
@@ -218,9 +259,27 @@ FLAT = """SELECT lei, legal_name, legal_form, jurisdiction, '' AS category, stat
   ultimate_parent_lei, '' AS last_update FROM ent"""
 
 
-@query(ENT + FLAT)
+@query(
+    ENT
+    + """SELECT lei, legal_name, legal_form, jurisdiction, 'c' || legal_form AS category, status,
+    '2020-' || legal_name AS creation_date, 'Line ' || lei AS address_line1, 'City ' || legal_form AS city,
+    jurisdiction AS region, country, 'P' || lei AS postal_code, direct_parent_lei, ultimate_parent_lei,
+    'U' || lei AS last_update FROM ent"""
+)
 def flatten_records(spark, folder):
-    return records.entities_of(entity_pages(spark, folder))
+    """Many records to a page, with every field."""
+    full = entities(spark, folder).withColumns(
+        {
+            "category": F.concat(F.lit("c"), "legal_form"),
+            "creation_date": F.concat(F.lit("2020-"), "legal_name"),
+            "address_line1": F.concat(F.lit("Line "), "lei"),
+            "city": F.concat(F.lit("City "), "legal_form"),
+            "region": F.col("jurisdiction"),
+            "postal_code": F.concat(F.lit("P"), "lei"),
+            "last_update": F.concat(F.lit("U"), "lei"),
+        }
+    )
+    return records.entities_of(pages_of(full, per_page=50))
 
 
 @query("SELECT event_id, props->>'$.k' AS k, '' AS missing FROM events")
@@ -386,30 +445,21 @@ def append_rows(spark, folder):
 
 
 UPSERTED = """WITH target AS (SELECT o_orderkey AS k, o_orderstatus AS state, o_totalprice AS amount
-    FROM orders WHERE o_orderstatus <> 'P'), batch AS (SELECT l_orderkey AS k, l_returnflag AS state,
-    l_extendedprice AS amount FROM lineitem WHERE l_returnflag = 'R')
+    FROM orders), batch AS (SELECT l_orderkey + 5 AS k, l_returnflag AS state, l_extendedprice AS amount FROM lineitem)
     SELECT * FROM target WHERE k NOT IN (SELECT k FROM batch) UNION ALL SELECT * FROM batch"""
 
 
 def order_states(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """Orders that are not pending, and the returned lines that replace them or come in new."""
-    target = (
-        table(spark, folder, "orders")
-        .filter("o_orderstatus <> 'P'")
-        .select("o_orderkey", "o_orderstatus", "o_totalprice")
-    )
-    batch = (
-        table(spark, folder, "lineitem")
-        .filter("l_returnflag = 'R'")
-        .select("l_orderkey", "l_returnflag", "l_extendedprice")
-    )
+    """The orders, and the lines, five keys on, that replace them or come in new."""
+    target = table(spark, folder, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    batch = table(spark, folder, "lineitem").select(F.col("l_orderkey") + 5, "l_returnflag", "l_extendedprice")
     return target.toDF("k", "state", "amount"), batch.toDF("k", "state", "amount")
 
 
 def new_keyed_table(spark: SparkSession, schema: T.StructType, key: str) -> str:
     path = fresh_path(spark, "keyed")
     name = path.rsplit("/", 1)[1].replace("-", "_")
-    TB.create_keyed_table(spark, name, schema, key, buckets=8, path=path)
+    TB.create_keyed_table(spark, name, schema, key, path=path)
     return name
 
 
@@ -427,6 +477,33 @@ def upsert(spark, folder):
     return TB.keyed_rows(spark, name)
 
 
+@query(UPSERTED)
+def upsert_narrow_key(spark, folder):
+    """A batch whose key has a narrower type than the table's."""
+    target, batch = order_states(spark, folder)
+    name = new_keyed_table(spark, target.schema, "k")
+    TB.upsert(target, name, staged=True)
+    TB.upsert(batch.withColumn("k", F.col("k").cast("int")), name, staged=True)
+    return TB.keyed_rows(spark, name)
+
+
+@query(
+    """WITH first AS (SELECT o_orderkey AS k, o_orderstatus AS state, o_totalprice AS amount FROM orders),
+    second AS (SELECT l_orderkey + 5 AS k, l_returnflag AS state, l_extendedprice AS amount FROM lineitem),
+    third AS (SELECT o_custkey AS k, o_orderpriority AS state, o_totalprice AS amount FROM orders),
+    two AS (SELECT * FROM first WHERE k NOT IN (SELECT k FROM second) UNION ALL SELECT * FROM second)
+    SELECT * FROM two WHERE k NOT IN (SELECT k FROM third) UNION ALL SELECT * FROM third"""
+)
+def upsert_twice(spark, folder):
+    """Two batches with common keys, one after the other and the second of them repeated."""
+    target, batch = order_states(spark, folder)
+    third = table(spark, folder, "orders").select("o_custkey", "o_orderpriority", "o_totalprice")
+    name = new_keyed_table(spark, target.schema, "k")
+    for rows in (target, batch, third.toDF("k", "state", "amount"), third.toDF("k", "state", "amount")):
+        TB.upsert(rows, name, staged=True)
+    return TB.keyed_rows(spark, name)
+
+
 @query(
     """SELECT l_orderkey, l_shipdate, l_linenumber, l_quantity FROM (SELECT *, row_number() OVER (PARTITION BY
     l_orderkey ORDER BY l_shipdate DESC, l_linenumber DESC, l_quantity DESC) AS r FROM lineitem) WHERE r = 1"""
@@ -441,15 +518,24 @@ def latest_per_key(spark, folder):
 # ---- incremental loads -----------------------------------------------------------------------------------
 
 
-@query(ENT + FLAT)
+@query(
+    ENT
+    + """SELECT lei, legal_name || ' v3' AS legal_name, legal_form, jurisdiction, '' AS category, status,
+    '' AS creation_date, '' AS address_line1, '' AS city, '' AS region, country, '' AS postal_code, direct_parent_lei,
+    ultimate_parent_lei, '2024-01-03' AS last_update FROM ent"""
+)
 def incremental_upsert(spark, folder):
+    """Three versions of every entity land in an order that differs from that of their updates."""
     landed, checkpoint = fresh_path(spark, "landed"), fresh_path(spark, "checkpoint")
     name = new_keyed_table(spark, ENTITY_SCHEMA, "lei")
-    for _ in range(2):  # the same records land twice; the second run replaces every one
-        entity_pages(spark, folder).write.mode("append").text(landed)
-        bodies = incremental.landed_pages(spark, landed, whole_files=False)
+    for versions in ((1, 3), (2,)):
+        for n in versions:
+            rows = entities(spark, folder).withColumn("legal_name", F.concat("legal_name", F.lit(f" v{n}")))
+            bodies = pages_of(rows.withColumn("last_update", F.lit(f"2024-01-0{n}")))
+            bodies.write.mode("append").text(landed)
+        bodies = incremental.landed_pages(spark, landed, whole_files=False, files_per_batch=1)
         rows = R.with_load_time(records.entities_of(bodies), LOAD_TIME_COLUMN)
-        incremental.upsert_stream(rows, name, checkpoint).awaitTermination()
+        incremental.upsert_stream(rows, name, checkpoint, dedupe_by="last_update").awaitTermination()
     return TB.keyed_rows(spark, name).drop(LOAD_TIME_COLUMN)
 
 
@@ -552,9 +638,13 @@ def cosine_to_centroid(spark, folder):
     return rounded(found, "product", "similarity")
 
 
-@query()
-def cosine_topk_approx(spark, folder):
-    return S.search_approx(vectors(spark, folder), query_vector(spark, folder), "vec_id")
+@query(
+    f"SELECT vec_id, label, round(s, 6) AS similarity FROM ({SIMILAR}) ORDER BY s DESC, vec_id LIMIT 5"
+)
+def cosine_topk_pruned(spark, folder):
+    pivot = label_centroids(spark, folder).orderBy("label").first()["vector"]
+    index = S.with_pivot(vectors(spark, folder), pivot)
+    return rounded(S.search_pruned(index, query_vector(spark, folder), "vec_id", pivot), "similarity")
 
 
 @query(
@@ -694,10 +784,84 @@ def text_search_postings(spark, folder):
     path = fresh_path(spark, "postings")
     X.store_postings(X.build_index(documents, ["text"], model), "doc_id", path, groups=16)
     words = X.embed_text(spark, question(spark, folder), model)
-    found = S.search_postings(spark.read.parquet(path), words, "doc_id", groups=16)
+    found = S.search_postings(spark.read.parquet(path), words, "doc_id")
     return rounded(found, "similarity")
 
 
+# ---- tables, views and models that last -----------------------------------------------------------------
+
+
+def new_name(spark: SparkSession, label: str) -> str:
+    return fresh_path(spark, label).rsplit("/", 1)[1].replace("-", "_")
+
+
+@query(
+    ENT
+    + """SELECT country, count(*) AS entity_count, count(DISTINCT jurisdiction) AS jurisdictions FROM ent
+    GROUP BY country"""
+)
+def load_chain(spark, folder):
+    """Landed pages to the entity table and its views, read by another session."""
+    name = new_name(spark, "entities")
+    pages_ = entity_pages(spark, folder).select(
+        F.monotonically_increasing_id().alias("page_no"),
+        F.lit(200).alias("status"),
+        F.replace("body", F.lit('{"data"'), F.lit('{"links":{"next":"x"},"data"')).alias("body"),
+    )
+    loads.load_entities(spark, pages_, name, path=fresh_path(spark, name))
+    return spark.newSession().table(f"{name}_country_counts")
+
+
+@query(
+    """SELECT count(*) AS total, count(DISTINCT c) AS countries FROM (SELECT CASE c_nationkey % 3 WHEN 0 THEN 'US'
+    WHEN 1 THEN 'DE' ELSE NULL END AS c FROM customer)"""
+)
+def model_stats(spark, folder):
+    """A bulk file with a country column, loaded, and its model run as a table."""
+    path, name, target = fresh_path(spark, "bulk"), new_name(spark, "bulk"), new_name(spark, "stats")
+    country = F.expr("CASE c_nationkey % 3 WHEN 0 THEN 'US' WHEN 1 THEN 'DE' ELSE 'NA' END")
+    customer = table(spark, folder, "customer")
+    customer.select("c_custkey", country.alias("Country")).write.option("header", True).csv(path)
+    bulkcsv.load_bulk(spark, path, name, location=fresh_path(spark, name))
+    models.run_model(spark, "dataset_stats", name, target)
+    return spark.table(target)
+
+
+@query("SELECT p_brand, count(*) AS n, sum(p_size)::BIGINT AS sizes FROM part GROUP BY p_brand")
+def upload_file(spark, folder):
+    name = new_name(spark, "uploaded")
+    loads.upload(spark, f"{folder}/part.parquet", name)
+    return catalog.sql_frame(
+        spark, f"SELECT p_brand, count(*) AS n, sum(p_size) AS sizes FROM {name} GROUP BY p_brand"
+    )
+
+
+@query("SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY c_mktsegment")
+def sql_ctas(spark, folder):
+    name = new_name(spark, "made")
+    TB.register(table(spark, folder, "customer"), "customer")
+    query_ = "SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY c_mktsegment"
+    catalog.run_sql(spark, f"CREATE TABLE {name} USING parquet AS {query_}")
+    return spark.table(name)
+
+
+@query("SELECT p_partkey, p_size FROM part WHERE p_size > 40")
+def sql_file(spark, folder):
+    text = f"SELECT p_partkey, p_size FROM parquet.`{folder}/part.parquet` WHERE p_size > 40"
+    return catalog.sql_frame(spark, text)
+
+
+@query("SELECT n_nationkey AS id, n_name AS name, r_regionkey AS id_1, r_name AS name_1 FROM nation JOIN region ON n_regionkey = r_regionkey")
+def sql_duplicate_columns(spark, folder):
+    for name in ("nation", "region"):
+        TB.register(table(spark, folder, name), name)
+    return catalog.sql_frame(
+        spark,
+        "SELECT n_nationkey AS id, n_name AS name, r_regionkey AS id, r_name AS name FROM nation JOIN region ON "
+        "n_regionkey = r_regionkey",
+    )
+
+
 # ---- SQL: the session answers it; these check that it answers as expected --------------------------------
 
 
@@ -708,7 +872,7 @@ def sql_query(name: str, text: str, oracle: str | None = None) -> None:
         used = {t: table(spark, folder, t) for t in TABLES if t in text}
         for view, df in used.items():
             TB.register(df, view)
-        return spark.sql(text)
+        return catalog.sql_frame(spark, text)
 
     run.__name__ = name
     query(oracle or text)(run)

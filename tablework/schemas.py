@@ -42,8 +42,6 @@ RECORD_PATHS = {
     "last_update": "$.attributes.lastUpdateDate",
 }
 
-MAX_PAGES = 100
-
 # Columns of the cleaned entity model, before enrichment.
 SUMMARY_COLUMNS = [c for c in ENTITY_COLUMNS if c != "address_line1"]
 
@@ -82,6 +80,8 @@ NA_TOKENS = (
 # --- end of fixed values --------------------------------------------------------------------
 
 LOAD_TIME_COLUMN = "ingestion_timestamp"
+# The column that tells versions of an entity apart.
+UPDATE_COLUMN = "last_update"
 
 ENTITY_SCHEMA = T.StructType(
     [T.StructField(c, T.StringType()) for c in ENTITY_COLUMNS]

@@ -91,3 +91,16 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     path = fresh_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(staged: DataFrame) -> None:
+    """Delete what ``stage`` wrote for this frame; nothing may read it any more."""
+    spark = staged.sparkSession
+    files = staged.inputFiles()
+    folders = {f.rsplit("/", 1)[0] for f in files}
+    context = spark.sparkContext
+    for folder in folders:
+        if f"/tablework/{context.applicationId}/" not in folder:
+            raise ValueError(f"{folder} is no staged frame")
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)

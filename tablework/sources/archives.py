@@ -1,20 +1,20 @@
-"""ZIP archives: the rows of the first CSV member of each."""
+"""ZIP archives: the rows of the first CSV member of each, by the rules of ``bulkcsv``."""
 
 from __future__ import annotations
 
+import csv
 import io
 import zipfile
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tablework.functions.columns import quoted
 from tablework.session import ship
+from tablework.sources.bulkcsv import field_count
 
-CHUNK_ROWS = 20_000
+RECORDS = 5_000
 
 
 def list_archives(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -30,52 +30,82 @@ def _open_member(content: bytes, path: str):
     return archive.open(member)
 
 
-def _chunks(content: bytes, path: str, rows: int) -> Iterator[pd.DataFrame]:
+def _records(content: bytes, path: str) -> Iterator[str]:
+    """The records of the member, a line at a time; lines inside a quoted field belong together."""
     with _open_member(content, path) as member:
-        yield from pd.read_csv(
-            member,
-            dtype=str,
-            keep_default_na=False,
-            na_values=[],
-            index_col=False,
-            on_bad_lines="skip",
-            chunksize=rows,
-        )
-
-
-def archive_header(archives: DataFrame) -> list[str]:
-    """The column names of one of the archives; they must all have the same."""
-
-    def names(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
-                with _open_member(content, path) as member:
-                    header = list(pd.read_csv(member, dtype=str, nrows=0).columns)
-                yield pd.DataFrame({"names": [header]})
-
-    found = archives.limit(1).mapInPandas(names, "names array<string>").first()
-    if found is None:
-        raise ValueError("no archive found")
-    return list(found["names"])
+        held: list[str] = []
+        quotes = 0
+        for line in io.TextIOWrapper(member, "utf-8-sig", newline="\n"):
+            held.append(line)
+            quotes += line.count('"')
+            if quotes % 2 == 0:
+                record = "".join(held).rstrip("\r\n")
+                held, quotes = [], 0
+                if record:
+                    yield record
+        if held:
+            yield "".join(held).rstrip("\r\n")
 
 
 def read_archives(archives: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """All rows of all archives as text columns; over-long rows are left out, short ones padded.
 
-    An archive is unpacked as a stream, a bounded number of rows at a time. ``archives`` has columns ``path``
-    and ``content``, see ``list_archives``.
+    Each archive's own header says which field is which; one with other columns fails the job. ``columns`` are those
+    of the archive that comes first by path unless they are given. An archive is unpacked as a stream by one task; its
+    records are parsed by Spark. ``archives`` has columns ``path`` and ``content``, see ``list_archives``.
     """
     ship(archives.sparkSession)
-    columns = columns or archive_header(archives)
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
-                for chunk in _chunks(content, path, CHUNK_ROWS):
-                    if list(chunk.columns) != columns:
-                        raise ValueError(f"{path} has other columns than expected")
-                    yield chunk.astype(object).where(chunk.notna(), None)
-
-    unpacked = archives.select("path", "content").mapInPandas(rows, schema)
-    return unpacked.select(*[F.nullif(F.col(quoted(c)), F.lit("")).alias(c) for c in columns])
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                records = _records(content, path)
+                header = next(csv.reader([next(records, "")]), [])
+                some: list[str] = []
+
+                def rows() -> pa.RecordBatch:
+                    shared = pa.array([header] * len(some), pa.list_(pa.string()))
+                    return pa.RecordBatch.from_arrays([shared, pa.array(some, pa.string())], ["header", "record"])
+
+                for record in records:
+                    some.append(record)
+                    if len(some) == RECORDS:
+                        yield rows()
+                        some.clear()
+                if some:
+                    yield rows()
+
+    if columns is None:
+        columns = archive_header(archives)
+    records = archives.select("path", "content").mapInArrow(unpacked, "header array<string>, record string")
+    same = F.array_sort("header") == F.lit(sorted(columns))
+    wrong = F.raise_error(F.concat(F.lit("an archive has columns "), F.array_join("header", ",")))
+    fields = [f"_{i}" for i in range(len(columns))]
+    options = {"escape": '"', "mode": "PERMISSIVE", "multiLine": "true"}
+    parsed = (
+        records.filter(F.when(same, True).otherwise(wrong.cast("boolean")))
+        .filter(field_count(F.col("record")) <= len(columns))
+        .withColumn("row", F.from_csv("record", ", ".join(f"{f} string" for f in fields), options))
+    )
+    # Where a column stands differs from header to header, so the fields are looked up by it.
+    values = F.array(*[F.col("row")[f] for f in fields])
+    picked = [F.get(values, (F.array_position("header", c) - 1).cast("int")) for c in columns]
+    return parsed.select(*[F.nullif(v, F.lit("")).alias(c) for v, c in zip(picked, columns)])
+
+
+def archive_header(archives: DataFrame) -> list[str]:
+    """The column names of the archive that comes first by path."""
+
+    def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                header = next(csv.reader([next(_records(content, path), "")]), [])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([path]), pa.array([header], pa.list_(pa.string()))], ["path", "names"]
+                )
+
+    first = archives.select("path").agg(F.min("path").alias("path")).first()["path"]
+    if first is None:
+        raise ValueError("no archive found")
+    one = archives.filter(F.col("path") == first).select("path", "content").limit(1)
+    return list(one.mapInArrow(names, "path string, names array<string>").first()["names"])

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Iterable
+from dataclasses import dataclass
+from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,30 +24,54 @@ _FIELD = r'(?:"[^"]*+(?:""[^"]*+)*+"|[^",]*+)'
 _WHOLE_RECORD = rf"^{_FIELD}(?:,{_FIELD})*+\r?$"
 
 
+def field_count(record: Column) -> Column:
+    """How many fields a CSV record has. Separators inside quoted fields are no separators."""
+    commas = F.length(record) - F.length(F.replace(record, F.lit(","), F.lit("")))
+    bare = F.regexp_replace(record, r'(^|,)"[^"]*+(?:""[^"]*+)*+"', "$1")
+    outside = F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit("")))
+    return F.when(record.contains('"'), outside).otherwise(commas) + 1
+
+
+@dataclass(frozen=True)
+class Layout:
+    """Files that are read alike: by the same columns, and whole or in splits."""
+
+    header: tuple[str, ...]
+    whole: bool
+
+
+def _fields_of(line: str) -> tuple[str, ...]:
+    return tuple(next(csv.reader([line.removeprefix("\ufeff")]), ()))
+
+
+def file_layouts(spark: SparkSession, paths: str | list[str]) -> dict[Layout, list[str]]:
+    """The files by layout, from one pass over their lines, split freely between tasks."""
+    lines = spark.read.text(paths).select(
+        "value",
+        F.col("_metadata.file_path").alias("file"),
+        (F.col("_metadata.file_block_start") == 0).alias("first_block"),
+        F.monotonically_increasing_id().alias("place"),
+    )
+    first = F.min(F.when(F.col("first_block"), F.struct("place", "value")))
+    broken = F.bool_or(~F.col("value").rlike(_WHOLE_RECORD))
+    found: dict[Layout, list[str]] = {}
+    for row in lines.groupBy("file").agg(first["value"].alias("header"), broken.alias("broken")).collect():
+        layout = Layout(_fields_of(row["header"] or ""), row["broken"])
+        found.setdefault(layout, []).append(unquote(row["file"]))
+    return found
+
+
 def header_of(spark: SparkSession, paths: str | list[str]) -> list[str]:
     return spark.read.option("header", True).option("escape", '"').csv(paths).columns
 
 
 def files_with_line_breaks(spark: SparkSession, paths: str | list[str]) -> list[str]:
-    """The files in which some line is not a complete record, hence may sit inside a quoted field.
-
-    One pass over the lines, split freely between tasks; only file names reach the driver.
-    """
-    found = (
-        spark.read.text(paths)
-        .filter(~F.col("value").rlike(_WHOLE_RECORD))
-        .select("_metadata.file_path")
-        .distinct()
-    )
-    return [row[0] for row in found.collect()]
+    """The files in which some line is not a complete record, hence may sit inside a quoted field."""
+    return sorted(f for layout, files in file_layouts(spark, paths).items() if layout.whole for f in files)
 
 
 def _read(
-    spark: SparkSession,
-    paths: str | list[str],
-    columns: list[str],
-    multiline: bool,
-    files: Column | None = None,
+    spark: SparkSession, paths: str | list[str], columns: list[str], multiline: bool
 ) -> DataFrame:
     schema = T.StructType(
         [T.StructField(c, T.StringType()) for c in [*columns, _EXTRA, _CORRUPT]]
@@ -58,13 +86,11 @@ def _read(
         .option("columnNameOfCorruptRecord", _CORRUPT)
         .csv(paths)
     )
-    if files is not None:
-        rows = rows.filter(files)
     # The schema has one column more than the file. A row that fills it exactly is too long by one, and counts as
-    # well-formed; a proper or a short row lacks the extra column, and counts as corrupt.
-    return rows.filter(F.col(_EXTRA).isNull() & F.col(_CORRUPT).isNotNull()).select(
-        *[col(c) for c in columns]
-    )
+    # well-formed; a proper or a short row lacks the extra column, and counts as corrupt. So does a longer row whose
+    # first extra field is empty: its separators tell.
+    fits = F.col(_CORRUPT).isNotNull() & (field_count(F.col(_CORRUPT)) <= len(columns))
+    return rows.filter(F.col(_EXTRA).isNull() & fits).select(*[col(c) for c in columns])
 
 
 def read_text_csv(
@@ -73,23 +99,32 @@ def read_text_csv(
     columns: list[str] | None = None,
     multiline: bool | None = None,
 ) -> DataFrame:
-    """Read CSV files of one layout as text columns.
+    """Read CSV files as text columns: those of ``columns``, or of the first file by name.
 
-    ``multiline`` says whether quoted fields may hold line breaks. A file with such fields cannot be
-    split, so by default it is found out first, file by file: only the files that need it are read
-    whole by one task, all others are split.
+    Every file's own header says which field is which; a file that has other columns is an error. ``multiline``
+    says whether quoted fields may hold line breaks. A file with such fields cannot be split, so by default it is
+    found out file by file, in the pass that reads the headers: only the files that need it are read whole by one
+    task, all others are split. With ``columns`` and ``multiline`` given, that pass is left out and all files must
+    have these columns in this order.
     """
-    columns = columns or header_of(spark, paths)
-    if multiline is not None:
+    if columns is not None and multiline is not None:
         return _read(spark, paths, columns, multiline)
-    whole = files_with_line_breaks(spark, paths)
-    if not whole:
-        return _read(spark, paths, columns, False)
-    # Spark prunes the file list by these two conditions, so every file is read once.
-    needs_whole = F.col("_metadata.file_path").isin(whole)
-    return _read(spark, paths, columns, True, needs_whole).unionByName(
-        _read(spark, paths, columns, False, ~needs_whole)
-    )
+    layouts = file_layouts(spark, paths)
+    if not layouts:
+        return _read(spark, paths, columns or header_of(spark, paths), bool(multiline))
+    if columns is None:
+        columns = list(min(layouts.items(), key=lambda item: min(item[1]))[0].header)
+    parts: dict[tuple[tuple[str, ...], bool], list[str]] = {}
+    for layout, files in layouts.items():
+        if sorted(layout.header) != sorted(columns):
+            raise ValueError(f"{min(files)} has columns {list(layout.header)} instead of {columns}")
+        whole = layout.whole if multiline is None else multiline
+        parts.setdefault((layout.header, whole), []).extend(files)
+    frames = [
+        _read(spark, sorted(files), list(header), whole).select(*[col(c) for c in columns])
+        for (header, whole), files in sorted(parts.items())
+    ]
+    return reduce(DataFrame.unionAll, frames)
 
 
 def clean_text(df: DataFrame, na_tokens: Iterable[str] = NA_TOKENS) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablework.sources.bulkcsv import files_with_line_breaks
+from tablework.sources.bulkcsv import file_layouts
 
 
 def read_csv(
@@ -17,15 +17,19 @@ def read_csv(
 
     Files can be split between tasks unless quoted fields hold line breaks; by default that is found out.
     """
+    reader = spark.read.option("header", True).option("escape", '"')
     if multiline is None:
-        multiline = bool(files_with_line_breaks(spark, path))
-    return (
-        spark.read.option("header", True)
-        .option("inferSchema", True)
-        .option("multiLine", multiline)
-        .option("escape", '"')
-        .csv(path)
-    )
+        kinds: dict[bool, list[str]] = {}
+        for layout, files in file_layouts(spark, path).items():
+            kinds.setdefault(layout.whole, []).extend(files)
+        if len(kinds) == 2:
+            # The types are found over all files; then each kind of file is read in its own way.
+            schema = reader.option("inferSchema", True).option("multiLine", True).csv(path).schema
+            reader = reader.schema(schema).option("enforceSchema", False)
+            parts = [reader.option("multiLine", whole).csv(files) for whole, files in kinds.items()]
+            return parts[0].unionByName(parts[1])
+        multiline = True in kinds
+    return reader.option("inferSchema", True).option("multiLine", multiline).csv(path)
 
 
 def has_object_per_line(spark: SparkSession, path: str | list[str]) -> bool:

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from tablework.schemas import MAX_PAGES, PAGE_SCHEMA
+from tablework.schemas import PAGE_SCHEMA
 from tablework.sources.pages import LIMIT_REACHED
 
 # --- fixed values: page size and how often a page is asked for ----------------------------------
@@ -75,21 +75,22 @@ class _Pages(InputPartition):
 def paged_source(
     name: str,
     get: Getter,
-    max_pages: int = MAX_PAGES,
+    pages: int,
     pages_per_task: int = 10,
     wait: float = WAIT_SECONDS,
     pause: float = PAUSE_SECONDS,
 ) -> type[DataSource]:
-    """A data source of rows ``(page_no, status, body)`` for ``spark.dataSource.register``.
+    """A data source of rows ``(page_no, status, body)`` of the first ``pages`` pages, for ``spark.dataSource.register``.
 
+    How many pages there are must be said, as tasks get their pages beforehand; the API's first answer tells. 
     A lost task fetches its own pages again. Follow it with ``cut_pages``: tasks do not know of each other,
     so pages past the end are fetched too.
     """
 
     class Reader(DataSourceReader):
         def partitions(self) -> list[InputPartition]:
-            starts = range(1, max_pages + 1, pages_per_task)
-            return [_Pages(s, min(s + pages_per_task - 1, max_pages)) for s in starts]
+            starts = range(1, pages + 1, pages_per_task)
+            return [_Pages(s, min(s + pages_per_task - 1, pages)) for s in starts]
 
         def read(self, partition: _Pages) -> Iterator[tuple]:
             for page_no in range(partition.first, partition.last + 1):

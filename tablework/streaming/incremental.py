@@ -13,8 +13,8 @@ from pyspark.sql.streaming import StreamingQuery
 from tablework.functions.columns import col, quoted, quoted_table
 from tablework.functions.rows import with_load_time
 from tablework.operators.tables import key_of, overwrite_partitions, upsert
-from tablework.schemas import LOAD_TIME_COLUMN
-from tablework.session import stage
+from tablework.schemas import LOAD_TIME_COLUMN, UPDATE_COLUMN
+from tablework.session import discard, stage
 from tablework.sources.records import entities_of
 
 BATCH = "_batch"
@@ -56,13 +56,18 @@ def landed_files(
 
 
 def upsert_stream(
-    rows: DataFrame, table: str, checkpoint: str, quarantine: str | None = None
+    rows: DataFrame,
+    table: str,
+    checkpoint: str,
+    quarantine: str | None = None,
+    dedupe_by: str | None = None,
 ) -> StreamingQuery:
     """Upsert every micro-batch into a keyed table, and stop when all that has landed is in.
 
     A batch that is repeated after a failure gives the same rows, because upserts are keyed. That does not hold
     for rows without a key: they go to the folder ``quarantine``, one subfolder per batch, or, without such a
-    folder, fail the query.
+    folder, fail the query. With ``dedupe_by`` the greatest row of a key by that column wins, whatever micro-batch or
+    order its versions come in. Without it, the rows of a key are those of the last micro-batch that has it.
     """
     spark = rows.sparkSession
     key = key_of(spark, table)
@@ -72,8 +77,9 @@ def upsert_stream(
         if quarantine:
             lost = batch.filter(col(key).isNull())
             lost.write.mode("overwrite").parquet(f"{quarantine}/batch={number}")
-            batch = batch.filter(col(key).isNotNull())
-        upsert(batch, table, staged=True)
+        rows = batch.filter(col(key).isNotNull()) if quarantine else batch
+        upsert(rows, table, dedupe_by=dedupe_by, staged=True)
+        discard(batch)
 
     return _run(rows, apply, table, checkpoint)
 
@@ -84,10 +90,12 @@ def upsert_entities(
     table: str,
     checkpoint: str,
     quarantine: str | None = None,
+    files_per_batch: int = FILES_PER_BATCH,
 ) -> StreamingQuery:
-    """New landed pages into the entity table, with the time of loading."""
-    rows = with_load_time(entities_of(landed_pages(spark, path)), LOAD_TIME_COLUMN)
-    return upsert_stream(rows, table, checkpoint, quarantine)
+    """New landed pages into the entity table, with the time of loading. The latest update of an entity wins."""
+    bodies = landed_pages(spark, path, files_per_batch=files_per_batch)
+    rows = with_load_time(entities_of(bodies), LOAD_TIME_COLUMN)
+    return upsert_stream(rows, table, checkpoint, quarantine, UPDATE_COLUMN)
 
 
 def create_append_table(
@@ -111,7 +119,7 @@ def append_stream(rows: DataFrame, table: str, checkpoint: str) -> StreamingQuer
 
     def apply(batch: DataFrame, number: int) -> None:
         named = batch.withColumn(BATCH, F.lit(f"{run}-{number}"))
-        overwrite_partitions(named, table, BATCH)
+        overwrite_partitions(named, table)
 
     return _run(rows, apply, table, checkpoint)
 

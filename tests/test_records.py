@@ -67,7 +67,7 @@ CUTS = [
     ([(1, 200, NEXT), (2, 200, NEXT), (3, 200, NEXT), (4, 400, ""), (5, 200, NEXT)], [1, 2, 3]),
     ([(1, 200, NEXT), (2, 200, EMPTY), (3, 200, NEXT)], [1]),
     ([(1, 200, NEXT), (2, 200, LAST), (3, 200, NEXT)], [1, 2]),
-    ([(i, 200, NEXT) for i in range(1, 102)], list(range(1, 101))),
+    ([(i, 200, NEXT) for i in range(1, 152)], list(range(1, 152))),
     ([(1, 200, '{"data": null}'), (2, 200, NEXT)], []),
     ([(1, 400, "")], []),
     ([(1, 200, LAST), (2, 500, "")], [1]),
@@ -89,7 +89,7 @@ def test_paged_source(spark):
     def get(page_no):
         return (400, "") if page_no > 25 else (200, NEXT)
 
-    spark.dataSource.register(paged_source("pages_of_test", get, pages_per_task=7, pause=0))
+    spark.dataSource.register(paged_source("pages_of_test", get, pages=100, pages_per_task=7, pause=0))
     pages = spark.read.format("pages_of_test").load()
     assert pages.count() == 100
     assert sorted(r.page_no for r in cut_pages(pages).collect()) == list(range(1, 26))

@@ -65,7 +65,7 @@ def test_k_must_be_positive(small, k):
         lambda: S.search(small, [1.0, 0.0], "id", k),
         lambda: S.search_by_group(small, [1.0, 0.0], "id", "id", k),
         lambda: S.search_many(small, small.withColumnRenamed("id", "q"), "id", "q", k),
-        lambda: S.search_approx(small, [1.0, 0.0], "id", k),
+        lambda: S.search_pruned(small, [1.0, 0.0], "id", [1.0, 0.0], k),
         lambda: S.search_tables({"a": (small, "id")}, [1.0, 0.0], k),
     ):
         with pytest.raises(ValueError):
@@ -132,12 +132,13 @@ def test_no_questions(spark, embeddings):
     assert S.search_many(embeddings, none, "vec_id", "q").count() == 0
 
 
-def test_approximate_recall(embeddings, first):
-    exact = {r.vec_id for r in S.search(embeddings, first, "vec_id", 10).collect()}
-    found = {r.vec_id for r in S.search_approx(embeddings, first, "vec_id", 10).collect()}
-    recall = len(exact & found) / len(exact)
-    print(f"recall at 10: {recall:.0%}")
-    assert recall >= 0.5
+@pytest.mark.parametrize("row", [0, 7, 100])
+def test_pruned_search_is_exact(embeddings, first, row):
+    pivot = embeddings.filter(f"vec_id = {row}").first()["vector"]
+    index = S.with_pivot(embeddings, pivot)
+    for k in (1, 10, 5000):
+        whole = hits(S.search(embeddings, first, "vec_id", k), "vec_id", "similarity")
+        assert hits(S.search_pruned(index, first, "vec_id", pivot, k), "vec_id", "similarity") == whole
 
 
 # ---- text ------------------------------------------------------------------------------------------

@@ -84,10 +84,32 @@ def test_plain_files_are_split(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
-def test_more_than_one_extra_field_with_an_empty_first_is_kept(spark, tmp_path):
-    """A known gap: the row is too long, but its first extra field is empty."""
-    (tmp_path / "a.csv").write_text("id,country,x\n8,a,b,,z\n")
-    assert bulkcsv.read_text_csv(spark, str(tmp_path)).count() == 1
+def test_a_row_whose_first_extra_field_is_empty_is_too_long(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('id,country,x\n8,a,b,,z\n9,"a,,,",b\n10,"a,""b,",b,,\n11,a"b,c"d\n')
+    assert {r[0] for r in bulkcsv.read_text_csv(spark, str(tmp_path)).collect()} == {"9", "11"}
+
+
+def test_columns_go_by_the_header_of_each_file(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,country\n1,US\n")
+    (tmp_path / "b.csv").write_text('country,id\nDE,2\n"F\nR",3\n')
+    found = bulkcsv.read_text_csv(spark, str(tmp_path))
+    assert found.columns == ["id", "country"]
+    assert tuples(found) == {("1", "US"), ("2", "DE"), ("3", "F\nR")}
+    (tmp_path / "c.csv").write_text("id,other\n1,US\n")
+    with pytest.raises(ValueError, match="columns"):
+        bulkcsv.read_text_csv(spark, str(tmp_path))
+
+
+def test_archives_by_the_header_of_each(spark, tmp_path):
+    for name, text in (("a", "id,country\n1,US,EXTRA\n2,FR\n"), ("b", 'country,id\nDE,3\n"F\n""R",4\n5\n')):
+        with zipfile.ZipFile(tmp_path / f"{name}.zip", "w") as archive:
+            archive.writestr("a.csv", text)
+    found = archives.read_archives(archives.list_archives(spark, str(tmp_path)))
+    assert tuples(found) == {("2", "FR"), ("3", "DE"), ("4", 'F\n"R'), (None, "5")}
+    with zipfile.ZipFile(tmp_path / "c.zip", "w") as archive:
+        archive.writestr("a.csv", "id,other\n1,2\n")
+    with pytest.raises(Exception, match="an archive has columns"):
+        archives.read_archives(archives.list_archives(spark, str(tmp_path))).collect()
 
 
 def test_dotted_header(spark, tmp_path, name):
@@ -172,13 +194,11 @@ FIELDS = ["a", "NA", "", '"quoted"', '"a,b"', '"a""b"', '"line\nbreak"', " space
 
 
 def random_csv(rng, breaks):
-    """Rows of one to six fields under a header of three; the pinned gap is left out."""
+    """Rows of one to six fields under a header of three."""
     fields = FIELDS if breaks else [f for f in FIELDS if "\n" not in f]
     lines = ["x,y,z", "first,1,2"]
     while len(lines) < 150:
         row = [rng.choice(fields) for _ in range(rng.choice([1, 2, 3, 3, 3, 3, 4, 5, 6]))]
-        if len(row) > 4 and row[3] == "":
-            continue
         lines.append(",".join(row))
     return "\n".join(lines) + "\n"
 

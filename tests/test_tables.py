@@ -19,7 +19,7 @@ def frame(spark, rows):
 @pytest.fixture
 def keyed(spark, name, tmp_path):
     path = str(tmp_path / "keyed")
-    TB.create_keyed_table(spark, name, SCHEMA, "k", buckets=4, path=path)
+    TB.create_keyed_table(spark, name, SCHEMA, "k", path=path)
     TB.upsert(frame(spark, [(str(i), "old") for i in range(12)]), name)
     return name, path
 
@@ -40,23 +40,67 @@ def test_upsert_keeps_duplicates_and_repeats(spark, keyed):
         assert content(spark, table) == expected()
 
 
-def test_upsert_rewrites_touched_buckets_only(spark, keyed):
+def files(path):
+    return {
+        os.path.join(folder, f)
+        for folder, _, names in os.walk(path)
+        for f in names
+        if f.endswith(".parquet")
+    }
+
+
+def test_a_small_batch_leaves_all_files_as_they_are(spark, keyed):
     table, path = keyed
+    before = files(path)
+    TB.upsert(frame(spark, [("3", "new")]), table)
+    assert before < files(path)
+
+
+def test_compaction_keeps_the_rows(spark, keyed):
+    table, _ = keyed
+    for i in range(8):
+        TB.upsert(frame(spark, [(str(i), f"v{i}"), (str(20 + i), "added")]), table)
+    want = Counter([(str(i), f"v{i}" if i < 8 else "old") for i in range(12)] + [(str(20 + i), "added") for i in range(8)])
+    assert content(spark, table) == want
+    TB.compact(spark, table)
+    assert content(spark, table) == want
+    versions = {r[0] for r in spark.table(table).select(TB.VERSION).distinct().collect()}
+    assert len(versions) == 1
+
+
+def test_a_batch_that_fails_before_its_commit_is_not_seen(spark, keyed, monkeypatch):
+    table, _ = keyed
+
+    def broken(*_):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(TB, "_commit", broken)
+        with pytest.raises(RuntimeError):
+            TB.upsert(frame(spark, BATCH), table)
+    assert content(spark, table) == Counter((str(i), "old") for i in range(12))
+    assert TB.upsert(frame(spark, BATCH), table) == 14
+    assert content(spark, table) == expected()
 
-    def files():
-        return {
-            os.path.join(folder, f)
-            for folder, _, names in os.walk(path)
-            for f in names
-            if f.endswith(".parquet")
-        }
 
-    before = files()
-    batch = frame(spark, BATCH)
-    touched = {r[0] for r in batch.select(TB.bucket_of("k", 4)).distinct().collect()}
-    TB.upsert(batch, table)
-    changed = {f.split(f"{TB.BUCKET}=")[1].split("/")[0] for f in before ^ files()}
-    assert changed == {str(b) for b in touched} and len(touched) < 4
+def test_keys_of_another_type(spark, name):
+    schema = T.StructType([T.StructField("k", T.LongType()), T.StructField("v", T.StringType())])
+    TB.create_keyed_table(spark, name, schema, "k")
+    rows = spark.range(20).selectExpr("id AS k", "'old' AS v")
+    TB.upsert(rows, name)
+    assert TB.upsert(rows.selectExpr("CAST(k AS int) AS k", "'new' AS v"), name) == 20
+    assert TB.upsert(rows.selectExpr("CAST(k AS string) AS k", "'newer' AS v"), name) == 20
+    assert {r.v for r in TB.keyed_rows(spark, name).collect()} == {"newer"}
+    for lossy in ("'x'", "1.5D", "CAST(99999999999999999999 AS decimal(20))"):
+        with pytest.raises(ValueError, match="do not fit"):
+            TB.upsert(spark.sql(f"SELECT {lossy} AS k, 'y' AS v"), name)
+
+
+def test_older_rows_do_not_replace_newer_ones(spark, keyed):
+    table, _ = keyed
+    TB.upsert(frame(spark, [("1", "pp"), ("2", "nn"), ("3", None)]), table, dedupe_by="v")
+    found = dict(content(spark, table).keys())
+    assert (found["1"], found["2"], found["3"]) == ("pp", "old", "old")
 
 
 def test_upsert_null_keys(spark, keyed):
@@ -75,15 +119,16 @@ def test_upsert_empty_batch_and_empty_table(spark, keyed, name):
     table, _ = keyed
     assert TB.upsert(frame(spark, []), table) == 12
     other = name + "b"
-    TB.create_keyed_table(spark, other, SCHEMA, "k", buckets=4)
+    TB.create_keyed_table(spark, other, SCHEMA, "k")
     assert TB.upsert(frame(spark, []), other) == 0
     assert TB.upsert(frame(spark, BATCH), other) == 3
 
 
 def test_upsert_latest(spark, keyed):
     table, _ = keyed
-    assert TB.upsert(frame(spark, BATCH), table, dedupe_by="v") == 13
-    assert content(spark, table)[("3", "new2")] == 1
+    batch = [("3", "p1"), ("3", "p2"), ("99", "p1")]
+    assert TB.upsert(frame(spark, batch), table, dedupe_by="v") == 13
+    assert content(spark, table)[("3", "p2")] == 1
 
 
 def test_upsert_needs_a_keyed_table(spark, name):
@@ -141,8 +186,8 @@ def test_views(spark, name):
 
 
 def test_entity_table(spark, name):
-    TB.create_entity_table(spark, name, buckets=2)
-    TB.create_entity_table(spark, name, buckets=2)
+    TB.create_entity_table(spark, name)
+    TB.create_entity_table(spark, name)
     columns = TB.keyed_rows(spark, name).dtypes
     assert len(columns) == 16 and columns[-1] == ("ingestion_timestamp", "timestamp_ntz")
 

@@ -1,6 +1,7 @@
 """Catalog, SQL, models, load specs and incremental loads."""
 
 import json
+import uuid
 import zipfile
 from collections import Counter
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from tablework.operators import tables as TB
 from tablework.plans import catalog, loads, models
 from tablework.schemas import ENTITY_SCHEMA, PAGE_SCHEMA
+from tablework.sources.paged import paged_source
 from tablework.streaming import incremental
 
 
@@ -40,7 +42,13 @@ def test_run_sql(spark, name):
     ):
         assert catalog.run_sql(spark, query).row_count == count
     result = catalog.run_sql(spark, f"SELECT id FROM {name} ORDER BY id", limit=5)
-    assert (len(result.data), result.row_count, result.data[0]) == (5, 31, {"id": 0})
+    assert (len(result.data), result.row_count, result.more, result.data[0]) == (5, 5, True, {"id": 0})
+    assert not catalog.run_sql(spark, f"SELECT id FROM {name}", limit=31).more
+    assert catalog.run_sql(spark, "SELECT id FROM range(25000)").row_count == 25_000
+    double = catalog.run_sql(spark, f"SELECT *, struct(1 AS x) AS s FROM {name} a JOIN {name} b ON a.id = b.id WHERE a.id = 3")
+    assert double.columns == ["id", "id_1", "s"] and double.data == [{"id": 3, "id_1": 3, "s": {"x": 1}}]
+    with pytest.raises(ValueError, match="DIVIDE_BY_ZERO"):
+        catalog.run_sql(spark, f"SELECT 1 / (id - id) AS x FROM {name}")
     for wrong in ("SELEC 1", "SELECT nothing", f"DELETE FROM {name} WHERE id = 1"):
         with pytest.raises(ValueError):
             catalog.run_sql(spark, wrong)
@@ -80,12 +88,14 @@ def test_entity_load_and_models(spark, name):
         PAGE_SCHEMA,
     )
     for _ in range(2):
-        assert loads.load_entities(spark, pages, name, buckets=2) == 3
-    assert {tuple(r) for r in spark.table("country_counts").collect()} == {("US", 2, 1), ("DE", 1, 1)}
-    assert {r.lei for r in spark.table("entity_hierarchies").collect()} == {"a", "b"}
-    target = name + "_summary"
-    assert models.run_model(spark, "entity_summary", name, target) == 3
-    assert models.run_model(spark, "entity_summary", name, target) == 3
+        assert loads.load_entities(spark, pages, name) == 3
+    other = spark.newSession()
+    assert {tuple(r) for r in other.table(f"{name}_country_counts").collect()} == {("US", 2, 1), ("DE", 1, 1)}
+    parents = {r.lei: (r.direct_parent_name, r.ultimate_parent_name) for r in other.table(f"{name}_hierarchies").collect()}
+    assert parents == {"a": ("N", "N"), "b": (None, "N")}
+    target, rows = name + "_summary", TB.rows_view(name)
+    assert models.run_model(spark, "entity_summary", rows, target) == 3
+    assert models.run_model(spark, "entity_summary", rows, target) == 3
     summary = spark.table(target)
     assert {r.lei: r.hierarchy_level for r in summary.collect()} == {
         "a": "Subsidiary",
@@ -113,6 +123,10 @@ def test_archive_load(spark, tmp_path, name):
     assert loads.describe_bulk(spark, plain) == {"total": 3, "countries": 0}
     with pytest.raises(LookupError):
         models.country_counts_clean(spark.table(plain))
+    for model in ("country_counts_clean", "dataset_stats"):
+        assert models.run_model(spark, model, name, f"{name}_{model}") > 0
+        with pytest.raises(LookupError):
+            models.run_model(spark, model, plain, f"{name}_{model}")
 
 
 def test_load_spec(spark, tmp_path, name):
@@ -133,7 +147,7 @@ def test_load_spec(spark, tmp_path, name):
 def test_stream_of_pages_equals_batch(spark, tmp_path, name):
     landed, checkpoint = tmp_path / "landed", str(tmp_path / "checkpoint")
     landed.mkdir()
-    TB.create_entity_table(spark, name, buckets=2)
+    TB.create_entity_table(spark, name)
 
     def run():
         incremental.upsert_entities(
@@ -151,10 +165,39 @@ def test_stream_of_pages_equals_batch(spark, tmp_path, name):
     assert [r.lei for r in lost.collect()] == [None]
 
 
+@pytest.mark.parametrize("files_per_batch", [1, 10_000])
+def test_versions_of_an_entity_in_any_order(spark, tmp_path, name, files_per_batch):
+    landed = tmp_path / "landed"
+    landed.mkdir()
+    TB.create_entity_table(spark, name)
+    for file, day in enumerate([2, 3, 1]):
+        one = entity("a", name=f"day {day}")
+        one["attributes"]["lastUpdateDate"] = f"2024-01-0{day}"
+        (landed / f"{file}.json").write_text(body(one))
+    for _ in range(2):
+        incremental.upsert_entities(
+            spark, str(landed), name, str(tmp_path / "checkpoint"), files_per_batch=files_per_batch
+        ).awaitTermination()
+        assert [r.legal_name for r in TB.keyed_rows(spark, name).collect()] == ["day 3"]
+
+
+def test_a_load_takes_every_page_and_fetches_it_once(spark, tmp_path, name):
+    (tmp_path / "calls").mkdir()
+
+    def get(page_no):
+        with open(tmp_path / "calls" / f"{page_no}-{uuid.uuid4().hex}", "w"):
+            pass
+        return 200, body(entity(f"e{page_no}"), more=page_no < 150)
+
+    spark.dataSource.register(paged_source("counted_pages", get, pages=150, wait=0, pause=0))
+    assert loads.load_entities(spark, spark.read.format("counted_pages").load(), name) == 150
+    assert len(list((tmp_path / "calls").iterdir())) == 150
+
+
 def test_stream_without_quarantine_fails_on_missing_key(spark, tmp_path, name):
     (tmp_path / "landed").mkdir()
     (tmp_path / "landed" / "1.json").write_text(body(entity(None)))
-    TB.create_entity_table(spark, name, buckets=2)
+    TB.create_entity_table(spark, name)
     query = incremental.upsert_entities(
         spark, str(tmp_path / "landed"), name, str(tmp_path / "checkpoint")
     )
