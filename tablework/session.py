@@ -81,15 +81,15 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/tablework/{owner}/{label}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, label: str = "stage") -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back.
+def stage(df: DataFrame, label: str = "stage", **options: str) -> DataFrame:
+    """Write ``df`` once to the shared folder, with the writer's ``options``, and read it back.
 
     Cuts the lineage on reliable storage, so later jobs neither recompute ``df`` nor depend on
     the executors that produced it, and each of them reads only the columns it needs.
     """
     spark = df.sparkSession
     path = fresh_path(spark, label)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
