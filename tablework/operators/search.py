@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,7 @@ from tablework.functions.columns import col
 from tablework.functions.rows import pretty_json, row_json
 from tablework.functions.vectors import SCORE_DIGITS, as_matrix, cosine_with
 from tablework.operators.skew import salted_join
-from tablework.operators.textindex import EVERY, GROUP, NORM, VECTOR, Embedder, embed_text
+from tablework.operators.textindex import EVERY, GROUP, NORM, VECTOR, Embedder, embed_text, indexed_tables
 from tablework.session import ship, stage
 
 # --- fixed values: result sizes and texts of an answer ------------------------------------------
@@ -442,18 +443,36 @@ def search_tables(
     _check_k(k)
     if not indexes:
         raise LookupError("no table is indexed")
-    found = None
-    for position, (name, (index, key)) in enumerate(indexes.items()):
-        source = [c for c in index.columns if c not in (VECTOR, NORM)]
-        hits = search(index, query, key, k).select(
-            F.lit(position).alias("table_position"),
-            F.lit(name).alias("table_name"),
-            col(key).cast("string").alias("key"),
-            row_json(source).alias("data"),
-            "similarity",
-        )
-        found = hits if found is None else found.unionByName(hits)
-    return found
+    hits = [_table_hits(n, name, index, key, query, k) for n, (name, (index, key)) in enumerate(indexes.items())]
+    return reduce(DataFrame.unionByName, hits)
+
+
+def _table_hits(position: int, name: str, index: DataFrame, key: str, query, k: int) -> DataFrame:
+    source = [c for c in index.columns if c not in (VECTOR, NORM)]
+    return search(index, query, key, k).select(
+        F.lit(position).alias("table_position"),
+        F.lit(name).alias("table_name"),
+        col(key).cast("string").alias("key"),
+        row_json(source).alias("data"),
+        "similarity",
+    )
+
+
+def search_stored(spark: SparkSession, question: str, tables: list[str] | None = None, k: int = TOP_K) -> DataFrame:
+    """``search_tables`` over stored indexes, each asked by its own model: those of ``tables``, or all there are."""
+    _check_k(k)
+    indexes = indexed_tables(spark)
+    for name in tables or ():
+        if name not in indexes:
+            raise LookupError(f"table {name} is not indexed")
+    chosen = [indexes[name] for name in tables or sorted(indexes)]
+    if not chosen:
+        raise LookupError("no table is indexed")
+    hits = [
+        _table_hits(n, i.source, i.frame(spark), i.key, embed_text(spark, question, i.model(spark)), k)
+        for n, i in enumerate(chosen)
+    ]
+    return reduce(DataFrame.unionByName, hits)
 
 
 def first_hits(hits: DataFrame, n: int = CONTEXT_RECORDS, rerank: bool = False) -> DataFrame:
@@ -543,6 +562,27 @@ def ask(
         hits = search_tables(indexes, query, TOP_K)
     else:
         hits = search_tables({table: indexes[table]}, query, TOP_K_ONE_TABLE)
+    return _answered(question, hits, rerank, answer)
+
+
+def ask_stored(
+    spark: SparkSession,
+    question: str,
+    table: str | None = None,
+    rerank: bool = False,
+    answer: Callable[[str, str], str] | None = None,
+) -> dict:
+    """``ask`` over all stored indexes, or one of them."""
+    if table is None and not indexed_tables(spark):
+        return {"answer": NO_DATA, "source_data": []}
+    k = TOP_K if table is None else TOP_K_ONE_TABLE
+    hits = search_stored(spark, question, None if table is None else [table], k)
+    return _answered(question, hits, rerank, answer)
+
+
+def _answered(
+    question: str, hits: DataFrame, rerank: bool, answer: Callable[[str, str], str] | None
+) -> dict:
     found = context(hits, rerank=rerank).first()
     records = [r.asDict() for r in found["source_data"]]
     if not records:

@@ -10,6 +10,7 @@ An index is the table itself plus two columns: ``vector`` and ``norm``. There ar
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Protocol
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablework.functions.columns import col
+from tablework.functions.columns import col, quoted_table
 from tablework.functions.rows import combined_text
 from tablework.functions.vectors import l2_norm
 from tablework.session import ship
@@ -62,6 +63,83 @@ def vectorize_table(
     return spark.table(target).count()
 
 
+# ---- stored indexes --------------------------------------------------------------------------------
+
+_PROPERTIES = ("source", "key", "text_columns")
+
+
+@dataclass(frozen=True)
+class StoredIndex:
+    """An index table with what is needed to search it: its source, key and text columns. The state of its model is in
+    a table beside it."""
+
+    target: str
+    source: str
+    key: str
+    text_columns: list[str]
+
+    def frame(self, spark: SparkSession) -> DataFrame:
+        return spark.table(self.target)
+
+    def model(self, spark: SparkSession) -> HashedTfIdf:
+        row = spark.table(_model_table(self.target)).first()
+        return HashedTfIdf(np.array(row["idf"]), row["rows"])
+
+
+def _model_table(target: str) -> str:
+    return f"{target}_model"
+
+
+def store_index(
+    spark: SparkSession,
+    table: str,
+    text_columns: list[str],
+    key: str,
+    target: str | None = None,
+    dim: int = 1 << 18,
+    path: str | None = None,
+) -> int:
+    """Index the words of a table's text columns and store the index so that any session can search it; its row count.
+
+    The model is fitted to the table and stored with the index: one row of ``dim`` numbers.
+    """
+    target = target or f"{table}_index"
+    rows = spark.table(table)
+    model = HashedTfIdf.fit(rows, text_columns, dim)
+    index = build_index(rows, text_columns, model).write.mode("overwrite").format("parquet")
+    state = spark.createDataFrame([(model.idf.tolist(), model.rows)], "idf array<double>, rows bigint")
+    state = state.write.mode("overwrite").format("parquet")
+    if path:
+        index, state = index.option("path", path), state.option("path", f"{path}_model")
+    state.saveAsTable(_model_table(target))
+    index.saveAsTable(target)
+    values = (table, key, json.dumps(text_columns))
+    properties = ", ".join(f"'tablework.index.{p}'='{_escaped(v)}'" for p, v in zip(_PROPERTIES, values))
+    spark.sql(f"ALTER TABLE {quoted_table(target)} SET TBLPROPERTIES ({properties})")
+    return spark.table(target).count()
+
+
+def _escaped(text: str) -> str:
+    return text.replace("\\", "\\\\").replace("'", "\\'")
+
+
+def stored_index(spark: SparkSession, target: str) -> StoredIndex | None:
+    """What a table says about itself, or None if it is no index."""
+    rows = spark.sql(f"SHOW TBLPROPERTIES {quoted_table(target)}").collect()
+    found = {r["key"]: r["value"] for r in rows}
+    values = [found.get(f"tablework.index.{p}") for p in _PROPERTIES]
+    if None in values:
+        return None
+    return StoredIndex(target, values[0], values[1], json.loads(values[2]))
+
+
+def indexed_tables(spark: SparkSession) -> dict[str, StoredIndex]:
+    """The indexed tables of the current database with their indexes, by name."""
+    targets = sorted(t.name for t in spark.catalog.listTables() if t.tableType in ("MANAGED", "EXTERNAL"))
+    found = [stored_index(spark, t) for t in targets]
+    return {i.source: i for i in found if i is not None}
+
+
 def embed_text(spark: SparkSession, text: str, embedder: Embedder):
     """The vector of one string: a list of floats, or a row of buckets and weights."""
     ship(spark)

@@ -788,6 +788,42 @@ def text_search_postings(spark, folder):
     return rounded(found, "similarity")
 
 
+def own_sparse_sql(source: str, key: str, name: str) -> str:
+    """SQL of the hashed tf-idf weights of a table's text with its own idf, and of the question with the same idf."""
+    words = "unnest(regexp_split_to_array(lower(text), '\\s+')) AS t"
+    return f"""{name}_n AS (SELECT count(*) AS n FROM {source}),
+    {name}_tf AS (SELECT id, ('0x' || substr(md5(t), 1, 7))::BIGINT % {DIM} AS bucket, count(*) AS tf
+      FROM (SELECT {key} AS id, {words} FROM {source}) WHERE t <> '' GROUP BY ALL),
+    {name}_idf AS (SELECT bucket, ln((1 + (SELECT n FROM {name}_n)) / (1 + count(*))) + 1 AS idf FROM {name}_tf GROUP BY bucket),
+    {name}_q AS (SELECT ('0x' || substr(md5(t), 1, 7))::BIGINT % {DIM} AS bucket, count(*) AS tf
+      FROM (SELECT {words} FROM (SELECT min_by(text, item_id) AS text FROM benchmark)) WHERE t <> '' GROUP BY ALL),
+    {name}_qw AS (SELECT bucket, tf * coalesce(idf, ln(1 + (SELECT n FROM {name}_n)) + 1) AS w FROM {name}_q
+      LEFT JOIN {name}_idf USING (bucket)),
+    {name}_dw AS (SELECT id, bucket, tf * idf AS w FROM {name}_tf JOIN {name}_idf USING (bucket)),
+    {name}_norm AS (SELECT id, sqrt(sum(w * w)) AS d FROM {name}_dw GROUP BY id),
+    {name}_hits AS (SELECT '{source}' AS table_name, id, round(sum(d.w / d * q.w / (SELECT sqrt(sum(w * w)) FROM {name}_qw)), 9)
+      AS s FROM {name}_dw d JOIN {name}_qw q USING (bucket) JOIN {name}_norm USING (id) GROUP BY id)"""
+
+
+@query(
+    f"""WITH {own_sparse_sql("documents", "doc_id", "a")}, {own_sparse_sql("benchmark", "item_id", "b")},
+    hits AS (SELECT * FROM a_hits UNION ALL SELECT * FROM b_hits)
+    SELECT table_name, CAST(id AS VARCHAR) AS key, round(s, 6) AS similarity FROM (SELECT *, row_number() OVER
+      (PARTITION BY table_name ORDER BY s DESC, id) AS r FROM hits) WHERE r <= 5"""
+)
+def ask_tables(spark, folder):
+    """Two tables indexed and stored; another session finds the indexes and asks them."""
+    names = {}
+    for source, key in (("documents", "doc_id"), ("benchmark", "item_id")):
+        name = new_name(spark, source)
+        names[name] = source
+        table(spark, folder, source).select(key, "text").write.option("path", fresh_path(spark, name)).saveAsTable(name)
+        X.store_index(spark, name, ["text"], key, dim=DIM, path=fresh_path(spark, f"{name}_index"))
+    found = S.search_stored(spark.newSession(), question(spark, folder), list(names))
+    plain = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    return rounded(found.select(plain[F.col("table_name")].alias("table_name"), "key", "similarity"), "similarity")
+
+
 # ---- tables, views and models that last -----------------------------------------------------------------
 
 

@@ -285,3 +285,22 @@ def test_json_rows(spark):
 
 def test_label(spark):
     assert spark.range(1).select(R.match_label(F.lit(0.8731))).first()[0] == "87.3% match"
+
+
+def test_stored_indexes(spark, texts, name):
+    texts.write.saveAsTable(name)
+    assert X.store_index(spark, name, ["text"], "id", dim=1 << 12) == 5
+    other = spark.newSession()
+    index = X.indexed_tables(other)[name]
+    assert (index.key, index.text_columns, index.target) == ("id", ["text"], f"{name}_index")
+    model = X.HashedTfIdf.fit(texts, ["text"], 1 << 12)
+    assert np.array_equal(index.model(other).idf, model.idf) and index.model(other).rows == 5
+    word = next(w for r in texts.collect() for w in (r["text"] or "").split())
+    query = X.embed_text(spark, word, model)
+    want = hits(S.search(X.build_index(texts, ["text"], model), query, "id", 3), "id", "similarity")
+    found = S.search_stored(other, word, [name], 3)
+    assert [(int(r.key), r.similarity) for r in found.collect()] == [tuple(h) for h in want]
+    assert S.ask_stored(other, word, name)["answer"] == S.FOUND
+    with pytest.raises(LookupError):
+        S.search_stored(other, word, [name + "x"])
+    assert X.stored_index(spark, name) is None
