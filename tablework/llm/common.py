@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,17 +46,26 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def numbered(df: DataFrame, name: str, label: str) -> DataFrame:
+def numbered(df: DataFrame, name: str, label: str, **options: str) -> DataFrame:
     """``df`` written to the shared folder with a number for each row, by which equal rows can be told apart.
 
     The numbers hold because they are read from the written table, never computed again.
     """
-    return stage(df.withColumn(name, F.monotonically_increasing_id()), label)
+    return stage(df.withColumn(name, F.monotonically_increasing_id()), label, **options)
 
 
-def sized(side: DataFrame) -> DataFrame:
+def let_go(spark: SparkSession) -> None:
+    """Have the driver forget finished steps, so that Spark's cleaner removes their shuffle files.
+
+    It does so for whatever the driver's collector has found unused, which may otherwise take half an hour.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def sized(side: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
     """A staged ``side``, marked for broadcast if its files and rows are within the bounds."""
-    if sum(_file_sizes(side)) <= BROADCAST_BYTES and side.count() <= BROADCAST_ROWS:
+    if sum(_file_sizes(side)) <= most and side.count() <= BROADCAST_ROWS:
         return F.broadcast(side)
     return side
 

@@ -134,10 +134,10 @@ def _bit_map(spark, prints: DataFrame):
         )
         .groupBy("cell")
         .agg(F.bit_or("bit").alias("bits"))
-        .toPandas()
+        .toArrow()
     )
     bits = np.zeros(1 << (MAP_BITS - 6), np.uint64)
-    bits[cells["cell"].to_numpy(np.int64)] = cells["bits"].to_numpy(np.int64).view(np.uint64)
+    bits[cells["cell"].to_numpy()] = cells["bits"].to_numpy().view(np.uint64)
     return spark.sparkContext.broadcast(bits)
 
 
