@@ -2,7 +2,7 @@
 
 Only some suffixes are sorted. Of every ``LENGTH`` bytes the suffix is chosen whose first ``GRAM`` bytes have the smallest
 hash, the last one of equals, so a string of ``LENGTH`` bytes chooses the same suffix of itself wherever it stands, and
-all its places meet under that suffix. One suffix in about 18 is chosen.
+all its places meet under that suffix. One suffix in about 14 is chosen.
 
 Texts are kept in blocks. Splitters, drawn from a sample of suffixes, cut the order of their leading bytes into ranges.
 A block sends the leading bytes of its suffixes to the ranges; a range sorts them and answers which ones stand in
@@ -25,15 +25,18 @@ from tablework.llm import common as C
 from tablework.session import stage
 
 LENGTH = 50
-GRAM = 16
+GRAM = 24
 REACH = LENGTH - GRAM + 1
 # Suffixes a range has on average, a sample's size, and the bytes of a block that its share of the sample comes from.
-RANGE_SUFFIXES = 2_000_000
+RANGE_SUFFIXES = 1_000_000
 SAMPLE = 20_000
 SAMPLED_BYTES = 1 << 16
 SAMPLED_SUFFIXES = 64
 # The strings of a range are sorted in so many parts, to bound a task's memory.
-PARTS = 4
+PARTS = 8
+ROW_GROUP = 8 << 20
+# Answers go to every task if they take no more; beyond that they are joined with the blocks.
+ANSWER_BYTES = 32 << 20
 
 _BLOCK = "ids array<long>, sizes array<int>, body binary, leading array<long>"
 _NO_ID = np.iinfo(np.int64).max
@@ -225,6 +228,14 @@ def _smaller(groups: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return out
 
 
+def _pieces(lengths: np.ndarray):
+    """Slices of entries that have about ``SLICE_BYTES`` together."""
+    ends = np.cumsum(lengths)
+    borders = np.searchsorted(ends, np.arange(0, int(ends[-1]), C.SLICE_BYTES), "left")
+    borders = np.unique(np.append(borders, len(lengths)))
+    return [slice(a, b) for a, b in zip(borders[:-1], borders[1:])]
+
+
 def _answer_strings(key, table):
     numbers = [np.frombuffer(v.as_py(), np.int64).reshape(4, -1) for v in table["numbers"]]
     sizes = [n.shape[1] for n in numbers]
@@ -234,22 +245,49 @@ def _answer_strings(key, table):
     lengths = most - least + LENGTH
     ends = np.cumsum(lengths)
     begins = ends - lengths
-    spans = C.byte_spans(body)
     reach = (most << 8 | least).astype(np.uint64)
+    whole = np.empty(len(values), np.uint64)
+    pieces = _pieces(lengths)
+    for s in pieces:
+        spans = C.byte_spans(body[begins[s][0] : ends[s][-1]])
+        whole[s] = C.mixed(spans.hashes(begins[s] - begins[s][0], ends[s] - begins[s][0]) + reach[s]) ^ values[s]
     # Suffixes that agree in all they reach: only those of the smallest id need to be looked at further.
-    later = _smaller(C.mixed(spans.hashes(begins, ends) + reach) ^ values, ids)
-    masks = np.where(later, np.uint64((1 << REACH) - 1), np.uint64(0))
-    first = np.flatnonzero(~later)
-    for before in range(REACH):
-        some = first[(least[first] <= before) & (before <= most[first])]
+    later = _smaller(whole, ids)
+    masks = np.where(later, _ALL, np.uint64(0))
+    strings = [[] for _ in range(REACH)]
+    for s in pieces:
+        first = s.start + np.flatnonzero(~later[s])
+        origin = begins[s.start]
+        spans = C.byte_spans(body[origin : ends[s.stop - 1]])
+        for before in range(REACH):
+            some = first[(least[first] <= before) & (before <= most[first])]
+            starts = begins[some] + most[some] - before - origin
+            strings[before].append((some, spans.hashes(starts, starts + LENGTH) ^ values[some]))
+    for before, found in enumerate(strings):
+        some, hashes = (np.concatenate(x) for x in zip(*found))
+        strings[before] = None
         if len(some):
-            starts = begins[some] + most[some] - before
-            found = _smaller(spans.hashes(starts, starts + LENGTH) ^ values[some], ids[some])
-            masks[some[found]] |= np.uint64(1 << before)
-    parts = np.split(masks, np.cumsum(sizes)[:-1])
-    return pa.table(
-        {"range": table["range"], "block": table["block"], "mask": pa.array([p.tobytes() for p in parts], pa.binary())}
-    )
+            some = some[_smaller(hashes, ids[some])]
+            masks[some] |= np.uint64(1 << before)
+    parts = [_packed(p) for p in np.split(masks, np.cumsum(sizes)[:-1])]
+    return pa.table({"range": table["range"], "block": table["block"], "mask": pa.array(parts, pa.binary())})
+
+
+_ALL = np.uint64((1 << REACH) - 1)
+
+
+def _packed(masks: np.ndarray) -> bytes:
+    """A byte for each mask, 0 for none of the strings and 1 for all, and then the masks that are neither."""
+    kinds = np.where(masks == 0, 0, np.where(masks == _ALL, 1, 2)).astype(np.uint8)
+    return len(masks).to_bytes(8, "little") + kinds.tobytes() + masks[kinds == 2].tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    count = int.from_bytes(data[:8], "little")
+    kinds = np.frombuffer(data, np.uint8, count, 8)
+    masks = np.where(kinds == 1, _ALL, np.uint64(0))
+    masks[kinds == 2] = np.frombuffer(data[8 + count :], np.uint64)
+    return masks
 
 
 def _cut_texts(splitters, keep_text: bool):
@@ -258,9 +296,9 @@ def _cut_texts(splitters, keep_text: bool):
             suffixes = Suffixes(body, offsets)
             leading = Leading(suffixes, ids)
             shared = Shared(suffixes, leading, _several(leading, several, splitters.value), ids, splitters.value)
-            masks = b"".join(a["mask"] for a in sorted(smaller, key=lambda a: a["range"]))
-            masks = np.frombuffer(masks, np.uint64)[shared.of]
-            masks = np.where(shared.own > shared.ids[shared.of], np.uint64((1 << REACH) - 1), masks)
+            found = [_unpacked(a["mask"]) for a in sorted(smaller, key=lambda a: a["range"])]
+            masks = np.concatenate([np.zeros(0, np.uint64), *found])[shared.of]
+            masks = np.where(shared.own > shared.ids[shared.of], _ALL, masks)
             places, most, least = (a[shared.chosen] for a in (suffixes.places, suffixes.most, suffixes.least))
             starts = np.zeros(len(body) + 1, np.int32)
             for before in range(REACH):
@@ -305,10 +343,12 @@ def without_repeats(
     """
     spark = docs.sparkSession
     source = C.texts(docs, id_column, text_column).withColumn("doc_id", F.col("doc_id").cast("long"))
-    blocks = C.numbered(source.mapInArrow(_blocks, _BLOCK), "block", "blocks")
+    # Small groups of rows in the files: a reader holds one group at a time, and a row is a whole block.
+    small = {"parquet.block.size": str(ROW_GROUP)}
+    blocks = C.numbered(source.mapInArrow(_blocks, _BLOCK), "block", "blocks", **small)
     total = blocks.agg(F.sum(F.expr("aggregate(sizes, 0L, (n, x) -> n + x)"))).first()[0] or 0
-    sample = blocks.select(F.explode("leading").alias("v")).orderBy(F.xxhash64("v"), "v").limit(SAMPLE).toPandas()
-    sample = np.sort(sample["v"].to_numpy(np.int64).view(np.uint64))
+    sample = blocks.select(F.explode("leading").alias("v")).orderBy(F.xxhash64("v"), "v").limit(SAMPLE).toArrow()
+    sample = np.sort(sample["v"].to_numpy().view(np.uint64))
     ranges = max(1, round(2 * total / (REACH + 1) / RANGE_SUFFIXES))
     splitters = np.unique(sample[len(sample) * np.arange(1, ranges) // ranges]) if len(sample) else sample
     held = spark.sparkContext.broadcast(splitters)
@@ -317,7 +357,9 @@ def without_repeats(
     def answered(asked: DataFrame, answer, label: str) -> DataFrame:
         found = asked.groupBy("range").applyInArrow(answer, "range int, block long, mask binary")
         masks = F.collect_list(F.struct("range", "mask")).alias(label)
-        return C.sized(stage(found.groupBy("block").agg(masks), label))
+        kept = stage(found.groupBy("block").agg(masks), label)
+        C.let_go(spark)
+        return C.sized(kept, ANSWER_BYTES)
 
     asked = body.mapInArrow(_ask_leading(held), "range int, block long, values binary, several binary")
     several = answered(asked, _answer_leading, "several")
