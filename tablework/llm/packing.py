@@ -153,16 +153,15 @@ class Encoder:
         return b"".join(map(self._word, text.split()))
 
 
-_encoders: dict[int, Encoder] = {}
+_encoders: dict[str, Encoder] = {}
 
 
 def _encoder(tokenizer: str) -> Encoder:
     """The worker's encoder for a tokenizer, which keeps what it knows from task to task."""
-    key = zlib.crc32(tokenizer.encode())
-    if key not in _encoders:
+    if tokenizer not in _encoders:
         _encoders.clear()
-        _encoders[key] = Encoder(tokenizer)
-    return _encoders[key]
+        _encoders[tokenizer] = Encoder(tokenizer)
+    return _encoders[tokenizer]
 
 
 def _pieces(tokenizer, capacity: int, end: bytes, keep_ids: bool):

@@ -67,9 +67,22 @@ def test_whole_table(spark, folder, frame):
 
 def test_signature_has_smallest_and_largest():
     hashes = np.arange(1, 9, dtype=np.uint64)
-    one = minhash.band_keys(hashes, np.array([0]))
-    two = minhash.band_keys(np.concatenate([hashes[::-1], hashes + np.uint64(9)]), np.array([0, 8]))
+    one, bits = minhash.band_keys(hashes, np.array([0]))
+    two, more = minhash.band_keys(np.concatenate([hashes[::-1], hashes + np.uint64(9)]), np.array([0, 8]))
     assert (one[0] == two[0]).all() and (one[0] != two[1]).any()
+    assert (bits[0] == more[0]).all() and (bits[0] != more[1]).any()
+
+
+def test_sketches_of_similar_sets_are_near():
+    draw = np.random.default_rng(5)
+    apart = []
+    for size in (5, 10, 50, 400) * 200:
+        both = draw.integers(0, 1 << 63, size, np.int64).view(np.uint64)
+        cut = size // 10
+        one, two = both[cut:], both[: size - (size // 5 - cut)]
+        _, sketch = minhash.band_keys(np.concatenate([one, two]), np.array([0, len(one)]))
+        apart.append(sum(int(x ^ y).bit_count() for x, y in zip(*sketch.tolist())))
+    assert np.mean(np.array(apart) > minhash.FAR) < 0.01 and 80 < np.mean(apart) < 110
 
 
 def test_representatives_keep_their_columns(frame):
