@@ -8,7 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablework.llm import common as C
-from tablework.llm import decontamination, exact, language, licenses, lines, minhash, packing, scoring, suffixes, urls
+from tablework.llm import (
+    decontamination,
+    exact,
+    language,
+    licenses,
+    lines,
+    minhash,
+    packing,
+    scoring,
+    suffixes,
+    urls,
+    whitening,
+)
 from tablework.sources.files import read_parquet
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -155,3 +167,8 @@ def op10_language(spark, folder):
     model = language.fit(docs.filter(F.col("doc_id").isNotNull() & ~held))
     judged = language.languages(docs, model)
     return judged.select("doc_id", language.held_out(F.col("doc_id"), 4, 2).alias("held_out"), "lang_pred", "score")
+
+
+@query()
+def op12_whitening(spark, folder):
+    return whitening.whitened(table(spark, folder, "embeddings"))
