@@ -65,17 +65,22 @@ def let_go(spark: SparkSession) -> None:
 
 def sized(side: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
     """A staged ``side``, marked for broadcast if its files and rows are within the bounds."""
-    if sum(_file_sizes(side)) <= most and side.count() <= BROADCAST_ROWS:
-        return F.broadcast(side)
-    return side
+    return F.broadcast(side) if fits(side, most) else side
 
 
-def _file_sizes(staged: DataFrame) -> Iterator[int]:
-    jvm = staged.sparkSession.sparkContext._jvm
-    conf = staged.sparkSession.sparkContext._jsc.hadoopConfiguration()
-    for file in staged.inputFiles():
-        path = jvm.org.apache.hadoop.fs.Path(file)
-        yield path.getFileSystem(conf).getFileStatus(path).getLen()
+def fits(side: DataFrame, most: int = BROADCAST_BYTES) -> bool:
+    """Whether the files and rows of a staged ``side`` are within the bounds of a broadcast."""
+    return bytes_of(side) <= most and side.count() <= BROADCAST_ROWS
+
+
+def bytes_of(staged: DataFrame) -> int:
+    """Bytes on disk of a staged frame, from one summary of its folder."""
+    context = staged.sparkSession.sparkContext
+    total = 0
+    for folder in {f.rsplit("/", 1)[0] for f in staged.inputFiles()}:
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        total += path.getFileSystem(context._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    return total
 
 
 def without(rows: DataFrame, dropped: DataFrame, name: str) -> DataFrame:

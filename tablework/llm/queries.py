@@ -14,6 +14,7 @@ from tablework.llm import (
     language,
     licenses,
     lines,
+    merkle,
     minhash,
     packing,
     scoring,
@@ -169,6 +170,71 @@ def op10_language(spark, folder):
     return judged.select("doc_id", language.held_out(F.col("doc_id"), 4, 2).alias("held_out"), "lang_pred", "score")
 
 
+_LOWERED_TEXT = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_CRC_STEP = "CASE WHEN {0} & 1 = 1 THEN xor({0} >> 1, 3988292384) ELSE {0} >> 1 END"
+_FIELD_SQL = "coalesce(CAST(octet_length(encode(CAST({0} AS VARCHAR))) AS VARCHAR) || ':' || CAST({0} AS VARCHAR), '-')"
+
+
+def _manifest_sql(levels: int = 7, top_levels: int = 3) -> str:
+    """The manifest, its proofs and the folding, level by level, for up to ``8 ** levels`` rows a language."""
+    leaf = "sha256(" + " || ".join(_FIELD_SQL.format(c) for c in ("doc_id", "source", "lang", "n_chars", "{0}")) + ")"
+    crc = "list_reduce(list_prepend(4294967295, list_transform(range(1, len(s) + 1), lambda i: CAST(ascii(s[i]) AS BIGINT))), "
+    crc += "lambda c, b: list_reduce(list_prepend(xor(c, b), range(0, 8)), lambda x, k: " + _CRC_STEP.format("x") + "))"
+    depth = lambda most: " + ".join(f"CAST(n > {8**k} AS INTEGER)" for k in range(most))
+    steps = [
+        "docs AS (SELECT *, CAST(doc_id AS VARCHAR) AS s FROM documents)",
+        f"marked AS (SELECT *, coalesce(xor({crc}, 4294967295) % 3 = 0, false) AS tampered FROM docs)",
+        f"leaves AS (SELECT doc_id, lang, {leaf.format('text')} AS leaf, CASE WHEN tampered THEN {leaf.format(_LOWERED_TEXT)} "
+        f"ELSE {leaf.format('text')} END AS shown FROM marked)",
+        "t0 AS (SELECT *, leaf AS d, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, "
+        "count(*) OVER (PARTITION BY lang) AS n FROM leaves)",
+        f"l0 AS (SELECT *, {depth(levels)} AS depth, shown AS fold, '' AS path FROM t0)",
+    ]
+
+    def build(kind: str, tree: str, most: int) -> None:
+        for k in range(1, most + 1):
+            below = f"{kind}{k - 1}"
+            steps.append(
+                f"{kind}{k} AS (SELECT {tree}, depth, idx // 8 AS idx, list(d ORDER BY idx) AS run, "
+                f"sha256(string_agg(d, '' ORDER BY idx)) AS d FROM {below} WHERE depth >= {k} GROUP BY {tree}, depth, idx // 8)"
+            )
+        tops = " UNION ALL ".join(f"SELECT {tree}, d FROM {kind}{k} WHERE depth = {k}" for k in range(most + 1))
+        steps.append(f"{kind}top AS ({tops})")
+
+    def climb(kind: str, rows: str, tree: str, most: int) -> str:
+        for k in range(1, most + 1):
+            place = f"CAST(idx_{kind} // {8 ** (k - 1)} % 8 AS INTEGER)"
+            left, right = f"array_to_string(run[1:{place}], '')", f"array_to_string(run[{place} + 2:8], '')"
+            steps.append(
+                f"{rows}{k} AS (SELECT a.* REPLACE (CASE WHEN run IS NULL THEN fold ELSE sha256({left} || fold || {right}) END "
+                f"AS fold, CASE WHEN run IS NULL THEN path ELSE path || {left} || {right} END AS path) FROM {rows}{k - 1} a "
+                f"LEFT JOIN (SELECT {tree} AS run_tree, idx AS run_idx, run FROM {kind}{k}) ON run_tree IS NOT DISTINCT FROM {tree} "
+                f"AND run_idx = idx_{kind} // {8**k})"
+            )
+        return f"{rows}{most}"
+
+    build("l", "lang", levels)
+    steps.append("u AS (SELECT lang, d, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS idx, count(*) OVER () AS n FROM ltop)")
+    steps.append(f"g0 AS (SELECT lang, 0 AS one, d, idx, {depth(top_levels)} AS depth FROM u)")
+    build("g", "one", top_levels)
+    steps.append("a0 AS (SELECT doc_id, leaf, lang, 0 AS one, fold, path, idx AS idx_l FROM l0)")
+    last = climb("l", "a", "lang", levels)
+    steps.append(
+        f"b0 AS (SELECT a.*, g.d AS subroot, g.idx AS idx_g FROM {last} a JOIN g0 g ON g.lang IS NOT DISTINCT FROM a.lang)"
+    )
+    last = climb("g", "b", "one", top_levels)
+    return (
+        f"WITH {', '.join(steps)} SELECT doc_id, leaf, subroot, gtop.d AS root, sha256(path) AS proof_sha256, "
+        f"fold AS folded_root, fold = gtop.d AS verified FROM {last} CROSS JOIN gtop"
+    )
+
+
+@query(_manifest_sql())
+def op11_manifest(spark, folder):
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    return merkle.verified(table(spark, folder, "documents"), merkle.lowered_if(F.col("text"), tampered))
+
+
 @query()
 def op12_whitening(spark, folder):
     return whitening.whitened(table(spark, folder, "embeddings"))
