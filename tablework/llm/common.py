@@ -7,7 +7,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tablework.functions.columns import col
@@ -54,6 +55,32 @@ def numbered(df: DataFrame, name: str, label: str, **options: str) -> DataFrame:
     return stage(df.withColumn(name, F.monotonically_increasing_id()), label, **options)
 
 
+def identified(df: DataFrame, name: str, label: str) -> DataFrame:
+    """``df`` with a number for each row, always the same one for the same row.
+
+    Rows that are read from Parquet files as they are get the number of their file and their place in it, and only the
+    list of files is written. Anything else is written first, as ``numbered`` does.
+    """
+    if not _reads_rows(df._jdf.queryExecution().analyzed()):
+        return numbered(df, name, label)
+    try:
+        placed = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+    except AnalysisException:
+        return numbered(df, name, label)
+    # One row per file, so one task can rank them.
+    files = placed.select("_file").distinct()
+    files = stage(files.withColumn("_base", F.row_number().over(Window.orderBy("_file")).cast("long")), "files")
+    number = F.shiftleft("_base", 40) + F.col("_at")
+    return placed.join(sized(files), "_file").withColumn(name, number).drop("_file", "_at", "_base")
+
+
+def _reads_rows(plan) -> bool:
+    """Whether an analysed plan is a scan of files below projections and filters alone."""
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias", "View"):
+        plan = plan.children().apply(0)
+    return "Relation" in plan.nodeName()
+
+
 def let_go(spark: SparkSession) -> None:
     """Have the driver forget finished steps, so that Spark's cleaner removes their shuffle files.
 

@@ -202,8 +202,9 @@ def contamination(
 
 
 def decontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that share no window with an item, as they are."""
+    """The rows of ``docs`` that share no window with an item, as they are. Null and empty texts share none and stay;
+    repeated rows are judged each; without items all rows stay."""
     name = C.free_name(docs, "row_number")
-    rows = C.numbered(docs, name, "documents")
+    rows = C.identified(docs, name, "documents")
     judged = contamination(rows, items, id_column=name)
     return C.without(rows, judged.filter("n_hit > 0").select(F.col("doc_id").alias(name)), name)

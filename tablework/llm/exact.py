@@ -72,9 +72,10 @@ def copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each text, as it is."""
+    """``docs`` with one row of each text, as it is: the first by id, a null id coming last, and exactly one of rows that
+    repeat it. A null text counts as empty. No rows in, no rows out."""
     name = C.free_name(docs, "row_number")
-    rows = C.numbered(docs, name, "documents")
+    rows = C.identified(docs, name, "documents")
     digests = rows.select(F.col(name).alias("row"), "doc_id", digest(F.col("text")).alias("text_sha256"))
     judged = settled(stage(digests, "digests"))
     return C.without(rows, judged.filter("not kept").select(F.col("row").alias(name)), name)

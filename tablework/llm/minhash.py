@@ -5,12 +5,10 @@ A permutation gives a document two values, the smallest and the largest of its s
 documents that agree in a band are candidates. Two documents of similarity 0.8 miss all bands with a probability of
 about ``(1 - 0.8 ** (2 * EACH)) ** BANDS``, 5 in a million.
 
-Documents of one set are one class. Candidates are not all pairs of a bucket: each member is first compared with the
-bucket's first member, then with ``ROUNDS`` others as long as it is in another component than they are, and only members
-that are then still in different components are compared with each other. From the second round on four bits of each
-value are compared first; pairs go on if they differ in no more than ``FAR`` places. Documents of similarity 0.8 differ
-in 96 of these 960 places, with a deviation of 14, and ``FAR`` is over four deviations away, so this costs little more
-than the bands do. Every comparison that decides is made on the whole sets of both texts.
+Documents of one set are one class. Candidates are not all pairs of a bucket: each member is compared with the bucket's
+first member. Members of buckets that still hold several components are then joined by their rarest shingles, which loses
+no link between them, and in which texts that only share a template do not meet. Every comparison that decides is made
+on the whole sets of both texts.
 """
 
 from __future__ import annotations
@@ -21,62 +19,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablework.llm import common as C
+from tablework.llm import ngramjoin
 from tablework.llm.graph import components
+from tablework.llm.shingling import confirmed, set_keys, shingle_hashes, shingles
 from tablework.session import discard, stage
 
+__all__ = ["grouped", "near_copies", "representatives", "shingles"]
+
 WIDTH = 5
 PERCENT = 80
 BANDS = 40
 EACH = 3
-# Four bits of every value, sixteen values to a word.
-WORDS = BANDS * EACH * 2 // 16
-FAR = 160
-# So many more members of a bucket are compared with the others before all that are still apart are.
-ROUNDS = 2
 
 _draw = np.random.default_rng(20)
 _FACTORS = _draw.integers(0, 1 << 63, BANDS * EACH, np.int64).view(np.uint64) * np.uint64(2) + np.uint64(1)
 _TERMS = _draw.integers(0, 1 << 63, BANDS * EACH, np.int64).view(np.uint64)
 
 
-def shingle_hashes(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Different hashes of word runs and whose they are, in order of the rows."""
-    low = C.LOWER[data]
-    starts, ends, rows = C.word_spans(low, offsets, C.SOLID)
-    if not len(rows):
-        return np.zeros(0, np.uint64), rows
-    words = C.Spans(C.byte_spans(low).hashes(starts, ends))
-    counts = np.bincount(rows, minlength=len(offsets) - 1)
-    first = np.cumsum(counts) - counts
-    short = np.flatnonzero((counts > 0) & (counts < width))
-    at = np.arange(max(0, len(rows) - width + 1))
-    at = at[rows[at] == rows[at + width - 1]]
-    begin = np.concatenate([at, first[short]])
-    end = np.concatenate([at + width, first[short] + counts[short]])
-    hashes, rows = words.hashes(begin, end), rows[begin]
-    order = np.lexsort((hashes, rows))
-    hashes, rows = hashes[order], rows[order]
-    new = np.ones(len(rows), bool)
-    new[1:] = (hashes[1:] != hashes[:-1]) | (rows[1:] != rows[:-1])
-    return hashes[new], rows[new]
-
-
-def band_keys(hashes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(rows, bands): one hash of the smallest and largest values of each band's permutations; (rows, words): four
-    bits of every value."""
+def band_keys(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """(rows, bands): one hash of the smallest and largest values of each band's permutations."""
     out = np.empty((len(starts), BANDS), np.uint64)
-    sketch = np.zeros((len(starts), WORDS), np.uint64)
     for band in range(BANDS):
         key = np.full(len(starts), band, np.uint64)
         for p in range(band * EACH, band * EACH + EACH):
             values = hashes * _FACTORS[p] + _TERMS[p]
-            for side, best in enumerate((np.minimum, np.maximum)):
-                found = best.reduceat(values, starts)
-                key = C.mixed(key) ^ found
-                word, place = divmod(2 * p + side, 16)
-                sketch[:, word] |= (C.mixed(found) & np.uint64(15)) << np.uint64(4 * place)
+            for best in (np.minimum, np.maximum):
+                key = C.mixed(key) ^ best.reduceat(values, starts)
         out[:, band] = C.mixed(key)
-    return out, sketch
+    return out
 
 
 def _signatures(width: int):
@@ -84,18 +54,14 @@ def _signatures(width: int):
         for batch, data, offsets in C.slices(batches):
             hashes, rows = shingle_hashes(data, offsets, width)
             counts = np.bincount(rows, minlength=len(batch))
+            one, two = set_keys(hashes, counts)
             filled = np.flatnonzero(counts)
-            starts = (np.cumsum(counts) - counts)[filled]
-            one, two = np.zeros(len(batch), np.uint64), np.zeros(len(batch), np.uint64)
-            keys, sketch = np.zeros((0, BANDS), np.uint64), np.zeros((0, WORDS), np.uint64)
+            keys = np.zeros((0, BANDS), np.uint64)
             if len(filled):
-                one[filled] = np.add.reduceat(C.mixed(hashes), starts)
-                two[filled] = np.add.reduceat(C.mixed(hashes ^ np.uint64(0xA5A5A5A5A5A5A5A5)), starts)
-                keys, sketch = band_keys(hashes, starts)
-            bands, bits = _lists(keys, filled, len(batch)), _lists(sketch, filled, len(batch))
+                keys = band_keys(hashes, (np.cumsum(counts) - counts)[filled])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), bands, bits],
-                ["row", "doc_id", "n_shingles", "one", "two", "bands", "sketch"],
+                [batch.column("row"), batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(one), pa.array(two), _lists(keys, filled, len(batch))],
+                ["row", "doc_id", "n_shingles", "one", "two", "bands"],
             )
 
     return run
@@ -110,82 +76,15 @@ def _lists(table: np.ndarray, filled: np.ndarray, rows: int) -> pa.ListArray:
     )
 
 
-def shingles(text: str, width: int) -> set:
-    """The set of a text itself, for confirming links."""
-    words = text.encode().lower().split()
-    if len(words) < width:
-        return {tuple(words)} if words else set()
-    return set(zip(*(words[i:] for i in range(width))))
-
-
-def _confirmed(width: int, percent: int):
-    def run(batches):
-        last, own = None, set()
-        for batch in batches:
-            kept = []
-            for i, (a, x, y) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("a", "text_a", "text_b")))):
-                if a != last:
-                    last, own = a, shingles(x, width)
-                other = shingles(y, width)
-                common = len(own & other)
-                kept.append(100 * common >= percent * (len(own) + len(other) - common))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(kept))
-
-    return run
-
-
-def _links(pairs: DataFrame, rows: DataFrame, width: int, percent: int) -> DataFrame:
-    """The staged pairs whose full sets are similar enough."""
-    nodes = stage(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct(), "nodes")
-    texts = stage(rows.select("row", "text").join(C.sized(nodes), "row", "left_semi"), "texts")
-    held = (
-        pairs.join(texts.select(F.col("row").alias("b"), F.col("text").alias("text_b")), "b")
-        .join(texts.select(F.col("row").alias("a"), F.col("text").alias("text_a")), "a")
-        .select("a", "b", "text_a", "text_b")
-    )
-    links = stage(held.mapInArrow(_confirmed(width, percent), "a long, b long"), "links")
-    discard(texts)
-    return links
-
-
-def _apart(buckets: DataFrame, links: DataFrame, sketches: DataFrame, turn: int) -> DataFrame:
-    """The members of the buckets that hold several components so far, with their labels and sketches."""
-    label = components(links)
-    known = buckets.join(label.select(F.col("node").alias("row"), "label"), "row", "left").select(
-        "band", "row", "n_shingles", F.coalesce("label", "row").alias("label")
-    )
-    known = stage(known, f"labelled{turn}")
-    mixed = known.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
-    return stage(known.join(mixed.select("band"), "band", "left_semi").join(sketches, "row"), f"apart{turn}")
-
-
-def _as_other(known: DataFrame) -> DataFrame:
-    return known.select(
-        "band",
-        F.col("row").alias("x"),
-        F.col("n_shingles").alias("size_a"),
-        F.col("label").alias("label_a"),
-        F.col("sketch").alias("sketch_a"),
-    )
-
-
-def _untried(known: DataFrame, others: DataFrame, tried: DataFrame, across, near: str) -> DataFrame:
-    """Pairs of a bucket from different components that have not been compared and may be similar enough."""
-    apart = sum((F.bit_count(F.col("sketch")[i].bitwiseXOR(F.col("sketch_a")[i])) for i in range(WORDS)), F.lit(0))
-    pairs = (
-        known.join(others, "band").filter(across).filter(near).filter(apart <= FAR)
-        .select(F.least("x", "row").alias("a"), F.greatest("x", "row").alias("b")).distinct()
-    )
-    return stage(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-
-
 def grouped(rows: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """``row, doc_id, n_shingles, component_id, kept`` for staged rows of ``row, doc_id, text``."""
+    """``row, doc_id, n_shingles, component_id, best, kept`` for numbered rows of ``row, doc_id, text``.
+
+    ``best`` is true for the one row that stands for its component.
+    """
     signed = stage(
         rows.select("row", "doc_id", "text").mapInArrow(
             _signatures(width),
-            f"row long, doc_id {dict(rows.dtypes)['doc_id']}, n_shingles long, one long, two long, bands array<long>, "
-            "sketch array<long>",
+            f"row long, doc_id {dict(rows.dtypes)['doc_id']}, n_shingles long, one long, two long, bands array<long>",
         ),
         "signatures",
     )
@@ -205,6 +104,7 @@ def grouped(rows: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Data
     heads = C.sized(stage(classes.select(F.col("first").alias("row")), "heads"))
     banded = signed.join(heads, "row", "left_semi").select("row", "n_shingles", F.explode("bands").alias("band"))
     banded = stage(banded, "bands")
+    discard(signed)
     shared = banded.groupBy("band").agg(F.min("row").alias("a"), F.count("*").alias("n")).filter("n > 1")
     shared = C.sized(stage(shared.select("band", "a"), "shared"))
     # A link needs sets of similar sizes, whatever they hold.
@@ -212,30 +112,23 @@ def grouped(rows: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Data
     discard(banded)
     sizes = buckets.filter("row = a").select("band", F.col("n_shingles").alias("size_a"))
     near = f"100 * least(size_a, n_shingles) >= {percent} * greatest(size_a, n_shingles)"
-    tried = stage(
-        buckets.filter("row != a").join(sizes, "band").filter(near).select("a", F.col("row").alias("b")).distinct(),
-        "pairs",
-    )
-    links = _links(tried, rows, width, percent)
-    C.let_go(rows.sparkSession)
-
-    # Further members of each bucket take the first one's part, one a round, for members still apart from them.
-    sketches = signed.select("row", "sketch")
-    buckets = buckets.select("band", "row", "n_shingles")
-    for turn in range(ROUNDS):
-        known = _apart(buckets, links, sketches, turn)
-        heads = known.groupBy("band").agg(F.min_by("row", F.xxhash64("row", F.lit(turn))).alias("row"))
-        heads = _as_other(known.join(C.sized(stage(heads, "heads")), ["band", "row"], "left_semi"))
-        more = _untried(known, heads, tried, F.col("label_a") != F.col("label"), near)
-        links = stage(links.unionByName(_links(more, rows, width, percent)), "links")
-        tried = stage(tried.unionByName(more), "pairs")
-        C.let_go(rows.sparkSession)
-
-    known = _apart(buckets, links, sketches, ROUNDS)
-    rest = _untried(known, _as_other(known), tried, F.col("label_a") < F.col("label"), near)
-    more = _links(rest, rows, width, percent)
-    C.let_go(rows.sparkSession)
-    label = components(stage(links.unionByName(more), "links"))
+    pairs = buckets.filter("row != a").join(sizes, "band").filter(near).select("a", F.col("row").alias("b")).distinct()
+    links = confirmed(stage(pairs, "pairs"), rows, width, percent)
+
+    label = components(links).select(F.col("node").alias("row"), "label")
+    known = buckets.join(label, "row", "left").select("band", "row", "n_shingles", F.coalesce("label", "row").alias("label"))
+    known = stage(known, "labelled")
+    discard(buckets)
+    apart = known.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
+    rest = known.join(apart.select("band"), "band", "left_semi").select("row", "n_shingles").distinct()
+    rest = stage(rest, "apart")
+    discard(known)
+    total = rest.agg(F.sum("n_shingles").alias("n")).first()["n"]
+    if total:
+        texts = stage(rows.select("row", "text").join(C.sized(rest.select("row")), "row", "left_semi"), "texts")
+        links = ngramjoin.links_of(texts, total, width, percent, known=links)
+        discard(texts)
+    label = components(links)
 
     member = member.join(label.select(F.col("node").alias("first"), "label"), "first", "left").select(
         "row", "doc_id", "n_shingles", F.coalesce("label", "first").alias("label")
@@ -244,12 +137,14 @@ def grouped(rows: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Data
     order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")
     best = member.groupBy("label").agg(F.min(order).alias("best"), F.count("*").alias("n")).filter("n > 1")
     best = C.sized(stage(best.select("label", "best"), "best"))
+    named = F.when(F.col("best").isNull(), F.col("doc_id")).otherwise(F.col("best.doc_id"))
     return member.join(best, "label", "left").select(
         "row",
         "doc_id",
         "n_shingles",
-        F.when(F.col("best").isNull(), F.col("doc_id")).otherwise(F.col("best.doc_id")).alias("component_id"),
-        F.coalesce(F.col("row") == F.col("best.row"), F.lit(True)).alias("kept"),
+        named.alias("component_id"),
+        F.coalesce(F.col("row") == F.col("best.row"), F.lit(True)).alias("best"),
+        F.coalesce(F.col("doc_id") == named, F.lit(False)).alias("kept"),
     )
 
 
@@ -260,21 +155,23 @@ def near_copies(
     id_column: str = "doc_id",
     text_column: str = "text",
 ) -> DataFrame:
-    """One row per row of ``docs``: ``row, doc_id, n_shingles, component_id, kept``.
+    """One row per row of ``docs``: ``row, doc_id, n_shingles, component_id, best, kept``.
 
     A text of fewer words than ``width`` has them all as its one shingle; a null text or one without words has none and
-    is linked with nothing. ``component_id`` is the smallest id of the component, null if none of it has one; the row
-    that is kept is the first by id, a null id coming last, and exactly one of those that repeat it. No rows in, no rows
-    out; other columns are not read.
+    is linked with nothing. ``component_id`` is the smallest id of the component, null if none of it has one. ``kept``
+    says whether a row's id is that id: of repeated ids several rows are kept, of a component without ids none is.
+    ``best`` marks exactly one row of each component, the first by id, a null id coming last. No rows in, no rows out;
+    other columns are not read.
     """
-    rows = C.numbered(C.texts(docs, id_column, text_column), "row", "documents")
+    rows = C.identified(C.texts(docs, id_column, text_column), "row", "documents")
     return grouped(rows, width, percent)
 
 
 def representatives(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each component, as it is."""
+    """``docs`` with one row of each component, as it is: the first by id, a null id coming last, and exactly one of
+    rows that repeat it. Null texts and texts without words all stay. No rows in, no rows out."""
     name = C.free_name(docs, "row_number")
-    rows = C.numbered(docs, name, "documents")
+    rows = C.identified(docs, name, "documents")
     plain = rows.select(F.col(name).alias("row"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
     judged = grouped(plain)
-    return C.without(rows, judged.filter("not kept").select(F.col("row").alias(name)), name)
+    return C.without(rows, judged.filter("not best").select(F.col("row").alias(name)), name)

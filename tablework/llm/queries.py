@@ -16,6 +16,7 @@ from tablework.llm import (
     lines,
     merkle,
     minhash,
+    ngramjoin,
     packing,
     scoring,
     suffixes,
@@ -158,7 +159,7 @@ def op8_urls(spark, folder):
 
 @query()
 def op9_minhash(spark, folder):
-    return minhash.near_copies(table(spark, folder, "documents"), width=4).drop("row")
+    return minhash.near_copies(table(spark, folder, "documents"), width=4).drop("row", "best")
 
 
 @query()
@@ -238,3 +239,8 @@ def op11_manifest(spark, folder):
 @query()
 def op12_whitening(spark, folder):
     return whitening.whitened(table(spark, folder, "embeddings"))
+
+
+@query()
+def op13_ngram_join(spark, folder):
+    return ngramjoin.linked(table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id")
