@@ -12,16 +12,16 @@ number and then by hash. N-grams that only one document has cannot join; they st
 their number alone. N-grams of many documents of a block are sent as counts, so a part holds a bounded number of entries
 per block and n-gram.
 
-Only components are asked for, so a common n-gram does not make all its pairs candidates: its documents are compared
-with one of them, then with others as long as they are in another component, and at last all are compared that are still
-in different components.
+Only components are asked for, so a common n-gram does not make all its pairs candidates: a document is compared with the
+leading documents of a few of its n-grams, then with others as long as it is not of an n-gram's largest component, and at
+last with all that are still in other components.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablework.llm import common as C
@@ -35,8 +35,10 @@ PERCENT = 85
 PART_GRAMS = 4 << 20
 # An n-gram of more documents of a block is sent as a count; which documents have it stays with the block.
 COMMON = 8
-# So many members of an n-gram's documents are compared with the others before all that are still apart are.
-STARS = 3
+# In so many turns a document is compared with a few leading ones of its n-grams, before it is with all that are still in
+# other components than it is.
+STARS = 4
+FEW = 4
 # Parts of the order whose n-grams are counted for the suffix filter: by power of two of the frequency, halved by hash.
 CELLS = 16
 _REQUEST = "part int, block long, kind int, grams binary, counts binary, rows binary, sizes binary"
@@ -201,11 +203,15 @@ def _as_other(held: DataFrame) -> DataFrame:
 
 
 def _pairs(held: DataFrame, others: DataFrame, tried: DataFrame, percent: int, turn: int) -> DataFrame:
-    """Pairs across components that have not been tried and pass the filters."""
+    """Pairs across components that have not been tried and pass the filters, before the last turn a few of each row."""
     across = (F.col("label") != F.col("label_x")) & (F.col("row") != F.col("row_x"))
-    met = held.join(others, "gram").filter(across & _met(percent))
-    pairs = met.select(F.least("row", "row_x").alias("a"), F.greatest("row", "row_x").alias("b")).distinct()
-    return stage(pairs.join(tried, ["a", "b"], "left_anti"), f"pairs{turn}")
+    met = held.join(others, "gram").filter(across & _met(percent)).select("row", "row_x")
+    pairs = met.withColumn("a", F.least("row", "row_x")).withColumn("b", F.greatest("row", "row_x"))
+    pairs = pairs.dropDuplicates(["a", "b"]).join(tried, ["a", "b"], "left_anti")
+    if turn < STARS:
+        place = F.row_number().over(Window.partitionBy("row").orderBy(F.xxhash64("row_x", F.lit(turn)), "row_x"))
+        pairs = pairs.withColumn("place", place).filter(F.col("place") <= FEW)
+    return stage(pairs.select("a", "b"), f"pairs{turn}")
 
 
 def _mixed(found: DataFrame, links: DataFrame | None, turn: int) -> DataFrame:
@@ -246,16 +252,16 @@ def links_of(
         held = _mixed(found, links if turn else known, turn)
         if held.isEmpty():
             break
+        # Whoever is not of an n-gram's largest component is compared with one of that, at last with all others.
+        size = held.groupBy("gram", "label").agg(F.count("*").alias("size"))
+        largest = size.groupBy("gram").agg(F.max_by("label", F.struct("size", "label")).alias("label"))
+        outside = held.join(largest, ["gram", "label"], "left_anti")
+        others = held
         if turn < STARS:
-            # The first member by a hash that differs from turn to turn; the same documents lead in all their n-grams.
-            lead = held.groupBy("gram").agg(F.min_by("row", F.xxhash64("row", F.lit(turn))).alias("row"))
+            own = held.join(largest, ["gram", "label"], "left_semi")
+            lead = own.groupBy("gram").agg(F.min_by("row", F.xxhash64("row", F.lit(turn))).alias("row"))
             others = held.join(lead, ["gram", "row"], "left_semi")
-        else:
-            # All that are not of the n-gram's largest component, against all others.
-            size = held.groupBy("gram", "label").agg(F.count("*").alias("size"))
-            largest = size.groupBy("gram").agg(F.max_by("label", "size").alias("label"))
-            others = held.join(largest, ["gram", "label"], "left_anti")
-        pairs = _pairs(held, _as_other(others), tried, percent, turn)
+        pairs = _pairs(outside, _as_other(others), tried, percent, turn)
         if not pairs.isEmpty():
             links = stage(links.unionByName(confirmed(pairs, rows, width, percent)), "links")
             tried = stage(tried.unionByName(pairs), "tried")
