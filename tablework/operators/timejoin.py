@@ -29,15 +29,23 @@ def asof_join(
     are one. The time line is cut into ``slots`` of about equally many moments (four per shuffle partition by default),
     and a task sorts one slot of one key at a time: a key that holds most rows is spread over all slots, and so is a
     busy hour. What a slot inherits from earlier ones comes from one aggregated row per key and slot. Left rows without
-    a time or a key find nothing.
+    a time or a key find nothing. Keys and times of different types are compared as what they have in common, a date as
+    its midnight; the columns that come back keep their types.
     """
     time, row, hit, slot = (F.col(c) for c in ("_time", "_row", "_hit", "_slot"))
     by_key = [col(k) for k in keys]
     right_struct = F.struct(col(right_time), *[col(v) for v in values])
+    names = [*keys, "_time"]
+    left_side = [*by_key, col(left_time).alias("_time")]
+    right_side = [*by_key, col(right_time).alias("_time")]
+    common = left.select(*left_side).union(right.select(*right_side)).schema
+    left_side, right_side = (
+        [c.cast(f.dataType).alias(n) for c, f, n in zip(side, common, names)] for side in (left_side, right_side)
+    )
     # Only moments meet moments: however many rows share one, it is one row on either side.
     usable = right.dropna(subset=[*keys, right_time])
-    moments = left.select(*by_key, col(left_time).alias("_time")).dropna().distinct()
-    hits = usable.groupBy(*by_key, col(right_time).alias("_time")).agg(F.max(right_struct).alias("_hit"))
+    moments = left.select(*left_side).dropna().distinct()
+    hits = usable.groupBy(*right_side).agg(F.max(right_struct).alias("_hit"))
     both = moments.withColumn("_row", F.lit(True)).unionByName(hits, allowMissingColumns=True)
     both = stage(both, "moments")
     both = _with_slots(both, slots or 4 * spread_of(left))
@@ -65,7 +73,7 @@ def asof_join(
         .filter(F.col("_found").isNotNull())
     )
     # Back to the rows. A moment that very many of them share, or none at all, is spread over the tasks.
-    rows = left.withColumn("_own", _moment(by_key, col(left_time)))
+    rows = left.withColumn("_own", _moment(left_side[:-1], left_side[-1]))
     joined = salted_join(rows, found, "_own", "_moment", "left")
     return joined.select(
         *[col(c) for c in left.columns],

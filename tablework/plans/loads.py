@@ -115,8 +115,8 @@ def create_entity_views(spark: SparkSession, table: str = "entities") -> None:
         spark,
         f"{table}_hierarchies",
         "SELECT e.lei, e.legal_name, d.legal_name AS direct_parent_name, u.legal_name AS ultimate_parent_name "
-        f"FROM {rows} e LEFT JOIN {rows} d ON d.lei = nullif(e.direct_parent_lei, '') "
-        f"LEFT JOIN {rows} u ON u.lei = nullif(e.ultimate_parent_lei, '') "
+        f"FROM {rows} e LEFT JOIN {rows} d ON d.lei = e.direct_parent_lei "
+        f"LEFT JOIN {rows} u ON u.lei = e.ultimate_parent_lei "
         "WHERE e.direct_parent_lei <> '' OR e.ultimate_parent_lei <> ''",
     )
 

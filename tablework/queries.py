@@ -6,6 +6,7 @@ same result in the SQL of an independent engine. Results without an oracle are s
 
 from __future__ import annotations
 
+import hashlib
 import io
 import zipfile
 from collections.abc import Callable, Iterator
@@ -25,7 +26,7 @@ from tablework.operators.skew import salted_join
 from tablework.operators.timejoin import asof_join, range_join
 from tablework.plans import catalog, loads, models
 from tablework.schemas import ENTITY_SCHEMA, LOAD_TIME_COLUMN, NA_TOKENS
-from tablework.session import fresh_path, ship
+from tablework.session import fresh_path, ship, stage
 from tablework.sources import archives, bulkcsv, files, pages, records
 from tablework.streaming import incremental
 
@@ -191,6 +192,80 @@ def archive_rows(spark, folder):
     return digested(archives.read_archives(made, ["doc_id", "text", "lang"]))
 
 
+QUOTES = """SELECT CAST(doc_id AS VARCHAR) AS doc_id, CASE WHEN coalesce(text, '') = '' THEN '' ELSE
+      md5(replace(text, chr(13), '')) END AS text_md5, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+      coalesce(CAST(n_chars AS VARCHAR), '') AS n_chars, coalesce(lang, '') || '5" pipe' AS mark FROM documents
+    UNION ALL SELECT CAST(-1 - doc_id AS VARCHAR), '', '', '', '', '' FROM documents WHERE doc_id % 7 = 2"""
+QUOTED_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars", "mark"]
+
+
+def quoted_records(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document in full as a CSV record with line breaks, quotes and a stray quote; beside these, records of one
+    field and records that are too long, some with their long rest beginning empty."""
+    docs = table(spark, folder, "documents")
+    text = F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("\r"), F.lit("")), F.lit('"'), F.lit('""'))
+    rest = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("lang", "source", "n_chars")]
+    mark = F.concat(F.coalesce("lang", F.lit("")), F.lit('5" pipe'))
+    field = F.concat(F.lit('"'), text, F.lit('"'))
+    whole = F.concat_ws(",", F.col("doc_id").cast("string"), field, *rest, mark)
+    short = (-1 - F.col("doc_id")).cast("string")
+    kind = F.col("doc_id") % 7
+    more = F.when(kind == 2, F.array(short)).when(kind == 4, F.array(F.concat(whole, F.lit(",extra"))))
+    more = more.when(kind == 5, F.array(F.concat(whole, F.lit(",,z")))).otherwise(F.array().cast("array<string>"))
+    return docs.select(F.explode(F.concat(F.array(whole), more)).alias("value"))
+
+
+def all_digested(rows: DataFrame) -> DataFrame:
+    cleaned = bulkcsv.clean_text(rows, na_tokens=())
+    digest = F.when(F.col("text") == "", "").otherwise(F.md5("text"))
+    return cleaned.select("doc_id", digest.alias("text_md5"), *QUOTED_COLUMNS[2:])
+
+
+@query(QUOTES)
+def bulk_one_file(spark, folder):
+    """The records as one file, which is read by as many tasks as it has splits."""
+    path = fresh_path(spark, "one_file")
+    header = spark.createDataFrame([(",".join(QUOTED_COLUMNS),)], "value string")
+    header.unionAll(quoted_records(spark, folder)).coalesce(1).write.text(path)
+    return all_digested(bulkcsv.read_text_csv(spark, path))
+
+
+@query(QUOTES)
+def archive_quotes(spark, folder):
+    """The records through archives, each unpacked into parts that other tasks read."""
+
+    def zipped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            buffer = io.BytesIO()
+            with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as archive:
+                archive.writestr("documents.csv", "\n".join([",".join(QUOTED_COLUMNS), *batch["value"]]) + "\n")
+            content = buffer.getvalue()
+            yield pd.DataFrame({"path": [f"{hashlib.md5(content).hexdigest()}.zip"], "content": [content]})
+
+    made = quoted_records(spark, folder).mapInPandas(zipped, "path string, content binary")
+    return all_digested(archives.read_archives(stage(made, "zipped"), QUOTED_COLUMNS))
+
+
+@query(
+    """SELECT doc_id, lang, source, n_chars, CASE WHEN doc_id % 2 = 0 THEN n_chars + 0.5 ELSE n_chars END AS size
+    FROM documents"""
+)
+def json_mixed(spark, folder):
+    """A folder of files with an object per line and of files that are one array each."""
+    path = fresh_path(spark, "mixed")
+    docs = table(spark, folder, "documents").select("doc_id", "lang", "source", "n_chars")
+    even = F.col("doc_id") % 2 == 0
+    docs.filter(~even).withColumn("size", F.col("n_chars")).write.json(f"{path}/lines")
+
+    def arrays(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = [value for batch in batches for value in batch["value"]]
+        yield pd.DataFrame({"value": ["[" + ",\n".join(rows) + "]"]})
+
+    halves = docs.filter(even).withColumn("size", F.col("n_chars") + 0.5)
+    halves.select(F.to_json(F.struct("*")).alias("value")).mapInPandas(arrays, "value string").write.text(f"{path}/arrays")
+    return files.read_json(spark, [f"{path}/lines", f"{path}/arrays"]).select("doc_id", "lang", "source", "n_chars", "size")
+
+
 def event_pages(spark: SparkSession, folder: str) -> DataFrame:
     """Every event as a landed page. Large values are refused with status 400; large errors have no next link."""
     event = F.struct("event_id", "event_type", "value")
@@ -344,6 +419,27 @@ def entity_hierarchies(spark, folder):
     return models.entity_hierarchies(entities(spark, folder))
 
 
+@query(
+    ENT
+    + """, k AS (SELECT * REPLACE (CASE WHEN lei = (SELECT min(lei) FROM ent) THEN '' ELSE lei END AS lei) FROM ent)
+    SELECT e.lei, e.legal_name, d.legal_name AS direct_parent_name, u.legal_name AS ultimate_parent_name
+    FROM k e LEFT JOIN k d ON d.lei = e.direct_parent_lei LEFT JOIN k u ON u.lei = e.ultimate_parent_lei
+    WHERE e.direct_parent_lei <> '' OR e.ultimate_parent_lei <> ''"""
+)
+def hierarchy_view(spark, folder):
+    """The view of the catalog, over a table in which one entity has the empty key."""
+    name = new_name(spark, "hierarchy")
+    rows = entities(spark, folder)
+    first = rows.agg(F.min("lei").alias("first"))
+    rows = rows.join(F.broadcast(first)).withColumn("lei", F.when(F.col("lei") == F.col("first"), "").otherwise(F.col("lei")))
+    TB.create_entity_table(spark, name, fresh_path(spark, name))
+    there = rows.withColumn(LOAD_TIME_COLUMN, F.localtimestamp())
+    full = [F.col(f.name) if f.name in there.columns else F.lit("").alias(f.name) for f in ENTITY_SCHEMA]
+    TB.upsert(there.select(*full), name)
+    loads.create_entity_views(spark, name)
+    return spark.newSession().table(f"{name}_hierarchies")
+
+
 @query(
     ENT
     + """SELECT country, count(*) AS entity_count, count(DISTINCT jurisdiction) AS jurisdictions FROM ent
@@ -1076,6 +1172,20 @@ def sql_asof(spark, folder):
     return asof_join(purchases, clicks, ["user_id"], "ts", "click_ts", ["click_id"]).drop("ts")
 
 
+@query(
+    """WITH c AS (SELECT user_id, max(event_id) AS event_id, CAST(ts AS DATE) AS day FROM events GROUP BY user_id,
+      CAST(ts AS DATE))
+    SELECT e.event_id, e.user_id, c.day, c.event_id AS last_id FROM events e ASOF LEFT JOIN c
+      ON e.user_id = c.user_id AND e.ts >= c.day"""
+)
+def asof_mixed_types(spark, folder):
+    """Events with the last one of their user's latest day: times against dates, 64-bit keys against 32-bit ones."""
+    events = table(spark, folder, "events").select("event_id", "user_id", "ts")
+    days = events.groupBy(F.col("user_id").cast("int").alias("user_id"), F.col("ts").cast("date").alias("day"))
+    days = days.agg(F.max("event_id").alias("last_id"))
+    return asof_join(events, days, ["user_id"], "ts", "day", ["last_id"]).drop("ts")
+
+
 @query(
     """WITH w AS (SELECT o_orderpriority AS priority, year(o_orderdate) AS y, min(o_orderdate) AS lo FROM orders
       GROUP BY ALL)

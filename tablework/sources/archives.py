@@ -11,10 +11,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablework.session import ship
-from tablework.sources.bulkcsv import field_count
+from tablework.session import ship, stage
+from tablework.sources import splitcsv
+from tablework.sources.bulkcsv import parsed
 
-RECORDS = 5_000
+# Characters of a part, which one task reads at a time.
+PART = 4 << 20
 
 
 def list_archives(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -30,82 +32,54 @@ def _open_member(content: bytes, path: str):
     return archive.open(member)
 
 
-def _records(content: bytes, path: str) -> Iterator[str]:
-    """The records of the member, a line at a time; lines inside a quoted field belong together."""
+def _parts(content: bytes, path: str) -> Iterator[str]:
+    """The member as texts of whole lines, of about ``PART`` characters."""
     with _open_member(content, path) as member:
         held: list[str] = []
-        quotes = 0
+        size = 0
         for line in io.TextIOWrapper(member, "utf-8-sig", newline="\n"):
-            held.append(line)
-            quotes += line.count('"')
-            if quotes % 2 == 0:
-                record = "".join(held).rstrip("\r\n")
-                held, quotes = [], 0
-                if record:
-                    yield record
+            held.append(line.removesuffix("\n"))
+            size += len(line)
+            if size >= PART:
+                yield "\n".join(held)
+                held, size = [], 0
         if held:
-            yield "".join(held).rstrip("\r\n")
+            yield "\n".join(held)
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for number, text in enumerate(_parts(content, path)):
+                columns = [pa.array([path]), pa.array([number], pa.int64()), pa.array([text])]
+                yield pa.RecordBatch.from_arrays(columns, ["file", "start", "text"])
+
+
+def _headers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        names = [next(csv.reader([record]), []) for record in batch.column("record").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("file"), pa.array(names, pa.list_(pa.string()))], ["of", "header"])
 
 
 def read_archives(archives: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """All rows of all archives as text columns; over-long rows are left out, short ones padded.
 
     Each archive's own header says which field is which; one with other columns fails the job. ``columns`` are those
-    of the archive that comes first by path unless they are given. An archive is unpacked as a stream by one task; its
-    records are parsed by Spark. ``archives`` has columns ``path`` and ``content``, see ``list_archives``.
+    of the archive that comes first by path unless they are given. An archive is unpacked as a stream by one task, into
+    parts in the shared folder; the parts are read by as many tasks as there are cores, by the rules of ``splitcsv``.
+    ``archives`` has columns ``path`` and ``content``, see ``list_archives``.
     """
     ship(archives.sparkSession)
-
-    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                records = _records(content, path)
-                header = next(csv.reader([next(records, "")]), [])
-                some: list[str] = []
-
-                def rows() -> pa.RecordBatch:
-                    shared = pa.array([header] * len(some), pa.list_(pa.string()))
-                    return pa.RecordBatch.from_arrays([shared, pa.array(some, pa.string())], ["header", "record"])
-
-                for record in records:
-                    some.append(record)
-                    if len(some) == RECORDS:
-                        yield rows()
-                        some.clear()
-                if some:
-                    yield rows()
-
+    parts = archives.select("path", "content").mapInArrow(_unpacked, "file string, start long, text string")
+    found = splitcsv.records(stage(parts, "parts"))
+    headers = found.filter("first").select("file", "record").mapInArrow(_headers, "of string, header array<string>")
+    headers = stage(headers, "headers")
     if columns is None:
-        columns = archive_header(archives)
-    records = archives.select("path", "content").mapInArrow(unpacked, "header array<string>, record string")
+        first = headers.agg(F.min_by("header", "of").alias("header")).first()["header"]
+        if first is None:
+            raise ValueError("no archive found")
+        columns = list(first)
     same = F.array_sort("header") == F.lit(sorted(columns))
     wrong = F.raise_error(F.concat(F.lit("an archive has columns "), F.array_join("header", ",")))
-    fields = [f"_{i}" for i in range(len(columns))]
-    options = {"escape": '"', "mode": "PERMISSIVE", "multiLine": "true"}
-    parsed = (
-        records.filter(F.when(same, True).otherwise(wrong.cast("boolean")))
-        .filter(field_count(F.col("record")) <= len(columns))
-        .withColumn("row", F.from_csv("record", ", ".join(f"{f} string" for f in fields), options))
-    )
-    # Where a column stands differs from header to header, so the fields are looked up by it.
-    values = F.array(*[F.col("row")[f] for f in fields])
-    picked = [F.get(values, (F.array_position("header", c) - 1).cast("int")) for c in columns]
-    return parsed.select(*[F.nullif(v, F.lit("")).alias(c) for v, c in zip(picked, columns)])
-
-
-def archive_header(archives: DataFrame) -> list[str]:
-    """The column names of the archive that comes first by path."""
-
-    def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                header = next(csv.reader([next(_records(content, path), "")]), [])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([path]), pa.array([header], pa.list_(pa.string()))], ["path", "names"]
-                )
-
-    first = archives.select("path").agg(F.min("path").alias("path")).first()["path"]
-    if first is None:
-        raise ValueError("no archive found")
-    one = archives.filter(F.col("path") == first).select("path", "content").limit(1)
-    return list(one.mapInArrow(names, "path string, names array<string>").first()["names"])
+    rows = found.filter(~F.col("first")).join(headers, F.col("file") == F.col("of"))
+    return parsed(rows.filter(F.when(same, True).otherwise(wrong.cast("boolean"))), F.col("header"), columns)

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from tablework.functions.columns import col, null_to_empty, tokens_to_null
 from tablework.operators.tables import replace_table
 from tablework.schemas import NA_TOKENS
+from tablework.sources import splitcsv
 
 _EXTRA, _CORRUPT = "_extra", "_corrupt"
 
@@ -34,7 +35,7 @@ def field_count(record: Column) -> Column:
 
 @dataclass(frozen=True)
 class Layout:
-    """Files that are read alike: by the same columns, and whole or in splits."""
+    """Files that are read alike: by the same columns, and by records that may be ``whole`` only over several lines."""
 
     header: tuple[str, ...]
     whole: bool
@@ -70,16 +71,13 @@ def files_with_line_breaks(spark: SparkSession, paths: str | list[str]) -> list[
     return sorted(f for layout, files in file_layouts(spark, paths).items() if layout.whole for f in files)
 
 
-def _read(
-    spark: SparkSession, paths: str | list[str], columns: list[str], multiline: bool
-) -> DataFrame:
+def _read(spark: SparkSession, paths: str | list[str], columns: list[str]) -> DataFrame:
     schema = T.StructType(
         [T.StructField(c, T.StringType()) for c in [*columns, _EXTRA, _CORRUPT]]
     )
     rows = (
         spark.read.schema(schema)
         .option("header", True)
-        .option("multiLine", multiline)
         .option("escape", '"')
         # Whether a row is too long shows only if all of its fields are parsed.
         .option("columnPruning", False)
@@ -93,6 +91,28 @@ def _read(
     return rows.filter(F.col(_EXTRA).isNull() & fits).select(*[col(c) for c in columns])
 
 
+def parsed(records: DataFrame, header: Column, columns: list[str]) -> DataFrame:
+    """Texts ``record`` as the text columns ``columns``, where ``header`` is the array of the names in their order.
+
+    Over-long records are left out, short ones padded, empty fields are null.
+    """
+    fields = [f"_{i}" for i in range(len(columns))]
+    options = {"escape": '"', "mode": "PERMISSIVE", "multiLine": "true"}
+    rows = records.filter((F.col("record") != "") & (field_count(F.col("record")) <= len(columns))).select(
+        header.alias("header"), F.from_csv("record", ", ".join(f"{f} string" for f in fields), options).alias("row")
+    )
+    # Where a column stands may differ from file to file, so the fields are looked up by the header.
+    values = F.array(*[F.col("row")[f] for f in fields])
+    picked = [F.get(values, (F.array_position("header", c) - 1).cast("int")) for c in columns]
+    return rows.select(*[F.nullif(v, F.lit("")).alias(c) for v, c in zip(picked, columns)])
+
+
+def _read_records(spark: SparkSession, paths: str | list[str], header: list[str]) -> DataFrame:
+    """Files with line breaks in quoted fields, each by as many tasks as it has splits."""
+    rows = splitcsv.records(splitcsv.file_blocks(spark, paths)).filter(~F.col("first"))
+    return parsed(rows, F.array(*map(F.lit, header)), header)
+
+
 def read_text_csv(
     spark: SparkSession,
     paths: str | list[str],
@@ -102,16 +122,16 @@ def read_text_csv(
     """Read CSV files as text columns: those of ``columns``, or of the first file by name.
 
     Every file's own header says which field is which; a file that has other columns is an error. ``multiline``
-    says whether quoted fields may hold line breaks. A file with such fields cannot be split, so by default it is
-    found out file by file, in the pass that reads the headers: only the files that need it are read whole by one
-    task, all others are split. With ``columns`` and ``multiline`` given, that pass is left out and all files must
-    have these columns in this order.
+    says whether quoted fields may hold line breaks; by default it is found out file by file, in the pass that reads
+    the headers. Files with such fields are put together from their splits by ``splitcsv``, all others are split by
+    line. With ``columns`` and ``multiline`` given, that pass is left out and all files must have these columns in this
+    order.
     """
     if columns is not None and multiline is not None:
-        return _read(spark, paths, columns, multiline)
+        return (_read_records if multiline else _read)(spark, paths, columns)
     layouts = file_layouts(spark, paths)
     if not layouts:
-        return _read(spark, paths, columns or header_of(spark, paths), bool(multiline))
+        return _read(spark, paths, columns or header_of(spark, paths))
     if columns is None:
         columns = list(min(layouts.items(), key=lambda item: min(item[1]))[0].header)
     parts: dict[tuple[tuple[str, ...], bool], list[str]] = {}
@@ -121,7 +141,7 @@ def read_text_csv(
         whole = layout.whole if multiline is None else multiline
         parts.setdefault((layout.header, whole), []).extend(files)
     frames = [
-        _read(spark, sorted(files), list(header), whole).select(*[col(c) for c in columns])
+        (_read_records if whole else _read)(spark, sorted(files), list(header)).select(*[col(c) for c in columns])
         for (header, whole), files in sorted(parts.items())
     ]
     return reduce(DataFrame.unionAll, frames)

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablework.sources.bulkcsv import file_layouts
 
@@ -32,23 +34,51 @@ def read_csv(
     return reader.option("inferSchema", True).option("multiLine", multiline).csv(path)
 
 
-def has_object_per_line(spark: SparkSession, path: str | list[str]) -> bool:
-    """Whether every line is an object of its own, so that files may be split by line."""
+def json_layouts(spark: SparkSession, path: str | list[str]) -> dict[bool, list[str]]:
+    """The files by whether they are read whole, having something else than an object per line."""
     line = F.trim(F.col("value"))
-    whole = line.startswith("{") & line.endswith("}")
-    return spark.read.text(path).filter((line != "") & ~whole).isEmpty()
+    odd = (line != "") & ~(line.startswith("{") & line.endswith("}"))
+    lines = spark.read.text(path).select(odd.alias("odd"), F.col("_metadata.file_path").alias("file"))
+    found: dict[bool, list[str]] = {}
+    for row in lines.groupBy("file").agg(F.bool_or("odd").alias("whole")).collect():
+        found.setdefault(row["whole"], []).append(unquote(row["file"]))
+    return found
+
+
+def merged_type(one: T.DataType, two: T.DataType) -> T.DataType:
+    """The type that inferred values of both types have together; what does not fit is text."""
+    if one == two or isinstance(two, T.NullType):
+        return one
+    if isinstance(one, T.NullType):
+        return two
+    if isinstance(one, T.StructType) and isinstance(two, T.StructType):
+        fields = {f.name: f.dataType for f in one}
+        for f in two:
+            fields[f.name] = merged_type(fields[f.name], f.dataType) if f.name in fields else f.dataType
+        return T.StructType([T.StructField(name, fields[name]) for name in sorted(fields)])
+    if isinstance(one, T.ArrayType) and isinstance(two, T.ArrayType):
+        return T.ArrayType(merged_type(one.elementType, two.elementType))
+    if isinstance(one, T.NumericType) and isinstance(two, T.NumericType):
+        whole = isinstance(one, T.IntegralType) and isinstance(two, T.IntegralType)
+        return T.LongType() if whole else T.DoubleType()
+    return T.StringType()
 
 
 def read_json(
     spark: SparkSession, path: str | list[str], multiline: bool | None = None
 ) -> DataFrame:
-    """JSON with inferred types: one object per line, or one array or object per file.
+    """JSON with inferred types: one object per line, or one array or object per file, in any mixture.
 
-    Files with an object per line can be split between tasks; by default it is found out which they are.
+    Files with an object per line can be split between tasks; by default it is found out file by file which they are.
     """
-    if multiline is None:
-        multiline = not has_object_per_line(spark, path)
-    return spark.read.option("multiLine", multiline).json(path)
+    kinds = {} if multiline is not None else json_layouts(spark, path)
+    if len(kinds) < 2:
+        return spark.read.option("multiLine", next(iter(kinds), bool(multiline))).json(path)
+    # The types are those of all files together; then each kind of file is read in its own way.
+    readers = {whole: spark.read.option("multiLine", whole) for whole in kinds}
+    schema = merged_type(*[readers[whole].json(files).schema for whole, files in kinds.items()])
+    parts = [readers[whole].schema(schema).json(files) for whole, files in kinds.items()]
+    return parts[0].unionByName(parts[1])
 
 
 def read_parquet(spark: SparkSession, path: str | list[str]) -> DataFrame:
