@@ -100,6 +100,11 @@ def fits(side: DataFrame, most: int = BROADCAST_BYTES) -> bool:
     return bytes_of(side) <= most and side.count() <= BROADCAST_ROWS
 
 
+def few(staged: DataFrame) -> DataFrame:
+    """A staged frame in one partition if it could as well be broadcast, so that its next steps need no shuffle."""
+    return staged.coalesce(1) if fits(staged) else staged
+
+
 def bytes_of(staged: DataFrame) -> int:
     """Bytes on disk of a staged frame, from one summary of its folder."""
     context = staged.sparkSession.sparkContext

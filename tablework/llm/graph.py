@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablework.llm import common as C
 from tablework.session import stage
 
 
@@ -12,13 +13,18 @@ def components(edges: DataFrame) -> DataFrame:
     """``node, label`` for every node of the staged ``edges`` (``a, b``); the label is the component's smallest node.
 
     Each round takes the smallest label among a node and its neighbours and then the label of that label, so a chain
-    shortens by half at least. Every round is written to the shared folder; the driver sees one count.
+    shortens by half at least. Every round is written to the shared folder; the driver sees one count. Edges that could
+    as well be broadcast are worked on by one task a round.
     """
+    together = C.fits(edges)
+    edges = edges.coalesce(1) if together else edges
     both = stage(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = stage(
         both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("label")), "labels"
     )
     while True:
+        if together:
+            both, labels = both.coalesce(1), labels.coalesce(1)
         near = (
             both.join(labels, both["b"] == labels["node"])
             .groupBy(F.col("a").alias("node"))

@@ -37,7 +37,7 @@ PART_GRAMS = 4 << 20
 COMMON = 8
 # In so many turns a document is compared with a few leading ones of its n-grams, before it is with all that are still in
 # other components than it is.
-STARS = 4
+STARS = 3
 FEW = 4
 # Parts of the order whose n-grams are counted for the suffix filter: by power of two of the frequency, halved by hash.
 CELLS = 16
@@ -207,7 +207,7 @@ def _pairs(held: DataFrame, others: DataFrame, tried: DataFrame, percent: int, t
     across = (F.col("label") != F.col("label_x")) & (F.col("row") != F.col("row_x"))
     met = held.join(others, "gram").filter(across & _met(percent)).select("row", "row_x")
     pairs = met.withColumn("a", F.least("row", "row_x")).withColumn("b", F.greatest("row", "row_x"))
-    pairs = pairs.dropDuplicates(["a", "b"]).join(tried, ["a", "b"], "left_anti")
+    pairs = pairs.dropDuplicates(["a", "b"]).join(C.few(tried), ["a", "b"], "left_anti")
     if turn < STARS:
         place = F.row_number().over(Window.partitionBy("row").orderBy(F.xxhash64("row_x", F.lit(turn)), "row_x"))
         pairs = pairs.withColumn("place", place).filter(F.col("place") <= FEW)
@@ -219,13 +219,13 @@ def _mixed(found: DataFrame, links: DataFrame | None, turn: int) -> DataFrame:
     if links is None:
         held = found.withColumn("label", F.col("row"))
     else:
-        label = components(links).select(F.col("node").alias("row"), "label")
+        label = C.few(components(links)).select(F.col("node").alias("row"), "label")
         held = found.join(label, "row", "left").withColumn("label", F.coalesce("label", "row"))
-    held = stage(held, f"labelled{turn}")
+    held = C.few(stage(held, f"labelled{turn}"))
     several = held.groupBy("gram").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least < most")
     mixed = stage(held.join(several.select("gram"), "gram", "left_semi"), f"mixed{turn}")
     discard(held)
-    return mixed
+    return C.few(mixed)
 
 
 def links_of(
@@ -243,11 +243,11 @@ def links_of(
     found = entries(rows, width, percent, total)
     if copies is not None:
         found = found.join(copies, "row", "left_anti")
-    found = stage(found, "entries")
+    found = C.few(stage(found, "entries"))
     links = known
     if links is None:
         links = stage(found.select(F.col("row").alias("a"), F.col("row").alias("b")).limit(0), "links")
-    tried = links.limit(0)
+    tried = stage(links.limit(0), "tried")
     for turn in range(STARS + 1):
         held = _mixed(found, links if turn else known, turn)
         if held.isEmpty():

@@ -70,13 +70,14 @@ def _confirmed(width: int, percent: int):
 
 def confirmed(pairs: DataFrame, rows: DataFrame, width: int, percent: int) -> DataFrame:
     """The staged pairs ``a, b`` of ``rows`` (``row, text``) whose full sets are similar enough."""
-    nodes = stage(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct(), "nodes")
+    nodes = stage(C.few(pairs).select(F.explode(F.array("a", "b")).alias("row")).distinct(), "nodes")
     texts = stage(rows.select("row", "text").join(C.sized(nodes), "row", "left_semi"), "texts")
-    held = (
-        pairs.join(texts.select(F.col("row").alias("b"), F.col("text").alias("text_b")), "b")
-        .join(texts.select(F.col("row").alias("a"), F.col("text").alias("text_a")), "a")
-        .select("a", "b", "text_a", "text_b")
+    small = C.fits(texts)
+    one, two = (
+        texts.select(F.col("row").alias(name), F.col("text").alias(f"text_{name}")) for name in ("a", "b")
     )
+    one, two = (F.broadcast(side) if small else side for side in (one, two))
+    held = pairs.join(two, "b").join(one, "a").select("a", "b", "text_a", "text_b")
     links = stage(held.mapInArrow(_confirmed(width, percent), "a long, b long"), "links")
     discard(texts)
     return links
