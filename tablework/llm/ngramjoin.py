@@ -35,9 +35,9 @@ PERCENT = 85
 PART_GRAMS = 4 << 20
 # An n-gram of more documents of a block is sent as a count; which documents have it stays with the block.
 COMMON = 8
-# In so many turns a document is compared with a few leading ones of its n-grams, before it is with all that are still in
-# other components than it is.
-STARS = 3
+# In so many turns a document is compared with leading ones of its n-grams, in the first with a few of them, before it is
+# with all that are still in other components than it is.
+STARS = 4
 FEW = 4
 # Parts of the order whose n-grams are counted for the suffix filter: by power of two of the frequency, halved by hash.
 CELLS = 16
@@ -203,12 +203,12 @@ def _as_other(held: DataFrame) -> DataFrame:
 
 
 def _pairs(held: DataFrame, others: DataFrame, tried: DataFrame, percent: int, turn: int) -> DataFrame:
-    """Pairs across components that have not been tried and pass the filters, before the last turn a few of each row."""
+    """Pairs across components that have not been tried and pass the filters, in the first turn a few of each row."""
     across = (F.col("label") != F.col("label_x")) & (F.col("row") != F.col("row_x"))
     met = held.join(others, "gram").filter(across & _met(percent)).select("row", "row_x")
     pairs = met.withColumn("a", F.least("row", "row_x")).withColumn("b", F.greatest("row", "row_x"))
     pairs = pairs.dropDuplicates(["a", "b"]).join(C.few(tried), ["a", "b"], "left_anti")
-    if turn < STARS:
+    if turn == 0:
         place = F.row_number().over(Window.partitionBy("row").orderBy(F.xxhash64("row_x", F.lit(turn)), "row_x"))
         pairs = pairs.withColumn("place", place).filter(F.col("place") <= FEW)
     return stage(pairs.select("a", "b"), f"pairs{turn}")

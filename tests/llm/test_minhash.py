@@ -3,6 +3,7 @@ import random
 import numpy as np
 
 from tablework.llm import graph, minhash
+from tablework.session import stage
 from tests.llm.conftest import odd_rows
 from tests.llm.test_ngramjoin import grams
 
@@ -93,9 +94,14 @@ def test_representatives_keep_their_columns(frame):
     assert kept.count() == len(set(brute(odd_rows(), 5)[1]))
 
 
-def test_components_of_a_long_chain(spark):
-    edges = spark.range(300).selectExpr("id * 7 % 301 as a", "(id + 1) * 7 % 301 as b")
-    assert [r["label"] for r in graph.components(edges).select("label").distinct().collect()] == [0]
+def test_components_of_a_long_chain(spark, monkeypatch):
+    edges = stage(spark.range(300).selectExpr("id * 7 % 301 as a", "(id + 1) * 7 % 301 as b"), "edges")
+    more = stage(edges.selectExpr("a + 1000 as a", "b + 1000 as b").unionByName(edges.filter("a != 7")), "edges")
+    small = [graph.components(e).orderBy("node").collect() for e in (edges, more, edges.limit(0))]
+    assert {r["label"] for r in small[0]} == {0} and {r["label"] for r in small[1]} >= {0, 1000}
+    # Edges that could not be broadcast.
+    monkeypatch.setattr(graph.C, "fits", lambda side, most=0: False)
+    assert [graph.components(e).orderBy("node").collect() for e in (edges, more)] == small[:2]
 
 
 def test_empty_table(frame):
