@@ -36,9 +36,14 @@ UNKNOWN = "und"
 _WORDS = bytes(
     b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
 )
+# Letters and numbers that are no decimal digits, of which only the former are letters.
 _LETTER = re.compile(r"[^\W\d_]")
 
 
+def has_letter(text: str) -> bool:
+    return any(m.group().isalpha() for m in _LETTER.finditer(text))
+
+
 def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30, out=x)))
 
@@ -276,7 +281,7 @@ def _predictor(model):
             names, scores = [UNKNOWN] * len(batch), [0.0] * len(batch)
             texts = [data[a:b].tobytes() for a, b in zip(offsets, offsets[1:])]
             for i, total in enumerate(reader.totals(texts) if reader else ()):
-                if total[-1] and _LETTER.search(texts[i].decode("utf-8", "replace")):
+                if total[-1] and has_letter(texts[i].decode("utf-8", "replace")):
                     best = int(total[:-1].argmax())
                     names[i], scores[i] = network.languages[best], min(1.0, float(total[best] / total[-1]))
             kept = [n for n in range(batch.num_columns) if batch.schema.names[n] != "text"]

@@ -64,3 +64,9 @@ def test_nothing_to_learn_from(spark, frame):
     assert language.fit(frame([])) is None
     assert language.fit(frame([(1, "text")])) is None
     assert language.fit(frame([(1, None), (2, "12"), (2, "34")], "en")).languages == ["en"]
+
+
+def test_numbers_are_no_letters():
+    for text in ("² ½ 12", "Ⅷ", "①", "", "_ 7"):
+        assert not language.has_letter(text)
+    assert all(language.has_letter(t) for t in ("½ a", "中", "ª", "12 Ä"))
