@@ -17,6 +17,7 @@ from tablework.session import discard, stage
 
 VERSION = "_version"
 _KEY_PROPERTY = "tablework.key"
+_HISTORY_PROPERTY = "tablework.history"
 _LOSSY = "_lossy"
 # Later versions are merged into the base when they have more than this share of its rows.
 COMPACT_SHARE = 0.25
@@ -108,20 +109,25 @@ def _counted(df: DataFrame) -> tuple[DataFrame, Observation]:
 # A keyed table is a Parquet table of versions and a view over it that shows its rows. An upsert adds the batch as a
 # version and then changes the view; nothing that is there is rewritten, and a batch that fails on the way was never
 # visible. The view takes the base version, without the keys of later ones, and the newest version of each later key.
-# When the later versions have grown to ``COMPACT_SHARE`` of the base, they become one new base.
+# When the later versions have grown to ``COMPACT_SHARE`` of the base, they become one new base. Version -n holds the keys
+# that version n removed, with nulls in the other columns. A table with history keeps the versions before its base.
 
 
 def create_keyed_table(
-    spark: SparkSession, table: str, schema: T.StructType, key: str, path: str | None = None
+    spark: SparkSession, table: str, schema: T.StructType, key: str, path: str | None = None, history: bool = False
 ) -> None:
-    """An empty table for ``upsert``, unless it exists. ``keyed_rows`` and the view ``<table>_rows`` show its rows."""
+    """An empty table for ``upsert``, unless it exists. ``keyed_rows`` and the view ``<table>_rows`` show its rows.
+
+    With ``history`` compaction keeps the versions before it, for ``operators.changes``, until ``forget`` drops them.
+    """
     if spark.catalog.tableExists(table):
         return
     columns = ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in schema.fields)
     location = f"LOCATION '{path}'" if path else ""
     spark.sql(
         f"CREATE TABLE {quoted_table(table)} ({columns}, {VERSION} bigint) "
-        f"USING parquet PARTITIONED BY ({VERSION}) {location} TBLPROPERTIES ('{_KEY_PROPERTY}'='{key}')"
+        f"USING parquet PARTITIONED BY ({VERSION}) {location} "
+        f"TBLPROPERTIES ('{_KEY_PROPERTY}'='{key}', '{_HISTORY_PROPERTY}'='{str(history).lower()}')"
     )
     _commit(spark, table, _State(key))
 
@@ -144,13 +150,23 @@ def keyed_rows(spark: SparkSession, table: str) -> DataFrame:
 
 @dataclass(frozen=True)
 class _State:
-    """What the view shows: the base version, the last version, and how many rows each side has."""
+    """What the view shows: the base version, the last version, and how many rows each side has; then the oldest version
+    that can still be read, and which versions are compactions and so change nothing."""
 
     key: str
     base: int = 0
     last: int = 0
     base_rows: int = 0
     later_rows: int = 0
+    oldest: int = 0
+    compacted: tuple[int, ...] = ()
+
+    def base_at(self, version: int) -> int:
+        """The version that the rows of ``version`` are based on."""
+        return max((n for n in self.compacted if n <= version), default=min(version, 1))
+
+
+_NUMBERS = ("base", "last", "base_rows", "later_rows", "oldest")
 
 
 def _state(spark: SparkSession, table: str) -> _State:
@@ -162,46 +178,103 @@ def _state(spark: SparkSession, table: str) -> _State:
     found = {r["key"]: r["value"] for r in numbers}
     return _State(
         properties[_KEY_PROPERTY],
-        *(int(found[f"tablework.{f}"]) for f in ("base", "last", "base_rows", "later_rows")),
+        *(int(found[f"tablework.{f}"]) for f in _NUMBERS),
+        tuple(int(n) for n in found["tablework.compacted"].split(",") if n),
     )
 
 
-def _commit(spark: SparkSession, table: str, state: _State) -> None:
-    """One statement: the view shows the new state, and carries its numbers."""
+def _rows_query(spark: SparkSession, table: str, key: str, base: int, last: int) -> str:
+    """SQL of the rows as of version ``last``, which is based on version ``base``."""
     columns = [c for c in spark.table(table).columns if c != VERSION]
-    names, key, source = ", ".join(map(quoted, columns)), quoted(state.key), quoted_table(table)
-    query = f"SELECT {names} FROM {source} WHERE {VERSION} = {state.base}"
-    if state.last > state.base:
-        later = f"FROM {source} WHERE {VERSION} > {state.base} AND {VERSION} <= {state.last}"
+    names, key, source = ", ".join(map(quoted, columns)), quoted(key), quoted_table(table)
+    query = f"SELECT {names} FROM {source} WHERE {VERSION} = {base}"
+    if last > base:
+        later = f"FROM {source} WHERE {versions_between(base, last)}"
         query = (
-            f"SELECT {names} FROM {source} b WHERE {VERSION} = {state.base} AND NOT EXISTS (SELECT 1 FROM "
+            f"SELECT {names} FROM {source} b WHERE {VERSION} = {base} AND NOT EXISTS (SELECT 1 FROM "
             f"(SELECT DISTINCT {key} AS changed {later}) WHERE changed = b.{key}) "
-            f"UNION ALL SELECT {names} FROM (SELECT *, max({VERSION}) OVER (PARTITION BY {key}) AS newest {later} "
+            f"UNION ALL SELECT {names} FROM (SELECT *, max(abs({VERSION})) OVER (PARTITION BY {key}) AS newest {later} "
             f"AND {key} IS NOT NULL) WHERE {VERSION} = newest "
             f"UNION ALL SELECT {names} {later} AND {key} IS NULL"
         )
-    numbers = ", ".join(
-        f"'tablework.{f}'='{getattr(state, f)}'" for f in ("base", "last", "base_rows", "later_rows")
-    )
-    spark.sql(f"CREATE OR REPLACE VIEW {quoted_table(rows_view(table))} TBLPROPERTIES ({numbers}) AS {query}")
+    return query
+
+
+def versions_between(after: int, upto: int) -> str:
+    """A condition that finds what the versions later than ``after`` wrote and removed, up to ``upto``."""
+    return f"({VERSION} > {after} AND {VERSION} <= {upto} OR {VERSION} < {-after} AND {VERSION} >= {-upto})"
+
+
+def _commit(spark: SparkSession, table: str, state: _State) -> None:
+    """One statement: the view shows the new state, and carries its numbers."""
+    query = _rows_query(spark, table, state.key, state.base, state.last)
+    numbers = [f"'tablework.{f}'='{getattr(state, f)}'" for f in _NUMBERS]
+    numbers.append(f"'tablework.compacted'='{','.join(map(str, state.compacted))}'")
+    view = quoted_table(rows_view(table))
+    spark.sql(f"CREATE OR REPLACE VIEW {view} TBLPROPERTIES ({', '.join(numbers)}) AS {query}")
+
+
+def _write_version(rows: DataFrame, table: str, version: int, removed: DataFrame | None = None) -> int:
+    """Write a version and return how many rows it has, removed keys included, which their files tell."""
+    spark = rows.sparkSession
+    # A version that failed before its commit may have left more partitions than this one overwrites.
+    for number in (version, -version):
+        spark.sql(f"ALTER TABLE {quoted_table(table)} DROP IF EXISTS PARTITION ({VERSION}={number}) PURGE")
+    fields = [f for f in spark.table(table).schema.fields if f.name != VERSION]
+    rows = rows.select(*[col(f.name) for f in fields], F.lit(version).cast("bigint").alias(VERSION))
+    if removed is not None:
+        kept = set(removed.columns)
+        blank = [(col(f.name) if f.name in kept else F.lit(None).cast(f.dataType)).alias(f.name) for f in fields]
+        rows = rows.union(removed.select(*blank, F.lit(-version).cast("bigint").alias(VERSION)))
+    overwrite_partitions(rows, table)
+    spark.catalog.refreshTable(table)
+    return spark.table(table).filter(F.col(VERSION).isin(version, -version)).count()
 
 
-def _write_version(rows: DataFrame, table: str, version: int) -> int:
-    """Write a version and return how many rows it has, which their files tell."""
-    names = [col(c) for c in rows.sparkSession.table(table).columns if c != VERSION]
-    overwrite_partitions(rows.select(*names, F.lit(version).cast("bigint").alias(VERSION)), table)
-    rows.sparkSession.catalog.refreshTable(table)
-    return rows.sparkSession.table(table).filter(F.col(VERSION) == version).count()
+def _add_version(
+    spark: SparkSession, table: str, state: _State, rows: DataFrame, removed: DataFrame | None = None
+) -> int:
+    """Write the next version, show it, and compact if it is time; the number of the version."""
+    version = state.last + 1
+    written = _write_version(rows, table, version, removed)
+    if state.last == 0:
+        state = replace(state, base=1, last=1, base_rows=written)
+    else:
+        state = replace(state, last=version, later_rows=state.later_rows + written)
+    _commit(spark, table, state)
+    if state.later_rows > COMPACT_SHARE * state.base_rows:
+        compact(spark, table)
+    return version
 
 
 def compact(spark: SparkSession, table: str) -> None:
-    """Make what the view shows the new base, and remove the versions before it once the view has changed."""
+    """Make what the view shows the new base, and remove the versions before it once the view has changed, unless the
+    table has history."""
     state = _state(spark, table)
     version = state.last + 1
     written = _write_version(keyed_rows(spark, table), table, version)
-    _commit(spark, table, _State(state.key, version, version, written, 0))
+    compacted = (*state.compacted, version)
+    _commit(spark, table, _State(state.key, version, version, written, 0, state.oldest, compacted))
+    if not _has_history(spark, table):
+        forget(spark, table, version)
+
+
+def _has_history(spark: SparkSession, table: str) -> bool:
+    rows = spark.sql(f"SHOW TBLPROPERTIES {quoted_table(table)}").collect()
+    return {r["key"]: r["value"] for r in rows}.get(_HISTORY_PROPERTY) == "true"
+
+
+def forget(spark: SparkSession, table: str, before: int) -> None:
+    """Drop what only versions older than ``before`` need; these can no longer be read or compared."""
+    state = _state(spark, table)
+    if before > state.last:
+        raise ValueError(f"{table} has no version {before}")
+    if before <= state.oldest:
+        return
+    base = state.base_at(before)
+    _commit(spark, table, replace(state, oldest=before, compacted=tuple(n for n in state.compacted if n >= base)))
     for row in spark.sql(f"SHOW PARTITIONS {quoted_table(table)}").collect():
-        if int(row[0].split("=")[1]) < version:
+        if abs(int(row[0].split("=")[1])) < base:
             spark.sql(f"ALTER TABLE {quoted_table(table)} DROP PARTITION ({row[0]}) PURGE")
 
 
@@ -291,14 +364,7 @@ def upsert(
         batch = batch.drop(_LOSSY)
         if dedupe_by:
             batch = _newer(latest_per_key(batch, state.key, dedupe_by), table, state.key, dedupe_by)
-        written = _write_version(batch, table, state.last + 1)
-        if state.last == 0:
-            state = replace(state, base=1, last=1, base_rows=written)
-        else:
-            state = replace(state, last=state.last + 1, later_rows=state.later_rows + written)
-        _commit(spark, table, state)
-        if state.later_rows > COMPACT_SHARE * state.base_rows:
-            compact(spark, table)
+        _add_version(spark, table, state, batch)
     if own is not None:
         discard(own)
     return keyed_rows(spark, table).count()

@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from tablework.functions import columns as C
 from tablework.functions import rows as R
 from tablework.functions import vectors as V
+from tablework.operators import changes as CH
 from tablework.operators import search as S
 from tablework.operators import tables as TB
 from tablework.operators import textindex as X
@@ -552,10 +553,10 @@ def order_states(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame
     return target.toDF("k", "state", "amount"), batch.toDF("k", "state", "amount")
 
 
-def new_keyed_table(spark: SparkSession, schema: T.StructType, key: str) -> str:
+def new_keyed_table(spark: SparkSession, schema: T.StructType, key: str, history: bool = False) -> str:
     path = fresh_path(spark, "keyed")
     name = path.rsplit("/", 1)[1].replace("-", "_")
-    TB.create_keyed_table(spark, name, schema, key, path=path)
+    TB.create_keyed_table(spark, name, schema, key, path=path, history=history)
     return name
 
 
@@ -600,6 +601,57 @@ def upsert_twice(spark, folder):
     return TB.keyed_rows(spark, name)
 
 
+MERGED = """WITH t AS (SELECT o_orderkey AS k, o_orderstatus AS state, o_totalprice AS amount FROM orders),
+    s AS (SELECT l_orderkey + 5 AS k, count(*) AS lines, min(l_returnflag) AS flag, max(l_extendedprice) AS price
+          FROM lineitem GROUP BY ALL),
+    merged AS (SELECT t.k, CASE WHEN s.flag <> t.state THEN s.flag ELSE t.state END AS state,
+               CASE WHEN s.flag <> t.state THEN s.price ELSE t.amount END AS amount
+               FROM t LEFT JOIN s ON t.k = s.k WHERE s.k IS NULL OR s.lines <= 5
+               UNION ALL SELECT k, flag, price FROM s WHERE lines > 1 AND k NOT IN (SELECT k FROM t))"""
+
+
+def merged_table(spark: SparkSession, folder: str) -> str:
+    """The orders, with the lines, five keys on, merged in: large orders go, others take the flag and price."""
+    target, _ = order_states(spark, folder)
+    lines = table(spark, folder, "lineitem").groupBy((F.col("l_orderkey") + 5).alias("k"))
+    source = lines.agg(
+        F.count("*").alias("lines"), F.min("l_returnflag").alias("flag"), F.max("l_extendedprice").alias("price")
+    )
+    name = new_keyed_table(spark, target.schema, "k", history=True)
+    TB.upsert(target, name, staged=True)
+    CH.merge_rows(
+        source,
+        name,
+        update={"state": "s.flag", "amount": "s.price"},
+        update_when="s.flag <> t.state",
+        delete_when="s.lines > 5",
+        insert={"state": "s.flag", "amount": "s.price"},
+        insert_when="s.lines > 1",
+    )
+    return name
+
+
+@query(f"{MERGED} SELECT * FROM merged")
+def merge_rows(spark, folder):
+    return TB.keyed_rows(spark, merged_table(spark, folder))
+
+
+@query(
+    f"""{MERGED}, new AS (SELECT k, CASE WHEN amount < 20000 THEN 'S' ELSE state END AS state, amount FROM merged
+    WHERE k % 7 <> 0)
+    SELECT t.*, CASE WHEN new.k IS NULL THEN 'removed' ELSE 'before' END AS _change FROM t LEFT JOIN new ON t.k = new.k
+    WHERE new.k IS NULL OR t.state <> new.state OR t.amount <> new.amount
+    UNION ALL SELECT new.*, CASE WHEN t.k IS NULL THEN 'added' ELSE 'after' END FROM new LEFT JOIN t ON t.k = new.k
+    WHERE t.k IS NULL OR t.state <> new.state OR t.amount <> new.amount"""
+)
+def changes_between(spark, folder):
+    """A merge, a deletion and an update over all orders, told from the orders as they were."""
+    name = merged_table(spark, folder)
+    CH.delete_rows(spark, name, "k % 7 = 0")
+    CH.update_rows(spark, name, {"state": "'S'"}, "amount < 20000")
+    return CH.changes_between(spark, name, 1)
+
+
 @query(
     """SELECT l_orderkey, l_shipdate, l_linenumber, l_quantity FROM (SELECT *, row_number() OVER (PARTITION BY
     l_orderkey ORDER BY l_shipdate DESC, l_linenumber DESC, l_quantity DESC) AS r FROM lineitem) WHERE r = 1"""
