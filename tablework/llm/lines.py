@@ -18,6 +18,7 @@ from tablework.session import stage
 RATIO = 0.5
 # On fewer pages a ratio says nothing: the lines of a site's only page are on all of its pages.
 LEAST_PAGES = 3
+BLANKS = " \t\n\x0b\f\r"
 
 
 def page_lines(html: Column) -> Column:
@@ -30,7 +31,8 @@ def page_lines(html: Column) -> Column:
 def text_lines(text: Column) -> Column:
     """The lines of a text, trimmed, without blank ones."""
     lines = F.split(F.coalesce(text, F.lit("")), "\n")
-    return F.filter(F.transform(lines, lambda x: F.regexp_replace(x, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")), lambda x: x != "")
+    # A pattern that ends in $ would begin anew at every blank of a long run of them.
+    return F.filter(F.transform(lines, lambda x: F.btrim(x, F.lit(BLANKS))), lambda x: x != "")
 
 
 def without_boilerplate(

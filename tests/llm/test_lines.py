@@ -47,3 +47,9 @@ def test_page_lines(spark):
     html = "<head><style>p{}</style><SCRIPT>var t='</p>';\nx</SCRIPT></head><p>one<b> two</b></p><!-- a > b -->three\n\n four "
     df = spark.createDataFrame([(html,), (None,)], "html string").select(lines.page_lines(F.col("html")).alias("l"))
     assert [r["l"] for r in df.collect()] == [["one", "two", "three", "four"], []]
+
+
+def test_a_line_of_many_blanks(spark):
+    text = "a" + " " * 2_000_000 + "b \t\n" + " \x0b\f" * 300_000 + "\n c\r\n"
+    df = spark.createDataFrame([(text,)], "text string").select(lines.text_lines(F.col("text")).alias("l"))
+    assert df.first()["l"] == ["a" + " " * 2_000_000 + "b", "c"]
