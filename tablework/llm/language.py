@@ -11,6 +11,7 @@ to task; that changes no result, as the network starts anew at every word.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -173,6 +174,11 @@ def byte_labels(model: Network, text: str) -> list[str | None]:
     return labels
 
 
+def _runs(words: Iterable[bytes]) -> Iterator[bytes]:
+    """Words in runs of up to ``LONGEST`` bytes, as they are labelled."""
+    return (word[i : i + LONGEST] for word in words for i in range(0, len(word), LONGEST))
+
+
 def trained(samples: list[tuple[str, list[bytes]]], steps: int = STEPS) -> Network | None:
     """A network from (language, words) pairs; None if there are none."""
     languages = sorted({lang for lang, _ in samples})
@@ -181,8 +187,7 @@ def trained(samples: list[tuple[str, list[bytes]]], steps: int = STEPS) -> Netwo
     model, number = Network(languages), {lang: i for i, lang in enumerate(languages)}
     by_size: dict[int, list[tuple[bytes, int]]] = {}
     for lang, words in sorted(samples):
-        for word in words:
-            run = word[:LONGEST]
+        for run in _runs(words):
             by_size.setdefault(len(run), []).append((run, number[lang]))
     if not by_size:
         return model
@@ -200,7 +205,7 @@ def _training_words(batches):
     for batch, data, offsets in C.slices(batches):
         words = []
         for a, b in zip(offsets, offsets[1:]):
-            different = sorted(set(data[a:b].tobytes().translate(_WORDS).split()))
+            different = sorted(set(_runs(set(data[a:b].tobytes().translate(_WORDS).split()))))
             if len(different) > TRAIN_WORDS:
                 spread = C.mixed(np.arange(len(different), dtype=np.uint64))
                 different = [different[i] for i in np.sort(np.argsort(spread, kind="stable")[:TRAIN_WORDS])]

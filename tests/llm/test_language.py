@@ -70,3 +70,10 @@ def test_numbers_are_no_letters():
     for text in ("² ½ 12", "Ⅷ", "①", "", "_ 7"):
         assert not language.has_letter(text)
     assert all(language.has_letter(t) for t in ("½ a", "中", "ª", "12 Ä"))
+
+
+def test_all_of_a_long_word_is_learned():
+    long = {"en": b"q" * 60 + b"th" * 45, "de": b"q" * 60 + b"sch" * 30}
+    model = language.trained([(lang, [word]) for lang, word in long.items()], steps=200)
+    for lang, word in long.items():
+        assert language.byte_labels(model, word.decode())[60:] == [lang] * 90
