@@ -1,11 +1,13 @@
 """URL filters: rules by host and path, and gradient-boosted trees on lexical features where no rule fits.
 
 Only DataFrame functions and Spark ML. The trees are trained on the URLs that a rule judges, on at most ``TRAIN_ROWS`` of
-them, which come first by a hash of the URL. What is counted of host suffixes is counted over all URLs.
+them, which come first by a hash of the URL. What is counted of host suffixes is counted over all URLs, and for a URL
+that a rule judges without its own verdict.
 """
 
 from __future__ import annotations
 
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -19,6 +21,9 @@ from tablework.session import stage
 TRAIN_ROWS = 20_000
 TREES = 20
 DEPTH = 4
+FOLDS = 5
+# The statistics of a suffix that nothing is known of.
+UNKNOWN = -1.0
 ALLOW, BLOCK = "allow", "block"
 
 FEATURES = (
@@ -89,6 +94,71 @@ def with_features(rows: DataFrame) -> DataFrame:
     )
 
 
+def with_suffix_statistics(own: DataFrame) -> DataFrame:
+    """``f_suffix_share`` and ``f_suffix_blocked`` of the URL's suffix, which is the same for both of an unknown one.
+
+    The share of blocks among the URLs that a rule judges is counted without the row's own fold, so no row sees its own
+    label. A suffix that rules judge only one way says nothing but which rule fits, so it counts as unknown, and so does
+    half of all other URLs, chosen by a hash, while the trees learn: unknown suffixes then come with both verdicts.
+    """
+    fold = F.pmod(F.xxhash64("url"), F.lit(FOLDS)).cast("int")
+    own = own.withColumn("fold", F.when(F.col("verdict").isNotNull(), fold).otherwise(-1))
+    blocks = F.count_if(F.col("verdict") == BLOCK).alias("blocks")
+    known = F.count_if(F.col("verdict").isNotNull()).alias("known")
+    parts = own.groupBy("suffix", "fold").agg(F.count("*").alias("urls"), blocks, known)
+    parts = stage(parts, "suffix_folds")
+    whole = parts.groupBy("suffix").agg(*(F.sum(c).alias("all_" + c) for c in ("urls", "blocks", "known")))
+    total = parts.agg(F.sum("urls")).first()[0] or 1
+    mixed = (F.col("all_blocks") > 0) & (F.col("all_blocks") < F.col("all_known"))
+    rest = (F.col("all_blocks") - F.col("blocks") + 1) / (F.col("all_known") - F.col("known") + 2)
+    statistics = parts.join(whole, "suffix").select(
+        "suffix",
+        "fold",
+        F.when(mixed, F.col("all_urls") / total).otherwise(UNKNOWN).alias("f_suffix_share"),
+        F.when(mixed, F.when(F.col("fold") < 0, (F.col("all_blocks") + 1) / (F.col("all_known") + 2)).otherwise(rest))
+        .otherwise(UNKNOWN)
+        .alias("f_suffix_blocked"),
+    )
+    return own.join(C.sized(stage(statistics, "suffixes")), ["suffix", "fold"])
+
+
+def trained(labelled: DataFrame) -> PipelineModel | float | None:
+    """Trees that learn the verdicts of the first ``TRAIN_ROWS`` different URLs by a hash.
+
+    If these have one verdict only, its label (1 for a block); None without any.
+    """
+    sample = labelled.withColumn("label", (F.col("verdict") == BLOCK).cast("double"))
+    sample = sample.dropDuplicates(["url"]).orderBy(F.xxhash64("url"), "url").limit(TRAIN_ROWS)
+    withheld = F.pmod(F.xxhash64("url", F.lit(1)), F.lit(2)) == 0
+    for name in ("f_suffix_share", "f_suffix_blocked"):
+        sample = sample.withColumn(name, F.when(withheld, UNKNOWN).otherwise(F.col(name)))
+    sample = stage(sample.select("label", *FEATURES).coalesce(1), "sample")
+    classes = sorted(r[0] for r in sample.select("label").distinct().collect())
+    if len(classes) < 2:
+        return classes[0] if classes else None
+    trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=0, featuresCol="features", labelCol="label")
+    return Pipeline(stages=[VectorAssembler(inputCols=FEATURES, outputCol="features"), trees]).fit(sample)
+
+
+def scored(own: DataFrame, model: PipelineModel | float | None) -> DataFrame:
+    """``block_score`` added."""
+    if isinstance(model, PipelineModel):
+        return model.transform(own).withColumn("block_score", vector_to_array("probability")[1])
+    return own.withColumn("block_score", F.lit(model).cast("double"))
+
+
+def described(
+    pages: DataFrame, rules: DataFrame, id_column: str = "page_id", url_column: str = "url"
+) -> DataFrame:
+    """One row per row of ``pages``: ``page_id, url, host, path``, the rule that fits with its verdict, and features."""
+    rows = with_parts(
+        pages.select(col(id_column).alias("page_id"), col(url_column).cast("string").alias("url")), F.col("url")
+    )
+    rows = C.numbered(rows, "row", "urls")
+    ruled = stage(judged_by_rules(rows, rules), "ruled")
+    return stage(with_suffix_statistics(with_features(rows).join(ruled, "row", "left")), "features")
+
+
 def filtered(
     pages: DataFrame, rules: DataFrame, id_column: str = "page_id", url_column: str = "url"
 ) -> DataFrame:
@@ -99,33 +169,8 @@ def filtered(
     give one verdict only, that is everyone's. A null URL has empty parts, which no rule fits. Repeated rows are judged
     each; no rows in, no rows out.
     """
-    rows = with_parts(
-        pages.select(col(id_column).alias("page_id"), col(url_column).cast("string").alias("url")), F.col("url")
-    )
-    rows = C.numbered(rows, "row", "urls")
-    ruled = stage(judged_by_rules(rows, rules), "ruled")
-    own = with_features(rows).join(ruled, "row", "left")
-    # Of each suffix: its share of all URLs, and the blocks among the URLs that a rule judges.
-    blocks = F.count_if(F.col("verdict") == BLOCK)
-    known = F.count_if(F.col("verdict").isNotNull())
-    suffixes = own.groupBy("suffix").agg(F.count("*").alias("urls"), ((blocks + 1) / (known + 2)).alias("f_suffix_blocked"))
-    suffixes = stage(suffixes, "suffixes")
-    total = suffixes.agg(F.sum("urls")).first()[0] or 1
-    suffixes = suffixes.withColumn("f_suffix_share", F.col("urls") / total).drop("urls")
-    own = stage(own.join(C.sized(suffixes), "suffix"), "features")
-
-    labelled = own.filter("verdict is not null").withColumn("label", (F.col("verdict") == BLOCK).cast("double"))
-    sample = labelled.dropDuplicates(["url"]).orderBy(F.xxhash64("url"), "url").limit(TRAIN_ROWS)
-    sample = stage(sample.select("label", *FEATURES).coalesce(1), "sample")
-    classes = sorted(r[0] for r in sample.select("label").distinct().collect())
-    if len(classes) == 2:
-        trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=0, featuresCol="features", labelCol="label")
-        vectors = VectorAssembler(inputCols=FEATURES, outputCol="features")
-        model = trees.fit(vectors.transform(sample))
-        score = vector_to_array("probability")[1]
-        own = model.transform(vectors.transform(own)).withColumn("block_score", score)
-    else:
-        own = own.withColumn("block_score", F.lit(classes[0] if classes else None).cast("double"))
+    own = described(pages, rules, id_column, url_column)
+    own = scored(own, trained(own.filter("verdict is not null")))
     learned = F.when(F.col("block_score") >= 0.5, BLOCK).otherwise(ALLOW)
     return own.select(
         "page_id", "host", "path", "rule", F.coalesce("verdict", learned).alias("verdict"), "block_score"

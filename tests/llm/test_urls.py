@@ -62,7 +62,25 @@ def test_empty_table_and_no_labels(spark):
 
 
 def test_trees_learn_what_the_rules_do(spark):
-    pages = [(i, f"http://h{i}.net/es/{i}?a=1&b={i}" if i % 2 else f"http://h{i}.com/page-{i}", "", "", 1) for i in range(400)]
-    pages += [(1000 + i, f"http://h{i}.net/xx/{i}?a=1&b={i}", "", "", 1) for i in range(20)]
+    # Blocked URLs have a query and a long path under both suffixes, .net has no URL that is allowed.
+    pages = [(i, f"http://h{i}.net/es/{i}?a=1&b={i}", "", "", 1) for i in range(0, 200, 2)]
+    pages += [(i, f"http://h{i}.com/page-{i}", "", "", 1) for i in range(1, 400, 2)]
+    pages += [(i, f"http://example.com/en/{i}?a=1&b={i}", "", "", 1) for i in range(200, 400, 2)]
+    for i, end in enumerate(("net", "org", "info") * 10):
+        pages.append((1000 + i, f"http://h{i}.{end}/xx/{i}?a=1&b={i}", "", "", 1))
+        pages.append((2000 + i, f"http://h{i}.{end}/page-{i}", "", "", 1))
     found = check(spark, pages)
-    assert all(r["verdict"] == "block" for r in found if r["page_id"] >= 1000)
+    assert all(r["verdict"] == "block" for r in found if 1000 <= r["page_id"] < 2000)
+    assert all(r["verdict"] == "allow" for r in found if r["page_id"] >= 2000)
+
+
+def test_suffix_statistics_leave_the_own_verdict_out(spark):
+    pages = [(i, f"http://h{i}.com/{i}", "", "", 1) for i in range(40)] + [(50, "http://example.com/en/", "", "", 1)]
+    pages += [(60 + i, f"http://h{i}.net/es/{i}", "", "", 1) for i in range(5)] + [(70, "http://a.net/", "", "", 1)]
+    df = spark.createDataFrame(pages, "page_id long, url string, host string, suffix string, row long")
+    rows = {r["page_id"]: r for r in urls.described(df, urls.rule_table(spark, RULES)).collect()}
+    fold = rows[50]["fold"]
+    same = sum(r["suffix"] == "com" and r["fold"] == fold for r in rows.values())
+    assert abs(rows[50]["f_suffix_blocked"] - 1 / (41 - same + 2)) < 1e-12
+    assert {rows[i]["f_suffix_blocked"] for i in (60, 61, 70)} == {-1.0}
+    assert {rows[i]["f_suffix_share"] for i in (60, 61, 70)} == {-1.0}
