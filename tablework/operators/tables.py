@@ -151,7 +151,8 @@ def keyed_rows(spark: SparkSession, table: str) -> DataFrame:
 @dataclass(frozen=True)
 class _State:
     """What the view shows: the base version, the last version, and how many rows each side has; then the oldest version
-    that can still be read, and which versions are compactions and so change nothing."""
+    that can still be read, which versions are compactions and so change nothing, and the stream that wrote all versions
+    so far, if it was one."""
 
     key: str
     base: int = 0
@@ -160,6 +161,7 @@ class _State:
     later_rows: int = 0
     oldest: int = 0
     compacted: tuple[int, ...] = ()
+    writer: str = ""
 
     def base_at(self, version: int) -> int:
         """The version that the rows of ``version`` are based on."""
@@ -180,6 +182,7 @@ def _state(spark: SparkSession, table: str) -> _State:
         properties[_KEY_PROPERTY],
         *(int(found[f"tablework.{f}"]) for f in _NUMBERS),
         tuple(int(n) for n in found["tablework.compacted"].split(",") if n),
+        found.get("tablework.writer", ""),
     )
 
 
@@ -210,6 +213,7 @@ def _commit(spark: SparkSession, table: str, state: _State) -> None:
     query = _rows_query(spark, table, state.key, state.base, state.last)
     numbers = [f"'tablework.{f}'='{getattr(state, f)}'" for f in _NUMBERS]
     numbers.append(f"'tablework.compacted'='{','.join(map(str, state.compacted))}'")
+    numbers.append(f"'tablework.writer'='{state.writer}'")
     view = quoted_table(rows_view(table))
     spark.sql(f"CREATE OR REPLACE VIEW {view} TBLPROPERTIES ({', '.join(numbers)}) AS {query}")
 
@@ -232,15 +236,16 @@ def _write_version(rows: DataFrame, table: str, version: int, removed: DataFrame
 
 
 def _add_version(
-    spark: SparkSession, table: str, state: _State, rows: DataFrame, removed: DataFrame | None = None
+    spark: SparkSession, table: str, state: _State, rows: DataFrame, removed: DataFrame | None = None, writer: str = ""
 ) -> int:
     """Write the next version, show it, and compact if it is time; the number of the version."""
     version = state.last + 1
     written = _write_version(rows, table, version, removed)
     if state.last == 0:
-        state = replace(state, base=1, last=1, base_rows=written)
+        state = replace(state, base=1, last=1, base_rows=written, writer=writer)
     else:
-        state = replace(state, last=version, later_rows=state.later_rows + written)
+        writer = writer if writer == state.writer else ""
+        state = replace(state, last=version, later_rows=state.later_rows + written, writer=writer)
     _commit(spark, table, state)
     if state.later_rows > COMPACT_SHARE * state.base_rows:
         compact(spark, table)
@@ -254,7 +259,7 @@ def compact(spark: SparkSession, table: str) -> None:
     version = state.last + 1
     written = _write_version(keyed_rows(spark, table), table, version)
     compacted = (*state.compacted, version)
-    _commit(spark, table, _State(state.key, version, version, written, 0, state.oldest, compacted))
+    _commit(spark, table, _State(state.key, version, version, written, 0, state.oldest, compacted, state.writer))
     if not _has_history(spark, table):
         forget(spark, table, version)
 
@@ -344,9 +349,27 @@ def upsert(
     """
     if null_keys not in ("error", "keep"):
         raise ValueError("null_keys must be error or keep")
+    add_batch(batch, table, null_keys, dedupe_by, staged)
+    return keyed_rows(batch.sparkSession, table).count()
+
+
+def add_batch(
+    batch: DataFrame,
+    table: str,
+    null_keys: str = "error",
+    dedupe_by: str | None = None,
+    staged: bool = False,
+    writer: str = "",
+) -> None:
+    """``upsert`` without a count of the table.
+
+    ``writer`` names a stream that keeps the newest row of every key it has seen. As long as all of a table comes from
+    it, its rows are newer than the table's, which is then not read.
+    """
     spark = batch.sparkSession
     spark.catalog.refreshTable(table)
     state = _state(spark, table)
+    newest = bool(writer) and (state.last == 0 or state.writer == writer)
     batch, lossy = _as_in_table(batch, table)
     own = None
     if not staged:
@@ -362,19 +385,25 @@ def upsert(
         raise ValueError(f"{found['nulls']} rows of the batch have no {state.key}")
     if found["rows"]:
         batch = batch.drop(_LOSSY)
-        if dedupe_by:
+        if dedupe_by and not newest:
             batch = _newer(latest_per_key(batch, state.key, dedupe_by), table, state.key, dedupe_by)
-        _add_version(spark, table, state, batch)
+        _add_version(spark, table, state, batch, writer=writer)
     if own is not None:
         discard(own)
-    return keyed_rows(spark, table).count()
+
+
+def fits_as_is(rows: DataFrame, table: str) -> bool:
+    """Whether ``rows`` has the columns and types of a keyed table, so that no value is cast."""
+    kinds = {f.name: f.dataType for f in rows.schema.fields}
+    return all(kinds.get(f.name) == f.dataType for f in rows.sparkSession.table(table).schema.fields if f.name != VERSION)
 
 
 def _newer(batch: DataFrame, table: str, key: str, order_by: str) -> DataFrame:
-    """The rows of a batch that the table has no greater row for."""
+    """The rows of a batch that the table has no greater row for; only the batch's keys are looked up and grouped."""
+    keys = batch.select(col(key).alias("_batch_key")).distinct()
     have = (
         keyed_rows(batch.sparkSession, table)
-        .filter(col(key).isNotNull())
+        .join(keys, col(key) == F.col("_batch_key"), "left_semi")
         .groupBy(col(key).alias("_have"))
         .agg(F.max(col(order_by)).alias("_order"))
     )

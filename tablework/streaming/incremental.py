@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tablework.functions.columns import col, quoted, quoted_table
 from tablework.functions.rows import with_load_time
-from tablework.operators.tables import key_of, overwrite_partitions, upsert
+from tablework.operators.tables import add_batch, fits_as_is, key_of, latest_per_key, overwrite_partitions
 from tablework.schemas import LOAD_TIME_COLUMN, UPDATE_COLUMN
 from tablework.session import discard, stage
 from tablework.sources.records import entities_of
@@ -22,6 +23,8 @@ BATCH = "_batch"
 # A backlog is worked off in batches of this many files, each committed on its own.
 FILES_PER_BATCH = 10_000
 
+STATE_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
 
 def landed_pages(
     spark: SparkSession,
@@ -68,9 +71,16 @@ def upsert_stream(
     for rows without a key: they go to the folder ``quarantine``, one subfolder per batch, or, without such a
     folder, fail the query. With ``dedupe_by`` the greatest row of a key by that column wins, whatever micro-batch or
     order its versions come in. Without it, the rows of a key are those of the last micro-batch that has it.
+
+    With ``dedupe_by``, and rows of the table's own types, the stream keeps the greatest row of each key in its state
+    store: a micro-batch is combined by key before its shuffle, and what comes out of it are the winners of its keys.
+    The table is not read for that, as long as this stream alone has written it; if others have as well, the keys of
+    the batch are looked up in it. A key that somebody deletes comes back, with its greatest row, when it lands again.
     """
     spark = rows.sparkSession
     key = key_of(spark, table)
+    stateful = dedupe_by is not None and fits_as_is(rows, table)
+    writer = hashlib.md5(checkpoint.encode()).hexdigest() if stateful else ""
 
     def apply(batch: DataFrame, number: int) -> None:
         batch = stage(batch, "microbatch")
@@ -78,9 +88,11 @@ def upsert_stream(
             lost = batch.filter(col(key).isNull())
             lost.write.mode("overwrite").parquet(f"{quarantine}/batch={number}")
         rows = batch.filter(col(key).isNotNull()) if quarantine else batch
-        upsert(rows, table, dedupe_by=dedupe_by, staged=True)
+        add_batch(rows, table, dedupe_by=dedupe_by, staged=True, writer=writer)
         discard(batch)
 
+    if stateful:
+        return _run(latest_per_key(rows, key, dedupe_by), apply, table, checkpoint, "update")
     return _run(rows, apply, table, checkpoint)
 
 
@@ -125,7 +137,7 @@ def append_stream(rows: DataFrame, table: str, checkpoint: str) -> StreamingQuer
 
 
 def _run(
-    rows: DataFrame, apply: Callable[[DataFrame, int], None], table: str, checkpoint: str
+    rows: DataFrame, apply: Callable[[DataFrame, int], None], table: str, checkpoint: str, mode: str = "append"
 ) -> StreamingQuery:
     spark = rows.sparkSession
 
@@ -134,9 +146,22 @@ def _run(
         # The stream writes in a session of its own; let the caller's session list the files anew.
         spark.catalog.refreshTable(table)
 
-    return (
-        rows.writeStream.foreachBatch(step)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    with _state_on_disk(spark):
+        return (
+            rows.writeStream.foreachBatch(step)
+            .outputMode(mode)
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .start()
+        )
+
+
+@contextmanager
+def _state_on_disk(spark: SparkSession) -> Iterator[None]:
+    """Queries that start inside keep their state in RocksDB, not in the memory of executors."""
+    before = spark.conf.get(STATE_PROVIDER)
+    spark.conf.set(STATE_PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(STATE_PROVIDER, before)
