@@ -2,9 +2,9 @@
 
 A document's n-grams are put in order from rare to common. Two sets that are similar enough then share an n-gram among the
 first few of both (prefix filter), are of similar sizes (length filter), share it so early that enough can follow
-(positional filter), and have so few n-grams after it that differ in any part of the order that enough can still be equal
-(suffix filter). Documents that meet in an n-gram of their prefixes and pass are candidates, each pair is confirmed on the
-full sets once, and no link is lost.
+(positional filter), and differ after it in so few n-grams that enough can still be equal (suffix filter). Documents that
+meet in an n-gram of their prefixes and pass are candidates, each pair is confirmed on the full sets once, and no link is
+lost.
 
 Frequencies are counted over all documents. A block of documents sends each part of the hash range its n-grams as packed
 arrays, and gets back which of them some other document has, and how many: the order goes by the power of two of the
@@ -39,11 +39,9 @@ COMMON = 8
 # with all that are still in other components than it is.
 STARS = 4
 FEW = 4
-# Parts of the order whose n-grams are counted for the suffix filter: by power of two of the frequency, halved by hash.
-CELLS = 16
 _REQUEST = "part int, block long, kind int, grams binary, counts binary, rows binary, sizes binary"
 _REPLY = "block long, kind int, grams binary, docs binary, levels binary, rows binary, sizes binary"
-_ENTRY = "row long, n int, gram long, pos int, cell int, low long, high long"
+_ENTRY = "row long, n int, gram long, pos int, low long, high long"
 _RARE, _COMMON, _OWN = 0, 1, 2
 
 
@@ -130,6 +128,12 @@ def prefix(n: np.ndarray, percent: int) -> np.ndarray:
     return n - -(-n * percent // 100) + 1
 
 
+def _after(bits: np.ndarray, docs: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """For each n-gram the exclusive or of the bits of those that come after it in its document."""
+    sums = np.concatenate([np.zeros(1, np.uint64), np.bitwise_xor.accumulate(bits)])
+    return sums[np.cumsum(counts)][docs] ^ sums[1:]
+
+
 def _entries(percent: int, parts: int):
     """The n-grams of a block's prefixes that other documents have, with what the filters need."""
 
@@ -157,15 +161,15 @@ def _entries(percent: int, parts: int):
         grams, docs, levels = grams[order], docs[order], levels[order].astype(np.int64)
         shared = np.bincount(docs, minlength=len(ids))
         place = np.arange(len(docs)) - np.repeat(np.cumsum(shared) - shared, shared) + (sizes - shared)[docs]
-        half = grams >= np.uint64(parts) << np.uint64(31)
-        cell = np.where(2 * levels < CELLS, 2 * (levels - 1) + half, CELLS - 2)
-        held = np.zeros((len(ids), CELLS), np.int64)
-        np.add.at(held, (docs, cell), 1)
-        held = np.minimum(held, 255).astype(np.uint8)
-        words = held.view("<i8")
+        # Each n-gram flips one of 128 bits.
+        spread = C.mixed(grams)
+        bit = np.uint64(1) << (spread & np.uint64(63))
+        upper = (spread & np.uint64(64)) > 0
+        low, high = (_after(np.where(inside, bit, np.uint64(0)), docs, shared) for inside in (~upper, upper))
         kept = place < prefix(sizes, percent)[docs]
         of = docs[kept]
-        columns = [ids[of], sizes[of], grams[kept].view(np.int64), place[kept], cell[kept], words[of, 0], words[of, 1]]
+        grams, low, high = (x[kept].view(np.int64) for x in (grams, low, high))
+        columns = [ids[of], sizes[of], grams, place[kept], low, high]
         return pa.table([pa.array(c).cast(t) for c, t in zip(columns, _types(_ENTRY))], _names(_ENTRY))
 
     return run
@@ -188,18 +192,14 @@ def _met(percent: int) -> Column:
     need = F.expr(f"({percent} * (n + n_x) + {99 + percent}) div {100 + percent}")
     length = F.expr(f"100 * least(n, n_x) >= {percent} * greatest(n, n_x)")
     position = F.expr("least(n - pos, n_x - pos_x)") >= need
-    apart = F.lit(0)
-    for c in range(CELLS):
-        word, shift = ("low", "high")[c // 8], 8 * (c % 8)
-        mine, other = (F.shiftrightunsigned(w, shift).bitwiseAND(F.lit(255)) for w in (word, f"{word}_x"))
-        # Counters end at 255, so a difference of two is one of what they count at least.
-        apart = apart + F.when(F.col("cell") < c, F.abs(mine - other)).otherwise(0)
+    # All before the first common n-gram differ, and so do as many after it at least as there are different bits.
+    apart = F.bit_count(F.col("low").bitwiseXOR(F.col("low_x"))) + F.bit_count(F.col("high").bitwiseXOR(F.col("high_x")))
     suffix = F.expr("pos + pos_x") + apart <= F.expr("n + n_x") - 2 * need
     return length & position & suffix
 
 
 def _as_other(held: DataFrame) -> DataFrame:
-    return held.select("gram", *[F.col(c).alias(f"{c}_x") for c in held.columns if c not in ("gram", "cell")])
+    return held.select("gram", *[F.col(c).alias(f"{c}_x") for c in held.columns if c != "gram"])
 
 
 def _pairs(held: DataFrame, others: DataFrame, tried: DataFrame, percent: int, turn: int) -> DataFrame:

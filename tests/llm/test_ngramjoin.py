@@ -115,6 +115,23 @@ def test_filters_never_lose_a_pair(frame):
                 assert tuple(sorted((number[a], number[b]))) in met
 
 
+def test_near_copies_that_do_not_link_seldom_meet(frame):
+    """Texts that each leave out other words of one text have the same numbers of n-grams of every frequency."""
+    draw = random.Random(12)
+    words = [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(150):
+        gone = set(draw.sample(range(200), 5))
+        rows.append((i, " ".join(w for j, w in enumerate(words) if j not in gone)))
+    sets = [grams(t, 4) for _, t in rows]
+    links = sum(100 * len(x & y) >= 85 * len(x | y) for i, x in enumerate(sets) for y in sets[:i])
+    df = common.identified(common.texts(frame(rows)), "row", "documents")
+    found = ngramjoin.entries(df.select("row", "text"), 4, 85, sum(map(len, sets)))
+    met = found.join(ngramjoin._as_other(found), "gram").filter("row < row_x").filter(ngramjoin._met(85))
+    assert links <= met.select("row", "row_x").distinct().count() <= 3 * links + 100
+    check(frame(rows), rows)
+
+
 def test_rows_are_numbered_alike(spark, folder, frame):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     one, two = (common.identified(docs.select(*c), "row", "documents") for c in (["doc_id"], ["doc_id", "text"]))
