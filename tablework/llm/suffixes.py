@@ -35,6 +35,8 @@ SAMPLED_SUFFIXES = 64
 # The strings of a range are sorted in so many parts, to bound a task's memory.
 PARTS = 8
 ROW_GROUP = 8 << 20
+# Strings of a block whose suffixes are chosen at a time.
+PIECE = 1 << 17
 # Answers go to every task if they take no more; beyond that they are joined with the blocks.
 ANSWER_BYTES = 32 << 20
 
@@ -48,34 +50,40 @@ class Suffixes:
     def __init__(self, body: np.ndarray, offsets: np.ndarray):
         self.spans = C.byte_spans(body)
         strings = max(0, len(body) - LENGTH + 1)
-        at = np.arange(max(0, len(body) - GRAM + 1))
-        hashes = self.spans.hashes(at, at + GRAM)
-        order = hashes & np.uint64(0xFFFFFFFF00000000) | (np.uint64(0xFFFFFFFF) - at.astype(np.uint64))
+        inside = np.zeros(strings, bool)
+        for a, b in zip(offsets[:-1], offsets[1:]):
+            inside[a : max(a, b - LENGTH + 1)] = True
+        runs = [self._runs(begin, min(strings, begin + PIECE), inside) for begin in range(0, strings, PIECE)]
+        places, first, last = (np.concatenate(x) for x in zip(*runs)) if runs else np.zeros((3, 0), np.int64)
+        # A suffix that is chosen on both sides of a border is one.
+        new = np.ones(len(places), bool)
+        new[1:] = places[1:] != places[:-1]
+        self.places = places[new]
+        self.most = self.places - first[new]
+        self.least = self.places - last[np.append(new[1:], True)[: len(new)]]
+        self.rows = np.searchsorted(offsets, self.places, "right") - 1
+        lead = np.zeros(len(self.places), np.uint64)
+        for i in range(5):
+            lead |= body[self.places + i].astype(np.uint64) << np.uint64(56 - 8 * i)
+        self.leading = lead | C.mixed(self.spans.hashes(self.places, self.places + GRAM)) >> np.uint64(40)
+
+    def _runs(self, begin: int, end: int, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The suffixes chosen by the strings that start from ``begin`` to ``end``, and the first and last of these."""
+        at = np.arange(begin, end + REACH - 1)
+        order = self.spans.hashes(at, at + GRAM) & np.uint64(0xFFFFFFFF00000000)
+        order |= np.uint64(0xFFFFFFFF) - at.astype(np.uint64)
         # Smallest of each REACH neighbours: from the start of a stretch, and back from its end.
         padded = np.full(-(-len(order) // REACH) * REACH, np.iinfo(np.uint64).max, np.uint64)
         padded[: len(order)] = order
         table = padded.reshape(-1, REACH)
         forth = np.minimum.accumulate(table, axis=1).ravel()
         back = np.minimum.accumulate(table[:, ::-1], axis=1)[:, ::-1].ravel()
-        best = np.minimum(back[:strings], forth[REACH - 1 : REACH - 1 + strings])
-        best = (np.uint64(0xFFFFFFFF) - (best & np.uint64(0xFFFFFFFF))).astype(np.int64)
-        inside = np.zeros(strings, bool)
-        for a, b in zip(offsets[:-1], offsets[1:]):
-            inside[a : max(a, b - LENGTH + 1)] = True
-        starts = np.flatnonzero(inside)
-        best = best[starts]
+        best = np.minimum(back[: end - begin], forth[REACH - 1 : REACH - 1 + end - begin])
+        starts = begin + np.flatnonzero(inside[begin:end])
+        best = (np.uint64(0xFFFFFFFF) - (best[starts - begin] & np.uint64(0xFFFFFFFF))).astype(np.int64)
         new = np.ones(len(best), bool)
         new[1:] = best[1:] != best[:-1]
-        first = np.flatnonzero(new)
-        last = np.append(first[1:], len(best))[: len(first)] - 1
-        self.places = best[first]
-        self.most = self.places - starts[first]
-        self.least = self.places - starts[last]
-        self.rows = np.searchsorted(offsets, self.places, "right") - 1
-        lead = np.zeros(len(first), np.uint64)
-        for i in range(5):
-            lead |= body[self.places + i].astype(np.uint64) << np.uint64(56 - 8 * i)
-        self.leading = lead | C.mixed(hashes[self.places]) >> np.uint64(40)
+        return best[new], starts[new], starts[np.append(new[1:], True)[: len(new)]]
 
 
 class Leading:
@@ -134,7 +142,8 @@ def _blocks(batches):
 def _each(batches):
     """Number, ids, bytes, offsets and answers of each block."""
     for batch in batches:
-        for row in batch.to_pylist():
+        # One block at a time, so that a worker holds the body of one.
+        for row in (batch.slice(i, 1).to_pylist()[0] for i in range(len(batch))):
             ids = np.array(row["ids"], np.int64)
             offsets = np.concatenate([[0], np.cumsum(row["sizes"], dtype=np.int64)])
             answers = [row[name] or [] for name in ("several", "smaller") if name in row]
@@ -305,14 +314,19 @@ def _cut_texts(splitters, keep_text: bool):
                 hit = (masks >> np.uint64(before) & np.uint64(1)).astype(bool) & (least <= before) & (before <= most)
                 starts[places[hit] - before + 1] = 1
             sums = np.cumsum(starts, dtype=np.int32)
-            gone = sums[1:] > sums[np.maximum(np.arange(len(body)) - LENGTH + 1, 0)]
+            gone = sums[1:] > 0
+            gone[LENGTH - 1 :] = sums[LENGTH:] > sums[: max(0, len(body) - LENGTH + 1)]
             edge = gone.copy()
             edge[1:] &= ~gone[:-1]
             borders = offsets[1:-1]
             borders = borders[borders < len(body)]
             edge[borders] = gone[borders]
-            counts = [np.concatenate([[0], np.cumsum(x)]) for x in (gone, edge)]
-            removed, runs = (c[offsets[1:]] - c[offsets[:-1]] for c in counts)
+            del starts, sums
+            borders = offsets[:-1]
+            removed, runs = (np.zeros(len(ids), np.int64) for _ in range(2))
+            filled = np.flatnonzero(np.diff(offsets))
+            if len(filled):
+                removed[filled], runs[filled] = (np.add.reduceat(x, borders[filled], dtype=np.int64) for x in (gone, edge))
             kept = []
             for a, b, n in zip(offsets[:-1], offsets[1:], removed):
                 kept.append((body[a:b][~gone[a:b]] if n else body[a:b]).tobytes())

@@ -1,6 +1,8 @@
 import hashlib
 import random
+import tracemalloc
 
+import numpy as np
 import pytest
 
 from tablework.llm import common, suffixes
@@ -66,5 +68,37 @@ def test_whole_table(spark, folder, frame):
     check(frame, [tuple(r) for r in docs])
 
 
+def peak(run):
+    """MB that numpy holds at most while it runs."""
+    tracemalloc.start()
+    run()
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return most / 1e6
+
+
+def block(size, rows):
+    body = np.random.default_rng(1).integers(97, 123, size).astype(np.uint8)
+    return body, np.linspace(0, size, rows + 1).astype(np.int64)
+
+
+def test_pieces_change_nothing(monkeypatch):
+    body, offsets = block(30_000, 37)
+    body[7000:9000] = body[20_000:22_000] = 97
+    whole = suffixes.Suffixes(body, offsets)
+    for piece in (1, 13, 1000):
+        monkeypatch.setattr(suffixes, "PIECE", piece)
+        cut = suffixes.Suffixes(body, offsets)
+        for name in ("places", "most", "least", "rows", "leading"):
+            assert np.array_equal(getattr(whole, name), getattr(cut, name))
+
+
+def test_memory_of_a_block():
+    """Many texts or a single one: what a block takes beyond its running sum."""
+    for rows in (1, 300):
+        body, offsets = block(common.SLICE_BYTES, rows)
+        assert peak(lambda: suffixes.Suffixes(body, offsets)) < 45
+
+
 def test_empty_table(frame):
     assert suffixes.without_repeats(frame([])).collect() == []
