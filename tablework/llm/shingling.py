@@ -11,8 +11,26 @@ from tablework.llm import common as C
 from tablework.session import discard, stage
 
 
+# Text whose shingles are hashed at a time, or one longer row: hashing takes some hundred times its bytes.
+PIECE_BYTES = 1 << 18
+
+
 def shingle_hashes(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Different hashes of word runs and whose they are, in order of the rows."""
+    hashes, rows = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    begin, last = 0, len(offsets) - 1
+    while begin < last:
+        end = int(np.searchsorted(offsets, offsets[begin] + PIECE_BYTES, "right")) - 1
+        end = min(last, max(end, begin + 1))
+        part = offsets[begin : end + 1]
+        found, own = _hashes(data[part[0] : part[-1]], part - part[0], width)
+        hashes.append(found)
+        rows.append(own + begin)
+        begin = end
+    return np.concatenate(hashes), np.concatenate(rows)
+
+
+def _hashes(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     low = C.LOWER[data]
     starts, ends, rows = C.word_spans(low, offsets, C.SOLID)
     if not len(rows):

@@ -1,8 +1,9 @@
 import random
+import tracemalloc
 
 import numpy as np
 
-from tablework.llm import graph, minhash
+from tablework.llm import common, graph, minhash, shingling
 from tablework.session import stage
 from tests.llm.conftest import odd_rows
 from tests.llm.test_ngramjoin import grams
@@ -41,6 +42,23 @@ def check(frame, rows, width):
     assert all(r["kept"] == (r["doc_id"] is not None and r["doc_id"] == r["component_id"]) for r in found)
 
 
+def test_memory_of_a_slice():
+    """The shingles of a slice of many texts are hashed piece by piece, and are those of each text alone."""
+    draw = np.random.default_rng(2)
+    data = np.where(draw.random(common.SLICE_BYTES) < 0.15, 32, draw.integers(97, 123, common.SLICE_BYTES)).astype(np.uint8)
+    offsets = np.linspace(0, len(data), 301).astype(np.int64)
+    offsets[5] = offsets[6]
+    shingling.shingle_hashes(data, offsets, 5)
+    tracemalloc.start()
+    hashes, rows = shingling.shingle_hashes(data, offsets, 5)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 15e6
+    for row in (0, 4, 5, 6, 299):
+        alone, _ = shingling.shingle_hashes(data[offsets[row] : offsets[row + 1]], np.array([0, offsets[row + 1] - offsets[row]]), 5)
+        assert np.array_equal(hashes[rows == row], alone)
+
+
 def test_odd_rows(frame):
     for width in (4, 5):
         check(frame, odd_rows(), width)
