@@ -101,9 +101,9 @@ def grouped(rows: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Data
         .select("row", "doc_id", "n_shingles", F.coalesce("first", "row").alias("first")),
         "members",
     )
-    heads = C.sized(stage(classes.select(F.col("first").alias("row")), "heads"))
-    banded = signed.join(heads, "row", "left_semi").select("row", "n_shingles", F.explode("bands").alias("band"))
-    banded = stage(banded, "bands")
+    # The first row of each class; there can be as many of them as rows, so they are no side of a join.
+    heads = signed.filter("n_shingles > 0").join(several, same, "left").filter("row = coalesce(first, row)")
+    banded = stage(heads.select("row", "n_shingles", F.explode("bands").alias("band")), "bands")
     discard(signed)
     shared = banded.groupBy("band").agg(F.min("row").alias("a"), F.count("*").alias("n")).filter("n > 1")
     shared = C.sized(stage(shared.select("band", "a"), "shared"))
