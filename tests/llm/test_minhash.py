@@ -125,3 +125,24 @@ def test_components_of_a_long_chain(spark, monkeypatch):
 def test_empty_table(frame):
     assert minhash.near_copies(frame([])).collect() == []
     assert minhash.representatives(frame([])).collect() == []
+
+
+def test_bands_are_not_shuffled_for_the_heads(spark, frame, monkeypatch):
+    """There can be more first rows than a broadcast takes, while few classes have several rows."""
+    plans = {}
+
+    def staged(df, label="stage", **options):
+        plans[label] = df._jdf.queryExecution().executedPlan().toString()
+        return stage(df, label, **options)
+
+    monkeypatch.setattr(minhash, "stage", staged)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 10)
+    rows = [(i, " ".join(f"w{i % 40}x{j}" for j in range(9))) for i in range(43)]
+    # Only what is marked for it is broadcast.
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        check(frame, rows, 5)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in plans["bands"] and "SortMergeJoin" not in plans["bands"]
