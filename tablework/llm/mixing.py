@@ -217,6 +217,19 @@ def refinement(outcomes: np.ndarray) -> np.ndarray:
 
 def word_scores(table, weights, refined, b: Block) -> np.ndarray:
     """log10 of the probability of each word."""
+    steps = _step_scores(table, weights, refined, b)
+    return np.add.reduceat(steps[b.step_of], b.starts) if len(b.starts) else np.zeros(0)
+
+
+def rest_scores(table, weights, refined, b: Block) -> np.ndarray:
+    """log10 of the probability of all of each word after its first byte."""
+    steps = _step_scores(table, weights, refined, b)
+    taken = steps[b.step_of]
+    taken[b.starts] = 0
+    return np.add.reduceat(taken, b.starts) if len(b.starts) else np.zeros(0)
+
+
+def _step_scores(table, weights, refined, b: Block) -> np.ndarray:
     steps = np.empty(len(b.bits))
     for begin in range(0, len(steps), STEP_EDGES):
         rows = slice(begin, begin + STEP_EDGES)
@@ -225,4 +238,4 @@ def word_scores(table, weights, refined, b: Block) -> np.ndarray:
         one = (_squash(np.clip(mixed, -16, 16)) + refined[_bucket(mixed, gate)]) / 2
         one = np.clip(one, _LEAST, 1 - _LEAST)
         steps[rows] = np.log10(np.where(bits == 1, one, 1 - one)).reshape(-1, 8).sum(1)
-    return np.add.reduceat(steps[b.step_of], b.starts) if len(b.starts) else np.zeros(0)
+    return steps
