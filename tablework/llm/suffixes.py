@@ -147,7 +147,23 @@ def _each(batches):
             ids = np.array(row["ids"], np.int64)
             offsets = np.concatenate([[0], np.cumsum(row["sizes"], dtype=np.int64)])
             answers = [row[name] or [] for name in ("several", "smaller") if name in row]
-            yield row["block"], ids, np.frombuffer(row["body"], np.uint8), offsets, answers
+            found = row["block"], ids, np.frombuffer(row["body"], np.uint8), offsets, answers
+            del row, ids, offsets, answers
+            yield found
+            del found
+
+
+def _alone(one):
+    """A step over blocks by ``one`` call for each, so that nothing of a block is left when the next one is begun."""
+
+    def run(batches):
+        for block in _each(batches):
+            # Arrow keeps what it frees for later; the next block is to find it free.
+            yield one(*block)
+            del block
+            pa.default_memory_pool().release_unused()
+
+    return run
 
 
 def _cuts(ranges: np.ndarray) -> list[tuple[int, slice]]:
@@ -161,21 +177,20 @@ def _records(columns: dict) -> pa.RecordBatch:
 
 
 def _ask_leading(splitters):
-    def run(batches):
-        for block, ids, body, offsets, _ in _each(batches):
-            leading = Leading(Suffixes(body, offsets), ids)
-            ranges = np.searchsorted(splitters.value, leading.values, "right")
-            cuts = _cuts(ranges)
-            yield _records(
-                {
-                    "range": pa.array([r for r, _ in cuts], pa.int32()),
-                    "block": pa.array([block] * len(cuts), pa.int64()),
-                    "values": pa.array([leading.values[s].tobytes() for _, s in cuts], pa.binary()),
-                    "several": pa.array([np.packbits(leading.several[s]).tobytes() for _, s in cuts], pa.binary()),
-                }
-            )
+    def one(block, ids, body, offsets, _):
+        leading = Leading(Suffixes(body, offsets), ids)
+        ranges = np.searchsorted(splitters.value, leading.values, "right")
+        cuts = _cuts(ranges)
+        return _records(
+            {
+                "range": pa.array([r for r, _ in cuts], pa.int32()),
+                "block": pa.array([block] * len(cuts), pa.int64()),
+                "values": pa.array([leading.values[s].tobytes() for _, s in cuts], pa.binary()),
+                "several": pa.array([np.packbits(leading.several[s]).tobytes() for _, s in cuts], pa.binary()),
+            }
+        )
 
-    return run
+    return _alone(one)
 
 
 def _answer_leading(key, table):
@@ -206,24 +221,24 @@ def _several(leading: Leading, answers: list[dict], splitters: np.ndarray) -> np
 
 
 def _ask_strings(splitters):
-    def run(batches):
-        for block, ids, body, offsets, (answers,) in _each(batches):
-            suffixes = Suffixes(body, offsets)
-            leading = Leading(suffixes, ids)
-            shared = Shared(suffixes, leading, _several(leading, answers, splitters.value), ids, splitters.value)
-            cuts = _cuts(shared.ranges)
-            numbers = np.stack([shared.values.view(np.int64), shared.ids, shared.most, shared.least], 1)
-            texts = [body[a:b].tobytes() for a, b in zip(shared.begin, shared.end)]
-            yield _records(
-                {
-                    "range": pa.array([r for r, _ in cuts], pa.int32()),
-                    "block": pa.array([block] * len(cuts), pa.int64()),
-                    "numbers": pa.array([np.ascontiguousarray(numbers[s].T).tobytes() for _, s in cuts], pa.binary()),
-                    "texts": pa.array([b"".join(texts[s]) for _, s in cuts], pa.binary()),
-                }
-            )
+    def one(block, ids, body, offsets, answers):
+        (answers,) = answers
+        suffixes = Suffixes(body, offsets)
+        leading = Leading(suffixes, ids)
+        shared = Shared(suffixes, leading, _several(leading, answers, splitters.value), ids, splitters.value)
+        cuts = _cuts(shared.ranges)
+        numbers = np.stack([shared.values.view(np.int64), shared.ids, shared.most, shared.least], 1)
+        texts = [body[a:b].tobytes() for a, b in zip(shared.begin, shared.end)]
+        return _records(
+            {
+                "range": pa.array([r for r, _ in cuts], pa.int32()),
+                "block": pa.array([block] * len(cuts), pa.int64()),
+                "numbers": pa.array([np.ascontiguousarray(numbers[s].T).tobytes() for _, s in cuts], pa.binary()),
+                "texts": pa.array([b"".join(texts[s]) for _, s in cuts], pa.binary()),
+            }
+        )
 
-    return run
+    return _alone(one)
 
 
 def _smaller(groups: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -300,48 +315,48 @@ def _unpacked(data: bytes) -> np.ndarray:
 
 
 def _cut_texts(splitters, keep_text: bool):
-    def run(batches):
-        for _, ids, body, offsets, (several, smaller) in _each(batches):
-            suffixes = Suffixes(body, offsets)
-            leading = Leading(suffixes, ids)
-            shared = Shared(suffixes, leading, _several(leading, several, splitters.value), ids, splitters.value)
-            found = [_unpacked(a["mask"]) for a in sorted(smaller, key=lambda a: a["range"])]
-            masks = np.concatenate([np.zeros(0, np.uint64), *found])[shared.of]
-            masks = np.where(shared.own > shared.ids[shared.of], _ALL, masks)
-            places, most, least = (a[shared.chosen] for a in (suffixes.places, suffixes.most, suffixes.least))
-            starts = np.zeros(len(body) + 1, np.int32)
-            for before in range(REACH):
-                hit = (masks >> np.uint64(before) & np.uint64(1)).astype(bool) & (least <= before) & (before <= most)
-                starts[places[hit] - before + 1] = 1
-            sums = np.cumsum(starts, dtype=np.int32)
-            gone = sums[1:] > 0
-            gone[LENGTH - 1 :] = sums[LENGTH:] > sums[: max(0, len(body) - LENGTH + 1)]
-            edge = gone.copy()
-            edge[1:] &= ~gone[:-1]
-            borders = offsets[1:-1]
-            borders = borders[borders < len(body)]
-            edge[borders] = gone[borders]
-            del starts, sums
-            borders = offsets[:-1]
-            removed, runs = (np.zeros(len(ids), np.int64) for _ in range(2))
-            filled = np.flatnonzero(np.diff(offsets))
-            if len(filled):
-                removed[filled], runs[filled] = (np.add.reduceat(x, borders[filled], dtype=np.int64) for x in (gone, edge))
-            kept = []
-            for a, b, n in zip(offsets[:-1], offsets[1:], removed):
-                kept.append((body[a:b][~gone[a:b]] if n else body[a:b]).tobytes())
-            columns = {
-                "doc_id": pa.array(ids, pa.int64(), mask=ids == _NO_ID),
-                "n_bytes": pa.array(np.diff(offsets), pa.int64()),
-                "n_removed": pa.array(removed, pa.int64()),
-                "n_spans": pa.array(runs, pa.int64()),
-                "kept_sha256": pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()),
-            }
-            if keep_text:
-                columns["kept"] = pa.array(kept, pa.binary())
-            yield _records(columns)
-
-    return run
+    def one(_, ids, body, offsets, answers):
+        several, smaller = answers
+        suffixes = Suffixes(body, offsets)
+        leading = Leading(suffixes, ids)
+        shared = Shared(suffixes, leading, _several(leading, several, splitters.value), ids, splitters.value)
+        found = [_unpacked(a["mask"]) for a in sorted(smaller, key=lambda a: a["range"])]
+        masks = np.concatenate([np.zeros(0, np.uint64), *found])[shared.of]
+        masks = np.where(shared.own > shared.ids[shared.of], _ALL, masks)
+        places, most, least = (a[shared.chosen] for a in (suffixes.places, suffixes.most, suffixes.least))
+        starts = np.zeros(len(body) + 1, np.int32)
+        for before in range(REACH):
+            hit = (masks >> np.uint64(before) & np.uint64(1)).astype(bool) & (least <= before) & (before <= most)
+            starts[places[hit] - before + 1] = 1
+        sums = np.cumsum(starts, dtype=np.int32)
+        gone = sums[1:] > 0
+        gone[LENGTH - 1 :] = sums[LENGTH:] > sums[: max(0, len(body) - LENGTH + 1)]
+        edge = gone.copy()
+        edge[1:] &= ~gone[:-1]
+        borders = offsets[1:-1]
+        borders = borders[borders < len(body)]
+        edge[borders] = gone[borders]
+        del starts, sums
+        borders = offsets[:-1]
+        removed, runs = (np.zeros(len(ids), np.int64) for _ in range(2))
+        filled = np.flatnonzero(np.diff(offsets))
+        if len(filled):
+            removed[filled], runs[filled] = (np.add.reduceat(x, borders[filled], dtype=np.int64) for x in (gone, edge))
+        kept = []
+        for a, b, n in zip(offsets[:-1], offsets[1:], removed):
+            kept.append((body[a:b][~gone[a:b]] if n else body[a:b]).tobytes())
+        columns = {
+            "doc_id": pa.array(ids, pa.int64(), mask=ids == _NO_ID),
+            "n_bytes": pa.array(np.diff(offsets), pa.int64()),
+            "n_removed": pa.array(removed, pa.int64()),
+            "n_spans": pa.array(runs, pa.int64()),
+            "kept_sha256": pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()),
+        }
+        if keep_text:
+            columns["kept"] = pa.array(kept, pa.binary())
+        return _records(columns)
+
+    return _alone(one)
 
 
 def without_repeats(

@@ -3,6 +3,7 @@ import random
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tablework.llm import common, suffixes
@@ -100,5 +101,27 @@ def test_memory_of_a_block():
         assert peak(lambda: suffixes.Suffixes(body, offsets)) < 45
 
 
+class Held:
+    value = np.zeros(0, np.uint64)
+
+
+def test_a_block_leaves_nothing_to_the_next():
+    """Blocks one after the other take no more than one alone."""
+    body, offsets = block(common.SLICE_BYTES, 300)
+    leading = suffixes.Leading(suffixes.Suffixes(body, offsets), np.arange(300))
+    marks = np.packbits(np.ones(len(leading.values), bool)).tobytes()
+    shared = len(suffixes.Suffixes(body, offsets).places)
+    row = {"block": 1, "ids": list(range(300)), "sizes": np.diff(offsets).tolist(), "body": body.tobytes()}
+    asked = {**row, "several": [{"range": 0, "mask": marks}]}
+    cut = {**asked, "smaller": [{"range": 0, "mask": suffixes._packed(np.zeros(shared, np.uint64))}]}
+    steps = [(suffixes._ask_leading(Held), row), (suffixes._ask_strings(Held), asked), (suffixes._cut_texts(Held, False), cut)]
+    for step, row in steps:
+        batch = pa.RecordBatch.from_pylist([row])
+        for _ in step(iter([batch])):
+            pass
+        one, more = (peak(lambda: [len(b) for b in step(iter([batch] * n))]) for n in (1, 3))
+        assert more < 1.1 * one, (one, more)
+
+
 def test_empty_table(frame):
     assert suffixes.without_repeats(frame([])).collect() == []
