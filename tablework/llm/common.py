@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import gc
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -138,11 +139,35 @@ SOLID = np.ones(256, bool)
 SOLID[[32, 9, 10, 11, 12, 13]] = False
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tuple]:
-    """``(batch, data, offsets)`` for runs of rows of up to ``SLICE_BYTES`` of text, or one longer row.
+# What a worker remembers from task to task, of one operator at a time.
+_remembered: dict[Hashable, Any] = {}
+
+
+def remembered(key: Hashable, make: Callable[[], Any]) -> Any:
+    """What ``make`` gave the worker for ``key``, until a task asks for another key or reads texts without ``keep``."""
+    if key not in _remembered:
+        _remembered.clear()
+        _remembered[key] = make()
+    return _remembered[key]
+
+
+def slices(
+    batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SLICE_BYTES, keep: bool = False
+) -> Iterator[tuple]:
+    """``(batch, data, offsets)`` for runs of rows of up to ``most`` bytes of text, or one longer row.
 
     ``data`` are the bytes of the run's texts one after the other; row ``i`` has ``data[offsets[i]:offsets[i + 1]]``.
+    Unless the task is to ``keep`` it, the worker lets go of what an operator before remembered: workers are used again,
+    so the operators of a pipeline would hold their memory side by side.
     """
+    if not keep:
+        _remembered.clear()
+    yield from _slices(batches, text, most)
+    # Arrow holds on to memory of batches that are gone.
+    pa.default_memory_pool().release_unused()
+
+
+def _slices(batches: Iterator[pa.RecordBatch], text: str, most: int) -> Iterator[tuple]:
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text))
         kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
@@ -155,7 +180,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tu
         data = np.frombuffer(body or b"", np.uint8)
         begin = 0
         while begin < rows:
-            end = int(np.searchsorted(offsets, offsets[begin] + SLICE_BYTES, "right")) - 1
+            end = int(np.searchsorted(offsets, offsets[begin] + most, "right")) - 1
             end = min(rows, max(end, begin + 1))
             part = offsets[begin : end + 1]
             yield batch.slice(begin, end - begin), data[part[0] : part[-1]], part - part[0]

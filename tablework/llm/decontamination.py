@@ -24,6 +24,8 @@ from tablework.session import stage
 SPAN = 10
 GRAM = 5
 MAP_BITS = 26
+# Text whose words are hashed at a time, or one longer row: hashing takes some sixty times its bytes.
+PIECE_BYTES = 1 << 18
 
 _FOUND = pa.list_(
     pa.struct([("fp", pa.int64()), ("start", pa.int32()), ("size", pa.int32()), ("window", pa.binary())])
@@ -99,7 +101,7 @@ def _item_rows(batches):
 def _document_rows(bits, short):
     def run(batches):
         held = bits.value
-        for batch, data, offsets in C.slices(batches):
+        for batch, data, offsets in C.slices(batches, most=PIECE_BYTES):
             low, starts, ends, rows, hashes = _words(data, offsets)
             counts = np.bincount(rows, minlength=len(batch))
             first = np.cumsum(counts) - counts

@@ -266,23 +266,17 @@ class Reader:
         return np.array([self.sums[ids].sum(0, dtype=np.float64) for ids in found])
 
 
-_readers: dict[bytes, Reader] = {}
-
-
 def _reader(network: Network) -> Reader:
     """The worker's reader for a network, which keeps what it knows from task to task."""
     key = b"".join(network.weights[name].tobytes() for name in sorted(network.weights))
-    if key not in _readers:
-        _readers.clear()
-        _readers[key] = Reader(network)
-    return _readers[key]
+    return C.remembered(("language", key), lambda: Reader(network))
 
 
 def _predictor(model):
     def run(batches):
         network: Network | None = model.value
         reader = _reader(network) if network else None
-        for batch, data, offsets in C.slices(batches):
+        for batch, data, offsets in C.slices(batches, keep=True):
             names, scores = [UNKNOWN] * len(batch), [0.0] * len(batch)
             texts = [data[a:b].tobytes() for a, b in zip(offsets, offsets[1:])]
             for i, total in enumerate(reader.totals(texts) if reader else ()):

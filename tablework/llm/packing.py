@@ -153,21 +153,15 @@ class Encoder:
         return b"".join(map(self._word, text.split()))
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def _encoder(tokenizer: str) -> Encoder:
     """The worker's encoder for a tokenizer, which keeps what it knows from task to task."""
-    if tokenizer not in _encoders:
-        _encoders.clear()
-        _encoders[tokenizer] = Encoder(tokenizer)
-    return _encoders[tokenizer]
+    return C.remembered(("packing", tokenizer), lambda: Encoder(tokenizer))
 
 
 def _pieces(tokenizer, capacity: int, end: bytes, keep_ids: bool):
     def run(batches):
         encode = _encoder(tokenizer.value)
-        for batch, data, offsets in C.slices(batches):
+        for batch, data, offsets in C.slices(batches, keep=True):
             out = ([], [], [], [], [], [])
             for row, (a, b) in enumerate(zip(offsets, offsets[1:])):
                 ids = encode(data[a:b].tobytes()) + end
