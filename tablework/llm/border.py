@@ -27,8 +27,9 @@ REFINED = GATES * M.BUCKETS
 FIRST = (0.85, 0.2, 0.0)
 # Tokens of a document by which it learns at a time: a few at first, more later.
 GROUPS = (16, 32, 64, 128)
-# Tokens that are looked up at a time.
+# Tokens that are looked up at a time, and bytes of what a task remembers of endings it has looked up.
 CHUNK = 1 << 16
+HELD_BYTES = 1 << 24
 # How many outcomes of its own outweigh the prediction, and the share of a document's own words before any token.
 LEAN = 30
 SHARE = (4, 16)
@@ -175,6 +176,37 @@ class Border:
         return np.log(one / (1 - one))
 
 
+class Lookup:
+    """The logits of endings, each computed once as long as they are few enough to be held."""
+
+    def __init__(self, border: Border, weights: np.ndarray, refined: np.ndarray):
+        self.border, self.weights, self.refined = border, weights, refined
+        self.most = HELD_BYTES // (4 * max(1, len(border.code.low)))
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known, self.rows = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.table = np.zeros((0, len(self.border.code.low)), np.float32)
+
+    def places(self, used: np.ndarray) -> np.ndarray:
+        """The rows of ``table`` that hold some different endings, in order. They hold until the next call."""
+        new = np.setdiff1d(used, self.known, assume_unique=True)
+        if len(self.known) and len(self.known) + len(new) > self.most:
+            self._forget()
+            new = used
+        if len(new):
+            begin, end = len(self.known), len(self.known) + len(new)
+            if end > len(self.table):
+                room = max(end, min(2 * len(self.table), self.most)) - len(self.table)
+                self.table = np.concatenate([self.table, np.empty((room, self.table.shape[1]), np.float32)])
+            self.table[begin:end] = self.border.logits(new, self.weights, self.refined)
+            self.known = np.concatenate([self.known, new])
+            self.rows = np.concatenate([self.rows, np.arange(begin, end)])
+            order = np.argsort(self.known, kind="stable")
+            self.known, self.rows = self.known[order], self.rows[order]
+        return self.rows[np.searchsorted(self.known, used)]
+
+
 def first_weights() -> np.ndarray:
     weights = np.full((GATES, INPUTS), 0.2)
     weights[:, 3] = 0.4
@@ -225,87 +257,99 @@ def refinement(outcomes: np.ndarray) -> np.ndarray:
     return (outcomes[:, 1] + 8 * prior) / (outcomes.sum(1) + 8)
 
 
-def _earlier(docs: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """How often each token's word stands before it in its document."""
-    key = docs * (int(words.max(initial=0)) + 1) + words
-    order = np.argsort(key, kind="stable")
-    new = np.flatnonzero(np.diff(key[order], prepend=-1))
-    out = np.empty(len(key), np.int64)
-    out[order] = np.arange(len(key)) - np.repeat(new, np.diff(np.append(new, len(key))))
+def _ordered(numbers: np.ndarray) -> np.ndarray:
+    """The order of whole numbers, equal ones as they come; short ones are sorted in linear time."""
+    return np.argsort(numbers.astype(np.uint16) if numbers.max(initial=0) < 1 << 16 else numbers, kind="stable")
+
+
+def earlier(sizes: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """How often each token's word stands before it in its document; ``sizes`` are tokens of the documents."""
+    order = _ordered(words)
+    # Tokens of a word come in order of the documents.
+    docs, held = np.repeat(np.arange(len(sizes)), sizes)[order], words[order]
+    new = np.flatnonzero(np.append(True, (docs[1:] != docs[:-1]) | (held[1:] != held[:-1])))
+    out = np.empty(len(words), np.int64)
+    out[order] = np.arange(len(words)) - np.repeat(new, np.diff(np.append(new, len(words))))
     return out
 
 
-def document_scores(border: Border, weights, refined, sizes, words, symbols, ends, rests) -> np.ndarray:
+def document_scores(lookup: Lookup, sizes, words, symbols, ends, rests, earlier) -> np.ndarray:
     """log10 of the probability of each document.
 
     ``sizes`` are tokens of the documents, the end included; ``words`` and ``symbols`` the number and first byte of each
-    token. ``ends`` (endings) and ``rests`` (log10 of the probability of all after the first byte) go by the number of the
-    word; number 0 is the end, which also stands before each document.
+    token, and ``earlier`` how often its word stands before it in its document. ``ends`` (endings) and ``rests`` (log10 of
+    the probability of all after the first byte) go by the number of the word; number 0 is the end, which also stands
+    before each document.
     """
+    code = lookup.border.code
     count, first = len(sizes), np.cumsum(sizes) - sizes
     docs = np.repeat(np.arange(count), sizes)
     at = np.arange(len(words)) - first[docs]
     before = np.empty_like(words)
     before[1:], before[first] = words[:-1], 0
-    earlier = _earlier(docs, words)
     limits = np.concatenate([[0], np.cumsum([*GROUPS])])
     longest = int(sizes.max(initial=0))
     limits = np.append(limits, np.arange(limits[-1] + GROUPS[-1], longest + GROUPS[-1], GROUPS[-1]))
     group = np.searchsorted(limits, at, "right") - 1
-    order = np.argsort(group, kind="stable")
+    order = _ordered(group)
     docs, at, words, symbols, before, earlier = (a[order] for a in (docs, at, words, symbols, before, earlier))
     borders = np.searchsorted(group[order], np.arange(group.max(initial=-1) + 2))
-    nodes = len(border.code.low)
+    nodes = len(code.low)
     used, row = np.unique(ends, return_inverse=True)
     own_weights = np.tile(np.array(FIRST, np.float32)[:, None], count)
     squares = np.full(own_weights.shape, 1e-3, np.float32)
-    own = np.zeros(2 * count * nodes, np.float32)
-    came = np.zeros(2 * count * M.BUCKETS, np.float32)
+    # Zeros, then ones.
+    own = np.zeros((2, count * nodes), np.float32)
+    came = np.zeros((2, count * M.BUCKETS), np.float32)
     right = np.zeros(count)
     scores = np.zeros(count)
     tail = rests[words] / np.log10(np.e)
-    docs = docs.astype(np.int32)
     ahead = 0
     for a, b in zip(borders[:-1], borders[1:]):
         if b > ahead:
             # What the corpus gives, for as many groups as make a chunk.
             begin, end = a, int(borders[max(np.searchsorted(borders, a + CHUNK, "right") - 1, np.searchsorted(borders, b))])
             s = slice(begin, end)
-            some, at_row = np.unique(row[before[s]], return_inverse=True)
-            table = border.logits(used[some], weights, refined).ravel()
-            _, _, node_of, bit_of = border.code.bits(symbols[s])
-            lengths = border.code.lengths[symbols[s]]
-            corpus = table[np.repeat(at_row * nodes, lengths) + node_of]
+            here = row[before[s]]
+            some = np.flatnonzero(np.bincount(here, minlength=len(used)))
+            places = np.zeros(len(used), np.int64)
+            places[some] = lookup.places(used[some]) * nodes
+            _, _, node_of, bit_of = code.bits(symbols[s])
+            lengths = code.lengths[symbols[s]]
+            corpus = lookup.table.ravel().take(np.repeat(places[here], lengths) + node_of)
             ahead = end
             limit = np.concatenate([[0], np.cumsum(lengths)])
         s = slice(limit[a - begin], limit[b - begin])
         node, bit = node_of[s], bit_of[s]
-        d = np.repeat(docs[a:b], lengths[a - begin : b - begin])
-        x = np.full((3, len(d)), 0.3, np.float32)
+        tokens = limit[a - begin : b - begin] - limit[a - begin]
+        # The documents of the group, their first bits and how many.
+        who = docs[a:b]
+        first = np.flatnonzero(np.append(True, who[1:] != who[:-1]))
+        some, first = who[first], tokens[first]
+        each = np.diff(np.append(first, len(node)))
+        leaf = np.repeat(some * nodes, each) + node
+        x = np.full((3, len(node)), 0.3, np.float32)
         x[0] = corpus[s]
-        leaf = (d * nodes + node) * 2
-        x[1] = stretched(own[leaf], own[leaf + 1])
-        mixed = np.clip(_mixed(own_weights[:, d], x), -16, 16)
-        even, bucket = _squash(mixed), _bucket(mixed)
-        place = (d * M.BUCKETS + bucket) * 2
-        zeros, ones = came[place], came[place + 1]
+        x[1] = stretched(own[0].take(leaf), own[1].take(leaf))
+        mixed = np.clip(_mixed(np.repeat(own_weights[:, some], each, axis=1), x), -16, 16)
+        even = _squash(mixed)
+        place = np.repeat(some * M.BUCKETS, each) + _bucket(mixed)
+        zeros, ones = came[0].take(place), came[1].take(place)
         one = (LEAN * even + ones) / (LEAN + zeros + ones)
         one = np.clip((even + one) / 2, np.float32(M._LEAST), np.float32(1 - M._LEAST))
         spelt = np.log(np.where(bit == 1, one, 1 - one))
-        spelt = np.add.reduceat(spelt, limit[a - begin : b - begin] - limit[a - begin], dtype=float) + tail[a:b]
+        spelt = np.add.reduceat(spelt, tokens, dtype=float) + tail[a:b]
         # The document's own words: as likely as they were often, by a share for how often that was right.
-        who, ago = docs[a:b], at[a:b]
+        ago = at[a:b]
         share = (right[who] + SHARE[0]) / (limits[group[order[a]]] + SHARE[1])
         with np.errstate(divide="ignore"):
             listed = np.log(share) + np.log(earlier[a:b] / np.maximum(ago, 1))
         spelt = np.logaddexp(listed, np.log1p(-share) + spelt)
         scores += np.bincount(who, spelt, count)
         right += np.bincount(who, np.exp(listed - spelt), count)
-        first = np.flatnonzero(np.diff(d, prepend=-1))
-        some = d[first]
-        gradient = np.add.reduceat((bit - even) * x, first, axis=1) / np.diff(np.append(first, len(d)))
+        gradient = np.add.reduceat((bit.astype(np.float32) - even) * x, first, axis=1, dtype=float) / each
         squares[:, some] += gradient**2
         own_weights[:, some] += M.RATE * gradient / np.sqrt(squares[:, some] + 1e-6)
-        np.add.at(own, leaf + bit, np.float32(1))
-        np.add.at(came, place + bit, np.float32(1))
+        np.add.at(own.ravel(), leaf + bit * np.int64(own.shape[1]), np.float32(1))
+        np.add.at(came.ravel(), place + bit * np.int64(came.shape[1]), np.float32(1))
     return scores * np.log10(np.e)

@@ -155,9 +155,11 @@ def _inputs(table: np.ndarray, b: Block, rows: slice, own: np.ndarray | None):
     level = np.zeros(bits.size, np.int64)
     total = None
     left = np.repeat(own, 8).astype(np.float32) if own is not None else None
+    # Both counts of a place are taken at once.
+    table = np.ascontiguousarray(table, np.float32).view(np.complex64)
     for k in range(len(SIZES)):
-        places = 2 * slots[:, k].ravel().astype(np.int64)
-        zeros, ones = table[places], table[places + 1]
+        both = table.take(slots[:, k].ravel())
+        zeros, ones = both.real, both.imag
         if left is not None:
             # What a step would have seen before it happened for the last time.
             zeros, ones = zeros - left * (1 - bits), ones - left * bits
@@ -169,6 +171,10 @@ def _inputs(table: np.ndarray, b: Block, rows: slice, own: np.ndarray | None):
     return np.clip(x, -12, 12, out=x), level * DEPTHS + depth, bits
 
 
+def _mixed(weights: np.ndarray, gate: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return np.einsum("ij,ij->j", weights.T.take(gate, axis=1), x)
+
+
 def _squash(x):
     return 1 / (1 + np.exp(-x))
 
@@ -197,8 +203,8 @@ def learn(table, weights, squares, outcomes, seen, b: Block, taken: np.ndarray)
         rows = order[begin : begin + STEP_EDGES]
         x, gate, bits = _inputs(table, b, rows, np.ones(len(rows)))
         force = np.repeat(taken[rows], 8)
-        mixed = (weights[gate].T * x).sum(0)
-        np.add.at(outcomes, (_bucket(mixed, gate), bits), force)
+        mixed = _mixed(weights, gate, x)
+        outcomes += np.bincount(_bucket(mixed, gate) * 2 + bits, force, outcomes.size).reshape(outcomes.shape)
         error = (bits - _squash(np.clip(mixed, -16, 16))) * force
         mass = np.bincount(gate, force, GATES)
         seen += np.bincount(gate, minlength=GATES)
@@ -234,7 +240,7 @@ def _step_scores(table, weights, refined, b: Block) -> np.ndarray:
     for begin in range(0, len(steps), STEP_EDGES):
         rows = slice(begin, begin + STEP_EDGES)
         x, gate, bits = _inputs(table, b, rows, None)
-        mixed = (weights[gate].T * x).sum(0)
+        mixed = _mixed(weights, gate, x)
         one = (_squash(np.clip(mixed, -16, 16)) + refined[_bucket(mixed, gate)]) / 2
         one = np.clip(one, _LEAST, 1 - _LEAST)
         steps[rows] = np.log10(np.where(bits == 1, one, 1 - one)).reshape(-1, 8).sum(1)

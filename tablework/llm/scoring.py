@@ -16,7 +16,7 @@ task; those of the other words that a document has are joined to it.
 from __future__ import annotations
 
 from collections import Counter, defaultdict
-from itertools import count
+from itertools import count, filterfalse, repeat
 from math import log10
 
 import numpy as np
@@ -55,7 +55,7 @@ def _counted(batches):
 
     def rows():
         words = list(learned.keys() | other.keys())
-        columns = [[counter.get(w, 0) for w in words] for counter in (learned, other)]
+        columns = [list(map(counter.get, words, repeat(0))) for counter in (learned, other)]
         ends = [k.to_bytes(4, "big") for k in follows]
         return pa.RecordBatch.from_arrays(
             [
@@ -221,7 +221,7 @@ def _rare(common):
         for batch, data, offsets in C.slices(batches):
             words, places, sizes = [], [], []
             for tokens in _tokens(data, offsets):
-                some = [w for w in dict.fromkeys(tokens) if w not in held]
+                some = list(filterfalse(held.__contains__, dict.fromkeys(tokens)))
                 words.extend(some)
                 places.extend(range(len(some)))
                 sizes.append(len(some))
@@ -238,20 +238,20 @@ def _documents(common, model):
         held = dict(zip(known["word"].to_pylist(), range(len(known))))
         known = [known["learned"].to_numpy(), known["rest"].to_numpy()]
         follows, weights, refined, total = model.value
-        border = B.Border(*follows)
+        lookup = B.Lookup(B.Border(*follows), weights, refined)
         for batch, data, offsets in C.slices(batches):
             begin = 0
             while begin < len(batch):
                 end = int(np.searchsorted(offsets, offsets[begin] + SIDE_BYTES, "right")) - 1
                 end = min(len(batch), max(end, begin + 1))
                 some = batch.slice(begin, end - begin)
-                yield _coded(some, data, offsets[begin : end + 1], held, known, border, weights, refined, total)
+                yield _coded(some, data, offsets[begin : end + 1], held, known, lookup, total)
                 begin = end
 
     return run
 
 
-def _coded(batch, data, offsets, held, known, border, weights, refined, total):
+def _coded(batch, data, offsets, held, known, lookup, total):
     rare = batch.column(batch.schema.get_field_index("rest"))
     of = np.append(0, np.cumsum(rare.value_lengths().fill_null(0).to_numpy()))
     place, *rare = (column.to_numpy() for column in rare.flatten().flatten())
@@ -260,23 +260,23 @@ def _coded(batch, data, offsets, held, known, border, weights, refined, total):
     at[np.repeat(of[:-1], np.diff(of)) + place] = np.arange(len(place))
     numbers = defaultdict(count().__next__)
     numbers[M.END]
-    words, sizes, found = [], [], {}
-    for tokens, begin in zip(_tokens(data, offsets), of.tolist()):
+    words, sizes = [], []
+    for tokens in _tokens(data, offsets):
         words.extend(map(numbers.__getitem__, tokens))
         sizes.append(len(tokens))
-        some = [w for w in dict.fromkeys(tokens) if w not in held]
-        found.update(zip(some, range(begin, begin + len(some))))
     words, sizes = np.array(words, np.int64), np.array(sizes, np.int64)
-    # The common words come first, then the others of these documents.
-    common = len(known[0])
-    number = np.array([held[w] if w in held else common + found[w] for w in numbers])
+    # The common words come first, then the others of these documents, in the order in which each document has them.
+    number = np.fromiter(map(held.get, numbers, repeat(-1)), np.int64, len(numbers))
+    earlier = B.earlier(sizes, words)
+    others = words[(earlier == 0) & (number < 0)[words]]
+    number[others] = len(known[0]) + np.arange(len(others))
     learned, rests = (np.concatenate([a, b[at]])[number] for a, b in zip(known, rare))
-    limits = np.append(0, np.cumsum([len(w) for w in numbers], dtype=np.int64))
+    limits = np.append(0, np.cumsum(np.fromiter(map(len, numbers), np.int64, len(numbers))))
     body = np.frombuffer(b"".join(numbers), np.uint8)
     ends = B.endings(body, limits[:-1], limits[1:])
     symbols = np.append(body, 0)[limits[:-1]]
     symbols[0] = B.END
-    scores = B.document_scores(border, weights, refined, sizes, words, symbols[words], ends, rests)
+    scores = B.document_scores(lookup, sizes, words, symbols[words], ends, rests, earlier)
     base = np.log10((learned + 0.1) / total)
     first = np.cumsum(sizes) - sizes
     columns = [
@@ -364,7 +364,9 @@ def scores(
     common = scored.join(F.broadcast(_frequent(vocabulary).select("word")), "word", "left_semi").toArrow()
     common = spark.sparkContext.broadcast(common)
     docs = C.identified(source, "row", "scores")
-    rest = docs.select("row", "text").mapInArrow(_rare(common), "row long, place int, word binary").join(scored, "word")
+    rest = docs.select("row", "text").mapInArrow(_rare(common), "row long, place int, word binary")
+    # Each word is scored once and they are spread evenly, so a part of them is a small hash table and nothing is sorted.
+    rest = rest.join(scored.hint("shuffle_hash"), "word")
     rest = rest.groupBy("row").agg(F.collect_list(F.struct("place", "learned", "rest")).alias("rest"))
     docs = docs.join(rest, "row", "left").withColumn("rest", F.coalesce("rest", F.array().cast(rest.schema["rest"].dataType)))
     kind = dict(source.dtypes)["doc_id"]

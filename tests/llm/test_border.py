@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tablework.llm import border, scoring
@@ -54,3 +55,67 @@ def test_code_parts_all_bytes(counts):
     for n in range(0, 255, 17):
         right = of[(node == n) & (bit == 1)]
         assert sums[code.high[n]] - sums[code.middle[n]] == counts[right].sum()
+
+
+class Held:
+    def __init__(self, value):
+        self.value = value
+
+
+def model_of(text, seen=()):
+    """What ``scoring`` gives to every task: all words as common ones, and what followed each ending."""
+    words = sorted({*text.lower().encode().split(), *seen, b""})
+    columns = [pa.array(words, pa.binary()), pa.array([1] * len(words)), pa.array([-1.0] * len(words), pa.float32())]
+    common = pa.table(columns, ["word", "learned", "rest"])
+    data = np.frombuffer(text.encode(), np.uint8)
+    keys, counts = np.unique(scoring._followed(data, np.array([0, len(data)]), np.array([True])), return_counts=True)
+    first = border.first_weights(), border.refinement(np.zeros((border.REFINED, 2)))
+    return Held(common), Held(((keys >> 8, keys & 255, counts), *first, 100.0))
+
+
+def documents(texts):
+    none = pa.array([[]] * len(texts), pa.list_(pa.struct([("place", pa.int32()), ("learned", pa.int64()), ("rest", pa.float32())])))
+    columns = [pa.array(range(len(texts))), pa.array([False] * len(texts)), pa.array(texts), none]
+    return pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "text", "rest"])
+
+
+def coded(texts, model):
+    return np.concatenate([b.column(6).to_numpy() for b in scoring._documents(*model)(iter([documents(texts)]))])
+
+
+def test_an_ending_is_looked_up_once_by_a_task(monkeypatch):
+    text = " ".join(f"{a}{b} the of" for a in "abcdefgh" for b in "mnopqr")
+    asked, plain = [], border.Border.logits
+
+    def logits(self, used, *rest):
+        asked.extend(used.tolist())
+        return plain(self, used, *rest)
+
+    monkeypatch.setattr(border.Border, "logits", logits)
+    monkeypatch.setattr(scoring, "SIDE_BYTES", 1 << 9)
+    coded([text] * 6, model_of(text))
+    assert asked and len(asked) == len(set(asked))
+
+
+def test_endings_that_cannot_all_be_held_give_the_same_scores(monkeypatch):
+    draw = np.random.default_rng(5)
+    texts = [" ".join("".join(draw.choice([*"abcde"], 3)) for _ in range(80)) for _ in range(12)]
+    model = model_of(" ".join(texts))
+    monkeypatch.setattr(scoring, "SIDE_BYTES", 1 << 9)
+    whole = coded(texts, model)
+    monkeypatch.setattr(border, "HELD_BYTES", 1 << 10)
+    assert np.array_equal(coded(texts, model), whole)
+
+
+def test_how_often_words_stood_before():
+    draw = np.random.default_rng(6)
+    sizes = np.array([1, 40, 3, 200])
+    for most in (5, 1 << 17):
+        words = draw.integers(0, most, sizes.sum())
+        words[:50] %= 7
+        plain, start = [], 0
+        for size in sizes:
+            doc = words[start : start + size].tolist()
+            plain += [doc[:i].count(w) for i, w in enumerate(doc)]
+            start += size
+        assert border.earlier(sizes, words).tolist() == plain
