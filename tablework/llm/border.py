@@ -16,6 +16,7 @@ import heapq
 
 import numpy as np
 
+from tablework.llm import common as C
 from tablework.llm import mixing as M
 
 END = 10
@@ -295,7 +296,7 @@ def document_scores(lookup: Lookup, sizes, words, symbols, ends, rests, earlier)
     docs, at, words, symbols, before, earlier = (a[order] for a in (docs, at, words, symbols, before, earlier))
     borders = np.searchsorted(group[order], np.arange(group.max(initial=-1) + 2))
     nodes = len(code.low)
-    used, row = np.unique(ends, return_inverse=True)
+    used, row = C.distinct(ends)
     own_weights = np.tile(np.array(FIRST, np.float32)[:, None], count)
     squares = np.full(own_weights.shape, 1e-3, np.float32)
     # Zeros, then ones.

@@ -215,6 +215,16 @@ def mixed(values: np.ndarray) -> np.ndarray:
     return x
 
 
+def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different values in order, and which of them each value is. Only the different ones are sorted."""
+    held = pa.array(values).dictionary_encode()
+    found, which = held.dictionary.to_numpy(), held.indices.to_numpy()
+    order = np.argsort(found)
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return found[order], rank[which]
+
+
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _BYTE_VALUES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE)) | np.uint64(1)

@@ -60,9 +60,9 @@ class Block:
     def followed(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The different contexts in order, the different ``place of the context * 256 + byte`` in order, and which of
         these each step and context has."""
-        contexts, rank = np.unique(self.keys.ravel(), return_inverse=True)
+        contexts, rank = C.distinct(self.keys.ravel())
         pairs = rank.reshape(self.keys.shape) * 256 + self.values[:, None]
-        pairs, at = np.unique(pairs.ravel(), return_inverse=True)
+        pairs, at = C.distinct(pairs.ravel())
         return contexts, pairs, at.reshape(self.keys.shape)
 
 
@@ -77,7 +77,10 @@ def block(words: list[bytes]) -> Block:
     places = places - np.repeat(first, sizes) + np.repeat(starts, sizes)
     begin = np.repeat(starts, sizes)
     spans = C.byte_spans(data)
-    _, chosen, step_of = np.unique(spans.hashes(begin, places + 1), return_index=True, return_inverse=True)
+    steps, step_of = C.distinct(spans.hashes(begin, places + 1))
+    # The first place of each step.
+    chosen = np.empty(len(steps), np.int64)
+    chosen[step_of[::-1]] = np.arange(len(step_of))[::-1]
     at, begin = places[chosen], begin[chosen]
     last = [data[at - i].astype(np.uint64) << np.uint64(8 * (i - 1)) for i in range(1, 5)]
     known = [

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tablework.llm import mixing, scoring
+from tablework.llm import common, mixing, scoring
 
 
 def brute(words, counts):
@@ -74,3 +74,16 @@ def test_blocks_change_no_scores(spark, frame, monkeypatch, size):
     monkeypatch.setattr(scoring, "BLOCK_BYTES", size)
     cut = {r["doc_id"]: r["score"] for r in scoring.scores(frame(rows)).collect()}
     assert cut == pytest.approx(whole, rel=1e-6)
+
+
+def test_distinct_values_are_in_order(monkeypatch):
+    """Values of which few differ are not sorted as a whole."""
+    draw = np.random.default_rng(3)
+    plain, sorted_rows = np.argsort, []
+    for values in (draw.integers(0, 99, 5000), draw.integers(0, 9, 700).astype(np.uint64) << np.uint64(61), np.zeros(0, np.int64)):
+        want, which = np.unique(values, return_inverse=True)
+        monkeypatch.setattr(np, "argsort", lambda a, **k: sorted_rows.append(len(a)) or plain(a, **k))
+        found, at = common.distinct(values)
+        monkeypatch.undo()
+        assert found.tolist() == want.tolist() and at.tolist() == which.tolist()
+        assert sorted_rows.pop() == len(want)
